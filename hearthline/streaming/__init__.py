@@ -1,0 +1 @@
+"""Empty on purpose: all inputs of the covered studies are finished wave files, none is a stream."""
