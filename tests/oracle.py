@@ -68,6 +68,9 @@ def compare(spark, con, folder, fn, sql) -> str:
         return f"rows {len(a)} != {len(b)}"
     if not a:
         return "no rows"
+    odd = [n for n, t in zip(names, rel.types) if str(t).startswith(("DECIMAL", "HUGEINT"))]
+    if odd:
+        return f"SQL types to cast: {odd}"
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     if bad:
         return f"{len(bad)} of {len(a)} rows differ, e.g. {bad[0]}"
