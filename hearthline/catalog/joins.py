@@ -70,7 +70,7 @@ def inner_head_join(spark, d):
 
 
 @query(sql="""
-SELECT c_custkey, n_name, coalesce(CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN r_regionkey + 0.5 END, 0.3) AS price
+SELECT c_custkey, n_name, coalesce(CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN r_regionkey + CAST(0.5 AS DOUBLE) END, CAST(0.3 AS DOUBLE)) AS price
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def dim_default_join(spark, d):
     region = table(spark, d, "region").filter(F.col("r_name").isin("ASIA", "EUROPE")).select(
