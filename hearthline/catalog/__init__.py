@@ -29,6 +29,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from hearthline.catalog import joins, models, reports, rows, scalars, sequences  # noqa: F401
+    from hearthline.catalog import flows, joins, models, reports, rows, scalars, sequences  # noqa: F401
 
     return QUERIES, ORACLE

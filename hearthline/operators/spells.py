@@ -42,7 +42,7 @@ def change_points_to_spells(points: Sequence[tuple[ColumnLike, ColumnLike]], end
         years = spell_years(z["p"]["year"], z["n"], negative=negative)
         return F.struct(z["p"]["state"].alias("state"), years.cast("int").alias("years"))
 
-    return F.transform(both, spell)
+    return F.transform(F.slice(both, 1, F.size(known)), spell)
 
 
 def fit_length(states: Column, length: int, align: str = "right") -> Column:

@@ -17,6 +17,7 @@ def build_session(app: str = "hearthline", master: str | None = None, **conf) ->
         # legacy multi-byte survey files need a charset outside the default allow-list
         "spark.sql.legacy.javaCharsets": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     } | conf
     builder = SparkSession.builder.appName(app)
     if master:
