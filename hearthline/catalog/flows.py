@@ -8,22 +8,26 @@ from hearthline.catalog import query, table
 from hearthline.catalog.scalars import BLOCK, line_block
 from hearthline.functions import recode as R
 from hearthline.operators import household as HH
+from hearthline.operators.skew import hot_groups
 from hearthline.operators.tables import cross_tab
+from hearthline.session import stable
 from hearthline.plans import life_course, panel_a, panel_b
 
 
-def household_children(spark, d):
-    """Orders as children of customers: rank among siblings, household assets, parents' community."""
+def study_a(spark, d, conditions, wealth, income):
+    """Orders as children of customers: rank among siblings, household assets, parents' wealth."""
     kids = table(spark, d, "orders").select(
         F.col("o_custkey").alias("hhid"), F.col("o_orderkey").alias("childid"), F.col("o_totalprice").alias("homevalue"),
         (F.lit(2018) - F.year("o_orderdate")).alias("age"), (F.col("o_orderstatus") == "F").alias("owner"))
-    wealth = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(
+    worth = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_custkey").alias("hhid"), (F.col("l_extendedprice") * F.col("l_discount")).alias("asset"))
     heads = panel_a.parents(
         table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("hhid"), F.lit("father").alias("role"),
                                            "c_mktsegment", "c_acctbal"),
-        [], [HH.group_sum(wealth, ["hhid"], ["asset"])], "id", "hhid", "role", ["father", "mother"])
-    return panel_a.merged(kids, heads, "hhid", {})
+        [], [HH.group_sum(worth, ["hhid"], ["asset"])], "id", "hhid", "role", ["father", "mother"])
+    hot = hot_groups(kids, ["hhid"])
+    rows = panel_a.merged(kids, heads, "hhid", {}, hot)
+    return panel_a.analysis_table(rows, "hhid", "childid", "age", conditions, wealth, income, hot=hot)
 
 
 _KIDS = """
@@ -37,8 +41,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY hhid ORDER BY age DESC, childid)
 SELECT hhid, childid, age, owner, sibling_rank, sibling_n, round(asset, 4) AS asset, round(ln(greatest(asset, 0.0) + 1), 6) AS asset_logged,
        CASE WHEN c_acctbal + 50 > 0 THEN round(ln(c_acctbal + 50), 6) END AS income_logged, CASE WHEN asset <= 0 THEN 1 WHEN asset > 0 THEN 0 END AS asset_zero FROM r WHERE age BETWEEN 18 AND 22""")
 def study_parents_children(spark, d):
-    rows = household_children(spark, d)
-    t = panel_a.analysis_table(rows, "hhid", "childid", "age", [F.col("age").between(18, 22)], ["asset_parent"], ["c_acctbal_parent"])
+    t = study_a(spark, d, [F.col("age").between(18, 22)], ["asset_parent"], ["c_acctbal_parent"])
     return t.select("hhid", "childid", "age", "owner", "sibling_rank", "sibling_n", F.round("asset_parent", 4).alias("asset"),
                     F.round("asset_parent_logged", 6).alias("asset_logged"), F.round("c_acctbal_parent_logged", 6).alias("income_logged"),
                     F.col("asset_parent_zero").alias("asset_zero"))
@@ -51,8 +54,8 @@ b AS (SELECT CASE WHEN asset <= b1 THEN '0-25%' WHEN asset <= b2 THEN '25-50%' W
 cells AS (SELECT coalesce(r, 'Total') AS row, coalesce(c, 'Total') AS col, count(*) AS n FROM b GROUP BY CUBE (r, c))
 SELECT a.row, a.col, a.n, round(a.n / t.n, 8) AS share FROM cells a JOIN cells t ON a.row = t.row AND t.col = 'Total'""")
 def ownership_by_parental_wealth(spark, d):
-    rows = panel_a.analysis_table(household_children(spark, d), "hhid", "childid", "age", [F.col("age").between(18, 22)], [], [])
-    rows = rows.filter("sibling_rank <= 3")
+    # the reports read the analysis table several times: it is written once, as between two scripts
+    rows = stable(study_a(spark, d, [F.col("age").between(18, 22), F.col("sibling_rank") <= 3], [], []).select("asset_parent", "owner"))
     binned = HH.quantile_bin(rows, "asset_parent", [0, 0.25, 0.5, 0.75, 1], ["0-25%", "25-50%", "50-75%", "75-100%"])
     return cross_tab(binned, "bin", "owner").select("row", "col", "n", F.round("share", 8).alias("share"))
 

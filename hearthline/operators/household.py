@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from hearthline.functions.recode import cut
 from hearthline.operators.skew import group_quantiles, lookup_join, next_in_group, running_total
 
 # --- aggregates -----------------------------------------------------------------------------
@@ -77,13 +78,11 @@ def quantile_breaks(df: DataFrame, x: str, probs: Sequence[float]) -> DataFrame:
 
 
 def quantile_bin(df: DataFrame, x: str, probs: Sequence[float], labels: Sequence[str],
-                 include_lowest: bool = True, out: str = "bin", keep: Sequence[str] | None = None) -> DataFrame:
+                 include_lowest: bool = True, out: str = "bin") -> DataFrame:
     """Label by quantile interval, right-closed; the minimum is missing unless `include_lowest`.
 
     The breaks are read once as a handful of numbers and enter the plan as literals.
     """
-    from hearthline.functions.recode import cut
-
     breaks = quantile_breaks(df, x, probs).first()
     values = [breaks[f"b{i}"] for i in range(len(probs))]
     if any(b is None for b in values):
@@ -167,25 +166,30 @@ def nearest_before(df: DataFrame, keys: list[str], gap: Column, slot: str, defau
 # --- columns that look at the whole group ---------------------------------------------------
 
 
-def group_size_col(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
+# `hot` is the result of `skew.hot_groups` where a caller knows it already; it saves a count of the keys.
+
+
+def group_size_col(df: DataFrame, keys: list[str], out: str = "n", hot: list[Row] | None = None) -> DataFrame:
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    return lookup_join(df, sizes, keys, "left", missing_keys_match=True)
+    return lookup_join(df, sizes, keys, "left", missing_keys_match=True, hot=hot)
 
 
-def last_activity_year(df: DataFrame, keys: list[str], end: str, out: str = "last_year") -> DataFrame:
+def last_activity_year(df: DataFrame, keys: list[str], end: str, out: str = "last_year", hot: list[Row] | None = None) -> DataFrame:
     """Latest spell end per person, on every spell."""
     latest = df.groupBy(*keys).agg(F.max(end).alias(out))
-    return lookup_join(df, latest, keys, "left", missing_keys_match=True)
+    return lookup_join(df, latest, keys, "left", missing_keys_match=True, hot=hot)
 
 
-def sibling_rank(df: DataFrame, keys: list[str], order: Sequence[Column], out: str = "sibling_rank") -> DataFrame:
+def sibling_rank(df: DataFrame, keys: list[str], order: Sequence[Column], out: str = "sibling_rank",
+                 hot: list[Row] | None = None) -> DataFrame:
     """Place in the household along `order` (end it with a unique column)."""
-    return running_total(df, keys, list(order), out)
+    return running_total(df, keys, list(order), out, hot=hot)
 
 
-def spell_to_next(df: DataFrame, keys: list[str], order: Sequence[Column], start: str, end: str = "end") -> DataFrame:
+def spell_to_next(df: DataFrame, keys: list[str], order: Sequence[Column], start: str, end: str = "end",
+                  hot: list[Row] | None = None) -> DataFrame:
     """A state lasts until the next change of the same person."""
-    return next_in_group(df, keys, list(order), {end: start})
+    return next_in_group(df, keys, list(order), {end: start}, hot=hot)
 
 
 def arrange(df: DataFrame, *cols: tuple[str, str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from hearthline.functions.household import overlap_years
@@ -17,9 +17,10 @@ from hearthline.operators.shape import suffix_cols
 from hearthline.operators.skew import lookup_join
 
 
-def left_join(left: DataFrame, right: DataFrame, keys: list[str], missing_keys_match: bool = False) -> DataFrame:
+def left_join(left: DataFrame, right: DataFrame, keys: list[str], missing_keys_match: bool = False,
+              hot: list[Row] | None = None) -> DataFrame:
     """`missing_keys_match`: a missing key finds a missing key, as in the R verbs."""
-    return lookup_join(left, right, keys, "left", missing_keys_match)
+    return lookup_join(left, right, keys, "left", missing_keys_match, hot)
 
 
 def person_attr_join(base: DataFrame, attributes: Sequence[DataFrame], keys: list[str]) -> DataFrame:

@@ -25,6 +25,7 @@ from hearthline.functions.recode import r_ifelse
 from hearthline.operators.shape import union_all
 
 MAX_LEVELS = 500
+MOMENT_TERMS = 20
 INTERCEPT = "(Intercept)"
 
 # --- formulas and design --------------------------------------------------------------------
@@ -72,8 +73,8 @@ def factor_levels(df: DataFrame, name: str) -> list[str]:
     return levels
 
 
-def design(df: DataFrame, formula: Formula) -> tuple[DataFrame, list[str]]:
-    """Complete rows with `label` and `features`; labels are coded against their first level."""
+def coded(df: DataFrame, formula: Formula) -> tuple[DataFrame, list[str]]:
+    """Complete rows as numbers, `label` and x0, x1, ..; labels are coded against their first level."""
     rows = df.select(*formula.columns).na.drop("any")
     codes: dict[str, list[tuple[str, Column]]] = {}
     for name in formula.columns[1:]:
@@ -92,8 +93,14 @@ def design(df: DataFrame, formula: Formula) -> tuple[DataFrame, list[str]]:
         columns += made
     named = rows.select(
         F.col(formula.response).cast("double").alias("label"), *[c.alias(f"x{i}") for i, (_, c) in enumerate(columns)])
-    vector = VectorAssembler(inputCols=[f"x{i}" for i in range(len(columns))], outputCol="features")
-    return vector.transform(named), [n for n, _ in columns]
+    return named, [n for n, _ in columns]
+
+
+def design(df: DataFrame, formula: Formula) -> tuple[DataFrame, list[str]]:
+    """Complete rows with `label` and a `features` vector."""
+    rows, names = coded(df, formula)
+    inputs = [f"x{i}" for i in range(len(names))]
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(rows), names
 
 
 # --- fits -----------------------------------------------------------------------------------
@@ -119,7 +126,7 @@ class Fit:
         for term, b, se in zip(self.terms, self.estimate, self.se):
             stat = float(b / se) if se else None
             p = None if stat is None else tails.t_p(stat, self.df) if self.df else tails.normal_p(stat)
-            rows.append((self.name, term, float(b), None if se is None else float(se), stat, p))
+            rows.append((self.name, term, None if b is None else float(b), None if se is None else float(se), stat, p))
         return spark.createDataFrame(
             rows, "model string, term string, estimate double, se double, statistic double, p double")
 
@@ -133,6 +140,37 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 
 def ols(formula: Formula, df: DataFrame, name: str = "ols") -> Fit:
+    """Linear model. Up to `MOMENT_TERMS` terms come from one pass of summed products; a term that the
+    terms before it already determine has no estimate. Wider designs go to `pyspark.ml`."""
+    columns, names = coded(df, formula)
+    if len(names) > MOMENT_TERMS:
+        return _ols_wide(formula, df, name)
+    n, means, s = moment_matrix(columns, columns.columns)
+    k = len(names)
+    used: list[int] = []
+    for i in range(1, k + 1):  # keep a term only if it adds something
+        rest = s[i, i]
+        if used:
+            rest -= s[i, used] @ np.linalg.solve(s[np.ix_(used, used)], s[used, i])
+        if rest > 1e-9 * s[i, i]:
+            used.append(i)
+    sxx, sxy = s[np.ix_(used, used)], s[used, 0]
+    b = np.linalg.solve(sxx, sxy) if used else np.zeros(0)
+    rss, freedom = n * max(s[0, 0] - b @ sxy, 0.0), n - len(used) - 1
+    sigma2 = rss / freedom if freedom > 0 else math.nan
+    inverse = np.linalg.inv(sxx * n) if used else np.zeros((0, 0))
+    mean_x = means[used]
+    estimate: list = [means[0] - b @ mean_x, *[None] * k]
+    errors: list = [math.sqrt(sigma2 * (1 / n + mean_x @ inverse @ mean_x)), *[None] * k]
+    for place, i in enumerate(used):
+        estimate[i], errors[i] = b[place], math.sqrt(sigma2 * inverse[place, place])
+    r2 = 1 - rss / (n * s[0, 0]) if s[0, 0] > 0 else None
+    stats = {"n": n, "r2": r2, "adj_r2": None if r2 is None or freedom <= 0 else 1 - (1 - r2) * (n - 1) / freedom,
+             "df_residual": freedom, "sigma": math.sqrt(sigma2)}
+    return Fit(name, formula, [INTERCEPT, *names], estimate, errors, stats)
+
+
+def _ols_wide(formula: Formula, df: DataFrame, name: str) -> Fit:
     rows, names = design(df, formula)
     model = LinearRegression(solver="normal", standardization=False).fit(rows)
     s = model.summary
@@ -338,7 +376,7 @@ def model_table(spark: SparkSession, fits: Sequence[Fit], digits: int = 3) -> Da
     shape = f"%.{digits}f"
     cells = tidy_all(spark, fits).select(
         "model", "term", F.lit(1).alias("place"),
-        F.concat(F.format_string(shape, "estimate"), stars(F.col("p")), F.lit(" ("),
+        F.concat(F.coalesce(F.format_string(shape, F.col("estimate")), F.lit("-")), stars(F.col("p")), F.lit(" ("),
                  F.coalesce(F.format_string(shape, F.col("se")), F.lit("-")), F.lit(")")).alias("text"))
     fit = union_all(*[f.glance(spark) for f in fits]).select(
         "model", F.col("stat").alias("term"), F.lit(2).alias("place"), F.format_string(shape, "value").alias("text"))
@@ -353,10 +391,10 @@ def subset_models(fit_one, formula: Formula, df: DataFrame, subsets: Mapping[str
 
 def std_beta(fit: Fit, df: DataFrame) -> DataFrame:
     """Estimates in standard deviations: b·sd(x)/sd(y) over the rows the model used."""
-    rows, names = design(df, fit.formula)
-    x = rows.select("label", vector_to_array("features").alias("x"))
-    sd = x.agg(F.stddev_samp("label").alias("y"), *[F.stddev_samp(F.col("x")[i]).alias(f"x{i}") for i in range(len(names))]).first()
-    rows = [(fit.name, n, float(b * sd[f"x{i}"] / sd["y"])) for i, (n, b) in enumerate(zip(names, fit.estimate[1:]))]
+    columns, names = coded(df, fit.formula)
+    sd = columns.agg(*[F.stddev_samp(c).alias(c) for c in columns.columns]).first()
+    rows = [(fit.name, n, None if b is None else float(b * sd[f"x{i}"] / sd["label"]))
+            for i, (n, b) in enumerate(zip(names, fit.estimate[1:]))]
     return df.sparkSession.createDataFrame(rows, "model string, term string, std_estimate double")
 
 
@@ -366,7 +404,7 @@ def coef_interval_data(spark: SparkSession, fits: Sequence[Fit], coefs: Sequence
     for f in fits:
         half = tails.t_quantile((1 + level) / 2, f.df) if f.df else tails.normal_quantile((1 + level) / 2)
         for term, b, se in zip(f.terms, f.estimate, f.se):
-            if se is not None and (coefs is None or term in coefs):
+            if b is not None and se is not None and (coefs is None or term in coefs):
                 rows.append((f.name, term, float(b), float(b - half * se), float(b + half * se)))
     return spark.createDataFrame(rows, "model string, term string, estimate double, low double, high double")
 

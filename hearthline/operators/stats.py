@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions import tails
-from hearthline.operators.skew import lookup_join, running_total
+from hearthline.operators.skew import running_total
 
 
 def chisq_from_counts(counts: DataFrame, a: str, b: str, n: str = "n", correct: bool = False) -> DataFrame:
@@ -96,8 +96,9 @@ def cor_spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation on complete pairs."""
     pairs = df.select(x, y).na.drop("any").groupBy(x, y).agg(F.count(F.lit(1)).alias("__w"))
     rows = df.select(x, y).na.drop("any")
-    ranked = lookup_join(pairs, average_ranks(rows, x, "__rx"), [x], "inner")
-    ranked = lookup_join(ranked, average_ranks(rows, y, "__ry"), [y], "inner")
+    # the rank tables are not split by value, so both sides are shuffled and adaptive execution can
+    # split a value with many partners, or broadcast a short table
+    ranked = pairs.join(average_ranks(rows, x, "__rx"), x).join(average_ranks(rows, y, "__ry"), y)
     w, a, b = F.col("__w").cast("double"), F.col("__rx").cast("double"), F.col("__ry").cast("double")
     s = ranked.agg(*[F.sum(e).alias(k) for k, e in {
         "w": w, "a": w * a, "b": w * b, "aa": w * a * a, "bb": w * b * b, "ab": w * a * b}.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthline.operators.shape import bind_tables_side_by_side, union_all
+from hearthline.operators.shape import union_all
 from hearthline.operators.skew import group_quantiles, same_key_join
 from hearthline.operators.stats import chisq_from_counts
 
@@ -184,12 +184,11 @@ def summary_table(df: DataFrame, types: Mapping[str, str] | None = None, keys: S
 
 
 def summary_by_strata(df: DataFrame, strata: str, levels: Sequence[str], types: Mapping[str, str] | None = None) -> DataFrame:
-    """The summary of all rows and of each stratum side by side; strata come from one grouped pass."""
-    per = summary_table(df, types, [strata])
-    tables = {"overall": summary_table(df.drop(strata) if types is None else df, types)}
-    for level in levels:
-        tables[str(level)] = per.filter(F.col(strata) == level).drop(strata)
-    return bind_tables_side_by_side(tables, ["variable", "label"])
+    """The summary of all rows and of each stratum side by side; all strata come from one grouped pass."""
+    kinds = types or {n: k for n, k in column_types(df).items() if n != strata}
+    overall = summary_table(df, kinds).withColumnRenamed("stat", "overall")
+    per = summary_table(df, kinds, [strata]).groupBy("variable", "label").pivot(strata, list(levels)).agg(F.first("stat"))
+    return overall.join(per, ["variable", "label"], "left")
 
 
 def distribution_table(df: DataFrame, key: str, x: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from hearthline.functions import codebook, household as H, recode as R
@@ -102,17 +102,22 @@ def children(family: DataFrame, hhid: str, stems: Mapping[str, str], slots: Sequ
     return kids
 
 
-def merged(kids: DataFrame, heads: DataFrame, hhid: str, same_as: Mapping[str, tuple[Column, str]]) -> DataFrame:
+def merged(kids: DataFrame, heads: DataFrame, hhid: str, same_as: Mapping[str, tuple[Column, str]],
+           hot: list[Row] | None = None) -> DataFrame:
     """Children with their parents; an answer "same as respondent" takes the parent's value."""
-    both = link.left_join(kids, heads, [hhid])
+    both = link.left_join(kids, heads, [hhid], hot=hot)
     return both.withColumns({c: R.fill_from_related(flag, other, c) for c, (flag, other) in same_as.items()})
 
 
 def analysis_table(rows: DataFrame, hhid: str, child: str, age: str, conditions: Sequence[Column], wealth: Sequence[str],
-                   income: Sequence[str], seed: int | None = None) -> DataFrame:
-    """Sibling rank and size, sample filter, one child per household if wanted, logs and flags."""
-    ranked = HH.sibling_rank(rows, [hhid], [F.col(age).desc_nulls_last(), F.col(child).asc()])
-    kept = HH.group_size_col(ranked, [hhid], "sibling_n")
+                   income: Sequence[str], seed: int | None = None, hot: list[Row] | None = None) -> DataFrame:
+    """Sibling rank and size, sample filter, one child per household if wanted, logs and flags.
+
+    Joining parents does not change how many children a household has, so `hot` may come from the
+    child table (`skew.hot_groups(kids, [hhid])`) before that join.
+    """
+    ranked = HH.sibling_rank(rows, [hhid], [F.col(age).desc_nulls_last(), F.col(child).asc()], hot=hot)
+    kept = HH.group_size_col(ranked, [hhid], "sibling_n", hot=hot)
     for cond in conditions:
         kept = kept.filter(cond)
     if seed is not None:
