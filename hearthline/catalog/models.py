@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from hearthline.catalog import query, table
 from hearthline.catalog.reports import HOLED, holed
+from hearthline.catalog.rows import scratch
+from hearthline.functions.recode import conditional_zero as zero_unless, log_shift
 from hearthline.operators import impute as I, models as L
+from hearthline.sources.tables import load_table, write_model_table
 
 
 def rounded(df, *cols, digits=6):
@@ -37,10 +40,33 @@ def ols_formula(spark, d):
     return rounded(fit.tidy(spark).select("term", "estimate", "se"), "estimate", "se")
 
 
-@query()
+_GROUP = "(SELECT regr_{0}(l_extendedprice, l_quantity) FROM lineitem WHERE l_returnflag = '{1}')"
+
+
+@query(sql="SELECT '(Intercept)' AS term, round(" + _GROUP.format("intercept", "A") + ", 3) AS estimate UNION ALL SELECT 'l_quantity', round("
+       + _GROUP.format("slope", "A") + ", 3)" + "".join(
+           f" UNION ALL SELECT 'l_returnflag{g}', round({_GROUP.format('intercept', g)} - {_GROUP.format('intercept', 'A')}, 3)"
+           f" UNION ALL SELECT 'l_quantity:l_returnflag{g}', round({_GROUP.format('slope', g)} - {_GROUP.format('slope', 'A')}, 3)" for g in "NR"))
 def ols_interaction(spark, d):
     formula = L.formula_builder("l_extendedprice", ["l_quantity", "l_returnflag", "l_quantity:l_returnflag"])
-    return L.ols(formula, lines(spark, d), "interaction").tidy(spark)
+    return rounded(L.ols(formula, lines(spark, d)).tidy(spark).select("term", "estimate"), "estimate", digits=3)
+
+
+@query(sql="""
+SELECT 'price_logged' AS term, round(regr_slope(l_quantity, ln(l_extendedprice + 50)), 6) AS estimate FROM lineitem""")
+def ols_logged_term(spark, d):
+    rows = lines(spark, d).withColumn("price_logged", log_shift("l_extendedprice", 50))
+    tidy = L.ols(L.Formula("l_quantity", ("price_logged",)), rows).tidy(spark)
+    return rounded(tidy.filter(F.col("term") == "price_logged").select("term", "estimate"), "estimate")
+
+
+@query(sql="""
+SELECT 'm' AS model, 'l_discount' AS term, round(regr_slope(l_extendedprice, l_discount), 3) AS estimate FROM lineitem
+UNION ALL SELECT 'm', '(Intercept)', round(regr_intercept(l_extendedprice, l_discount), 3) FROM lineitem""")
+def model_table_file(spark, d):
+    path = scratch(spark, "model")
+    write_model_table(L.ols(L.Formula("l_extendedprice", ("l_discount",)), lines(spark, d), "m").tidy(spark), path, "parquet")
+    return rounded(load_table(spark, path).select("model", "term", "estimate"), "estimate", digits=3)
 
 
 @query(sql="""
@@ -130,10 +156,8 @@ def fill_constant(spark, d):
 
 @query(sql=HOLED + "SELECT o_orderkey, CASE WHEN st = 'F' THEN price WHEN st <> 'F' THEN 0 END AS price FROM h")
 def conditional_zero(spark, d):
-    from hearthline.functions.recode import conditional_zero as zero
-
     rows = holed(spark, d)
-    return rows.select("o_orderkey", zero(F.col("st") == "F", "price").alias("price"))
+    return rows.select("o_orderkey", zero_unless(F.col("st") == "F", "price").alias("price"))
 
 
 @query()

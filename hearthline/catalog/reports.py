@@ -59,10 +59,25 @@ def cross_tab_p(spark, d):
     return rounded(test.select("statistic", "df", "n", F.round("min_expected", 4).alias("min_expected")), "statistic")
 
 
-@query()
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+# with 12 degrees of freedom the tail probability of x is exp(-x/2) (1 + x/2 + (x/2)^2/2! + ... + (x/2)^5/5!)
+_TAIL = "exp(-x / 2) * (1 + x / 2 + power(x / 2, 2) / 2 + power(x / 2, 3) / 6 + power(x / 2, 4) / 24 + power(x / 2, 5) / 120)"
+_P_TEXT = ("CASE WHEN p > 0.9 THEN '>0.9' WHEN p < 0.001 THEN '<0.001' WHEN round(p, 1) >= 0.2 THEN printf('%.1f', p) "
+           "WHEN round(p, 2) >= 0.1 THEN printf('%.2f', p) ELSE printf('%.3f', p) END")
+
+
+@query(sql="""
+WITH q AS (SELECT quantile_cont(c_acctbal, 0.25) b1, quantile_cont(c_acctbal, 0.5) b2, quantile_cont(c_acctbal, 0.75) b3 FROM customer),
+pairs AS (SELECT CASE WHEN c_acctbal <= b1 THEN '0-25%' WHEN c_acctbal <= b2 THEN '25-50%' WHEN c_acctbal <= b3 THEN '50-75%' ELSE '75-100%' END AS r,
+          c_mktsegment AS c FROM customer, q), """ + CUBE + ", shares AS (" + ROW_SHARE + ")" + CHI + f"""
+SELECT row AS characteristic, {", ".join(f"max(CASE WHEN col = '{v}' THEN text END) AS {v}" for v in SEGMENTS)},
+       max(CASE WHEN col = 'Total' THEN text END) AS Total, NULL AS p_value
+FROM (SELECT row, col, format('{{:,}}', n) || ' (' || {PCT} || '%)' AS text FROM shares) GROUP BY 1
+UNION ALL SELECT 'bin', NULL, NULL, NULL, NULL, NULL, NULL, {_P_TEXT}
+FROM (SELECT {_TAIL} AS p FROM (SELECT sum((o - e) * (o - e) / e) AS x FROM full_))""")
 def cross_tab_report(spark, d):
     people = HH.quantile_bin(table(spark, d, "customer"), "c_acctbal", QUARTERS, QUARTER_LABELS)
-    return TB.cross_tab_wide(people, "bin", "c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+    return TB.cross_tab_wide(people, "bin", "c_mktsegment", SEGMENTS)
 
 
 @query(sql="WITH pairs AS (SELECT quality AS r, toxic AS c FROM labels)" + CHI + """
@@ -123,6 +138,24 @@ def summary_table(spark, d):
     return TB.summary_table(rows)
 
 
+@query(sql=_num("orders", "o_totalprice", "o_orderstatus,", "GROUP BY o_orderstatus"))
+def strata_numbers(spark, d):
+    return _round_summary(TB.numeric_summary(table(spark, d, "orders"), ["o_totalprice"], ["o_orderstatus"]))
+
+
+@query(sql="""
+SELECT o_orderstatus, 'o_orderpriority' AS variable, o_orderpriority AS level, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY o_orderstatus) AS BIGINT) AS total,
+       round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderstatus), 8) AS share FROM orders GROUP BY 1, 3""")
+def strata_levels(spark, d):
+    return tidy(TB.level_counts(table(spark, d, "orders"), ["o_orderpriority"], ["o_orderstatus"]))
+
+
+@query(sql="SELECT " + ", ".join(f"round(quantile_cont(o_totalprice, {p}), 5) AS b{i}" for i, p in enumerate([0, 0.1, 0.5, 0.9, 1])) + " FROM orders")
+def quantile_breaks(spark, d):
+    breaks = HH.quantile_breaks(table(spark, d, "orders"), "o_totalprice", [0, 0.1, 0.5, 0.9, 1])
+    return rounded(breaks, *breaks.columns, digits=5)
+
+
 @query()
 def strata_summary(spark, d):
     rows = table(spark, d, "orders").select("o_orderpriority", "o_orderstatus", "o_totalprice", (F.col("o_totalprice") > 250000).alias("large"))

@@ -348,7 +348,7 @@ def top_value(spark, d):
 # --- files ----------------------------------------------------------------------------------
 
 
-def _scratch(spark, name: str) -> str:
+def scratch(spark, name: str) -> str:
     """A new folder below the shared checkpoint folder, or a temporary one in a local session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
@@ -363,12 +363,12 @@ def _scratch(spark, name: str) -> str:
 @query(sql="SELECT p_partkey, p_brand, p_size FROM part")
 def parquet_roundtrip(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
-    return ST.checkpoint_table(part, _scratch(spark, "parquet"))
+    return ST.checkpoint_table(part, scratch(spark, "parquet"))
 
 
 @query(sql="SELECT n_nationkey, '省' || n_name AS n_name FROM nation")
 def csv_encoding_roundtrip(spark, d):
-    path = _scratch(spark, "gb2312")
+    path = scratch(spark, "gb2312")
     rows = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("省"), "n_name").alias("n_name"))
     # the allow-list of charsets is a session setting; put it back afterwards
     before = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
@@ -376,14 +376,14 @@ def csv_encoding_roundtrip(spark, d):
     try:
         rows.write.option("header", True).option("encoding", "GB2312").csv(path)
         back = labelled.read_raw_codes(spark, path, "n_nationkey int, n_name string")
-        return ST.checkpoint_table(back, _scratch(spark, "gb2312-decoded"))
+        return ST.checkpoint_table(back, scratch(spark, "gb2312-decoded"))
     finally:
         spark.conf.set("spark.sql.legacy.javaCharsets", before)
 
 
 @query(sql="SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
 def report_csv(spark, d):
-    path = _scratch(spark, "report")
+    path = scratch(spark, "report")
     ST.write_report_csv(HH.count_by(table(spark, d, "orders"), "o_orderpriority"), path)
     return labelled.read_extract(spark, path, "o_orderpriority string, n bigint", "csv")
 
@@ -396,7 +396,7 @@ def spss_extract(spark, d):
 
 @query(sql="SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 def code_list_file(spark, d):
-    path = _scratch(spark, "codes")
+    path = scratch(spark, "codes")
     names = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     ST.write_report_csv(names.select(F.col("r_name").alias("list"), F.col("n_name").alias("value")), path)
     listed = labelled.code_list_values(labelled.read_code_list(spark, path), "ASIA").withColumnRenamed("value", "n_name")

@@ -155,10 +155,13 @@ def group_quantiles(
     """
     known = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x"))
     values = known.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    totals = values.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     hot = hot_groups(values, keys)
     reached = running_total(values, keys, [F.col("__x").asc()], "__cum", F.col("__c"), hot=hot)
-    reached = lookup_join(reached, totals, keys, "inner", missing_keys_match=True, hot=hot)
+    if hot:
+        totals = values.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+        reached = lookup_join(reached, totals, keys, "inner", missing_keys_match=True, hot=hot)
+    else:  # the rows are already where a window over the group needs them
+        reached = reached.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
 
     def at(position: Column) -> Column:  # 0-based order statistic
         return F.min(F.when(F.col("__cum") > position, F.col("__x")))

@@ -16,6 +16,7 @@ def build_session(app: str = "hearthline", master: str | None = None, **conf) ->
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # legacy multi-byte survey files need a charset outside the default allow-list
         "spark.sql.legacy.javaCharsets": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthline.functions.text import strip_punct_space
+from hearthline.operators.skew import running_total
 
 
 def read_extract(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: str = "parquet",
@@ -68,7 +69,6 @@ def code_list_values(code_list: DataFrame, name: str) -> DataFrame:
 
 
 def levels_of(df: DataFrame, col: str) -> DataFrame:
-    """Dictionary of a label column in alphabetical order: (code, label, ordinal)."""
+    """Dictionary of a label column in alphabetical order: (label, ordinal)."""
     labels = df.select(F.col(col).alias("label")).filter(F.col("label").isNotNull()).distinct()
-    listed = labels.agg(F.array_sort(F.collect_list("label")).alias("all"))
-    return listed.select(F.posexplode("all").alias("i", "label")).select((F.col("i") + 1).alias("ordinal"), "label")
+    return running_total(labels, [], [F.col("label").asc()], "ordinal")
