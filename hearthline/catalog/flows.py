@@ -19,8 +19,11 @@ def study_a(spark, d, conditions, wealth, income):
     kids = table(spark, d, "orders").select(
         F.col("o_custkey").alias("hhid"), F.col("o_orderkey").alias("childid"), F.col("o_totalprice").alias("homevalue"),
         (F.lit(2018) - F.year("o_orderdate")).alias("age"), (F.col("o_orderstatus") == "F").alias("owner"))
-    worth = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_custkey").alias("hhid"), (F.col("l_extendedprice") * F.col("l_discount")).alias("asset"))
+    # items are summed per order before they meet the orders, so no order's items travel one by one
+    items = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), (F.col("l_extendedprice") * F.col("l_discount")).alias("asset"))
+    worth = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("hhid")).join(
+        HH.group_sum(items, ["o_orderkey"], ["asset"]), "o_orderkey")
     heads = panel_a.parents(
         table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("hhid"), F.lit("father").alias("role"),
                                            "c_mktsegment", "c_acctbal"),
@@ -75,9 +78,11 @@ def home_wealth(spark, d):
 
 @query(sql=BLOCK + """
 , f AS (SELECT l_orderkey, qty1 AS exact, qty2 AS hi, qty3 AS lo, coalesce(qty4, 0) + (coalesce(qty5, 0) + coalesce(qty6, 0)) / 2 AS debt FROM block)
-SELECT l_orderkey % 100 AS hhid, sum(coalesce(exact, 0) + (coalesce(hi, 0) + coalesce(lo, 0)) / 2 - debt) AS asset_fin FROM f GROUP BY 1""")
+SELECT o_custkey AS hhid, sum(coalesce(exact, 0) + (coalesce(hi, 0) + coalesce(lo, 0)) / 2 - debt) AS asset_fin
+FROM f JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
 def household_finance(spark, d):
-    rows = line_block(spark, d).withColumn("hhid", F.col("l_orderkey") % 100)
+    members = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("hhid"))
+    rows = line_block(spark, d).join(members, "l_orderkey")
     return panel_a.household_finance(rows, "hhid", {"cash": ("qty1", "qty2", "qty3")}, {"loan": ("qty4", "qty5", "qty6")})
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +11,7 @@ from hearthline.catalog import query, table
 from hearthline.catalog.scalars import BLOCK, STATUS, line_block, status
 from hearthline.functions import household as H, recode as R
 from hearthline.operators import household as HH, predicates as P, shape as S
+from hearthline.session import shared_folder
 from hearthline.sources import labelled, tables as ST
 
 # --- column shaping -------------------------------------------------------------------------
@@ -328,11 +329,11 @@ def spell_lead(spark, d):
 
 @query(sql=f"""
 SELECT o_orderkey, st, row_number() OVER (ORDER BY st DESC NULLS LAST, o_orderkey) AS place FROM (SELECT o_orderkey, {STATUS} AS st FROM orders)
-ORDER BY place LIMIT 50""")
+ORDER BY place""")
 def sort_nulls_last(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", status().alias("st"))
-    top = HH.arrange(rows, ("st", "desc"), ("o_orderkey", "asc")).limit(50)
-    return HH.sibling_rank(top, [], [F.col("st").desc_nulls_last(), F.col("o_orderkey")], "place")
+    placed = HH.sibling_rank(rows, [], [F.col("st").desc_nulls_last(), F.col("o_orderkey")], "place")
+    return HH.arrange(placed, ("st", "desc"), ("o_orderkey", "asc"))
 
 
 @query(sql="SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
@@ -349,15 +350,8 @@ def top_value(spark, d):
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder below the shared checkpoint folder, or a temporary one in a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix=f"hearthline-{name}-") + "/t"
-    import uuid
-
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(sql="SELECT p_partkey, p_brand, p_size FROM part")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions import tails
-from hearthline.operators.skew import running_total
+from hearthline.operators.skew import hot_groups, running_total
 
 
 def chisq_from_counts(counts: DataFrame, a: str, b: str, n: str = "n", correct: bool = False) -> DataFrame:
@@ -85,10 +85,10 @@ def anova_f(df: DataFrame, x: str, group: str) -> DataFrame:
     return out.withColumn("p", tails.f_p_col(F.col("statistic"), F.col("df1"), F.col("df2")))
 
 
-def average_ranks(df: DataFrame, x: str, out: str) -> DataFrame:
+def average_ranks(df: DataFrame, x: str, out: str, hot: list[Row] | None = None) -> DataFrame:
     """(value, rank) with ties sharing their mean rank; sorted are the distinct values only."""
     counts = df.groupBy(F.col(x)).agg(F.count(F.lit(1)).alias("__c"))
-    reached = running_total(counts, [], [F.col(x).asc()], "__cum", F.col("__c"))
+    reached = running_total(counts, [], [F.col(x).asc()], "__cum", F.col("__c"), hot=hot)
     return reached.select(x, (F.col("__cum") - (F.col("__c") - 1) / 2).alias(out))
 
 
@@ -98,7 +98,8 @@ def cor_spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     rows = df.select(x, y).na.drop("any")
     # the rank tables are not split by value, so both sides are shuffled and adaptive execution can
     # split a value with many partners, or broadcast a short table
-    ranked = pairs.join(average_ranks(rows, x, "__rx"), x).join(average_ranks(rows, y, "__ry"), y)
+    hot = hot_groups(rows, [])
+    ranked = pairs.join(average_ranks(rows, x, "__rx", hot), x).join(average_ranks(rows, y, "__ry", hot), y)
     w, a, b = F.col("__w").cast("double"), F.col("__rx").cast("double"), F.col("__ry").cast("double")
     s = ranked.agg(*[F.sum(e).alias(k) for k, e in {
         "w": w, "a": w * a, "b": w * b, "aa": w * a * a, "bb": w * b * b, "ab": w * a * b}.items()])

@@ -30,20 +30,28 @@ def build_session(app: str = "hearthline", master: str | None = None, **conf) ->
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in `spark.checkpoint.dir` (or set on the context).
+
+    Only a local session without one gets a temporary folder; a cluster session is refused.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="hearthline-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read on from there.
 
     Used where a later step depends on how rows were split into partitions, or where a loop
-    would grow the plan. Only a local session without a folder of its own gets a temporary one;
-    on a cluster the folder must be named in `spark.checkpoint.dir`.
+    would grow the plan.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder, sc = shared_folder(df.sparkSession), df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="hearthline-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

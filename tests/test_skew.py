@@ -80,3 +80,25 @@ def test_quantiles(rows, hot):
 def test_hot_list_is_bounded(spark, rows, hot):
     many = spark.range(5000).select((F.col("id") % 500).alias("k"))
     assert len(skew.hot_groups(many, ["k"])) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_sampled_detection_and_result(spark):
+    """A third of all rows in one group: found on the sample, ranked and joined whole."""
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 7000).alias("k"), "id", F.xxhash64("id").alias("x"))
+    found = skew.hot_groups(df, ["k"], 4000)
+    assert [r.k for r in found] == [-1]
+    plain = skew.running_total(df, ["k"], [F.col("x").asc(), F.col("id").asc()], "n", hot=[])
+    split = skew.running_total(df, ["k"], [F.col("x").asc(), F.col("id").asc()], "n", hot=found)
+    assert split.count() == 30000 and plain.exceptAll(split).count() == 0
+    sizes = df.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
+    a = skew.lookup_join(df, sizes, ["k"], hot=[])
+    b = skew.lookup_join(df, sizes, ["k"], hot=found)
+    assert a.exceptAll(b).count() == 0 and b.count() == 30000
+
+
+def test_hot_rows_spread_over_partitions(spark):
+    df = spark.range(20000).select(F.lit(1).alias("k"), "id")
+    split = skew.running_total(df, ["k"], [F.col("id").asc()], "n", hot=skew.hot_groups(df, ["k"], 100))
+    sizes = [r["count"] for r in split.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 12000
