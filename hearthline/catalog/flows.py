@@ -102,7 +102,7 @@ def study_couples(spark, d):
         F.col("o_orderstatus").alias("school1"))
     keep = ["o_orderkey", "value", "yearly", "monthly", "years"]
     text = panel_b.cleaned(raw, keep)
-    flagged = panel_b.key_school_flags(text, ["kind1"], ["school1"], {"primary": "p"}, ["O"], "years")
+    flagged = panel_b.key_school_flags(text, ["kind1"], ["school1"], {"primary": ["p"]}, {"primary": ["O"]}, "years")
     male = R.case_when((F.col("sex") == "F", True), (F.col("sex") == "O", False))
     both = panel_b.husband_wife(flagged, male, ["what"]).withColumns({
         "homevalue": panel_b.home_value("value", F.col("what_res") == "5LOW"), "consumption": panel_b.consumption(["yearly"], ["monthly"])})

@@ -359,8 +359,8 @@ def episode_flags(spark, d):
     school = F.when(F.col("value") >= 30, "key").otherwise("plain")
     people = table(spark, d, "events").groupBy("user_id").agg(
         F.collect_set(F.struct(F.col("event_type").alias("kind"), school.alias("school"))).alias("episodes"))
-    return people.select("user_id", H.episode_flags(F.col("episodes"), "click", ["key"]).alias("click_key"),
-                         H.episode_flags(F.col("episodes"), "signup", ["key"]).alias("signup_key"))
+    return people.select("user_id", H.episode_flags(F.col("episodes"), ["click"], ["key"]).alias("click_key"),
+                         H.episode_flags(F.col("episodes"), ["signup"], ["key"]).alias("signup_key"))
 
 
 @query(sql="""

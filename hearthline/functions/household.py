@@ -75,11 +75,11 @@ def annualise(job: ColumnLike, monthly_by_job: Mapping[str, ColumnLike], unpaid:
     return case_when(*branches, (in_set(job, unpaid), F.lit(0.0)))
 
 
-def episode_flags(episodes: Column, kind: str, key_schools: Sequence[str]) -> Column:
-    """Over an array of (kind, school): true if any episode of this kind was at a key school,
-    false if only at others, missing if there was none."""
-    mine = F.filter(episodes, lambda e: (e["kind"] == kind) & e["school"].isNotNull())
-    return F.when(F.size(mine) > 0, F.exists(mine, lambda e: e["school"].isin(list(key_schools))))
+def episode_flags(episodes: Column, kinds: Sequence[str], key_schools: Sequence[str]) -> Column:
+    """Over an array of (kind, school): true if any episode of these kinds was at a key school,
+    false if only at others or at an unnamed one, missing if there was none."""
+    mine = F.filter(episodes, lambda e: e["kind"].isin(list(kinds)))
+    return F.when(F.size(mine) > 0, F.exists(mine, lambda e: F.coalesce(e["school"].isin(list(key_schools)), F.lit(False))))
 
 
 def dropout_fill(flag: ColumnLike, years: ColumnLike, level: str) -> Column:

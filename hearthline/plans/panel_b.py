@@ -11,9 +11,6 @@ from hearthline.functions import codebook, household as H, recode as R
 from hearthline.functions.text import strip_punct_space
 from hearthline.operators import shape
 
-KEY_LEVELS = ("primary", "middle", "high", "college")
-
-
 def cleaned(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """All columns as text without punctuation and blanks, but for those in `keep`."""
     text = raw.select(*[F.col(n) if n in keep else F.col(n).cast("string").alias(n) for n in raw.columns])
@@ -29,11 +26,18 @@ def episodes(levels: Sequence[str], schools: Sequence[str]) -> Column:
     return F.array(*[F.struct(F.col(k).alias("kind"), F.col(s).alias("school")) for k, s in zip(levels, schools)])
 
 
-def key_school_flags(couples: DataFrame, levels: Sequence[str], schools: Sequence[str], kinds: Mapping[str, str],
-                     key_schools: Sequence[str], years: str) -> DataFrame:
-    """key_<level> of the respondent: TRUE, FALSE or dropout, for each schooling level."""
+def key_school_flags(couples: DataFrame, levels: Sequence[str], schools: Sequence[str], kinds: Mapping[str, Sequence[str]],
+                     key_schools: Mapping[str, Sequence[str]], years: str) -> DataFrame:
+    """key_<level> of the respondent: TRUE, FALSE or dropout.
+
+    For each schooling level `kinds` lists the diploma labels that belong to it and `key_schools` the
+    school labels that count as key schools there.
+    """
     listed = couples.withColumn("__episodes", episodes(levels, schools))
-    flags = {f"key_{lv}": F.upper(H.episode_flags(F.col("__episodes"), kind, key_schools).cast("string")) for lv, kind in kinds.items()}
+    flags = {
+        f"key_{lv}": F.upper(H.episode_flags(F.col("__episodes"), labels, key_schools[lv]).cast("string"))
+        for lv, labels in kinds.items()
+    }
     flagged = listed.withColumns(flags)
     return flagged.withColumns({f"key_{lv}": H.dropout_fill(f"key_{lv}", years, lv) for lv in kinds}).drop("__episodes")
 

@@ -104,7 +104,7 @@ def test_job_cascade_and_roles(spark):
 def test_episode_flags(spark):
     rows = [([("high", "key"), ("high", "plain")],), ([("high", "plain")],), ([("middle", "key")],), ([("high", None)],)]
     df = spark.createDataFrame(rows, "e array<struct<kind:string,school:string>>")
-    assert [r[0] for r in df.select(H.episode_flags(F.col("e"), "high", ["key"])).collect()] == [True, False, None, None]
+    assert [r[0] for r in df.select(H.episode_flags(F.col("e"), ["high"], ["key"])).collect()] == [True, False, None, False]
 
 
 def test_missing_keys_join_only_on_request(spark):
