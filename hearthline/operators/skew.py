@@ -31,7 +31,7 @@ def hot_groups(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> l
 
     Keys are counted on a sample in which a hot group still shows up about a thousand times. The
     list only decides which way rows are worked on, never which rows: a group just missed takes the
-    plain way.
+    plain way. `__times` says how many times over the limit a group is.
     """
     limit = hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
     rate = min(1.0, SAMPLE_HITS / limit)
@@ -39,7 +39,8 @@ def hot_groups(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> l
     if rate < 1:
         seen, limit = seen.sample(rate, seed=17), 0.9 * SAMPLE_HITS
     sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= limit)
-    return sizes.orderBy(F.desc("__n")).limit(shuffle_partitions(df)).collect()
+    times = F.ceil(F.col("__n") / F.lit(limit)).cast("int").alias("__times")
+    return sizes.select(*keys, times).orderBy(F.desc("__times")).limit(shuffle_partitions(df)).collect()
 
 
 def same_key_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -50,15 +51,18 @@ def same_key_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
 
 
 def _hot_frame(df: DataFrame, keys: list[str], hot: list[Row]) -> DataFrame:
-    schema = T.StructType([df.schema[k] for k in keys])
-    return F.broadcast(df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], schema))
+    """Hot keys with the number of parts to split each into: as many as bring a part to the limit."""
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("__salts", T.IntegerType())])
+    most = max(2, shuffle_partitions(df))
+    rows = [(*[r[k] for k in keys], min(most, max(2, r["__times"]))) for r in hot]
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
 
 
 def split_hot(df: DataFrame, keys: list[str], hot: list[Row]) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary groups, rows of hot groups)."""
     if not keys:
         return df.limit(0), df
-    marks = _hot_frame(df, keys, hot)
+    marks = _hot_frame(df, keys, hot).drop("__salts")
     return same_key_join(df, marks, keys, "left_anti"), same_key_join(df, marks, keys, "left_semi")
 
 
@@ -140,12 +144,13 @@ def lookup_join(
     hot = hot_groups(rows, keys) if hot is None else hot
     on = keys
     if hot and keys:
-        salts = shuffle_partitions(rows)
-        marks = _hot_frame(rows, keys, hot).withColumn("__hot", F.lit(True))
-        row_salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(F.lit(0))
-        copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        rows = same_key_join(rows, marks, keys, "left").withColumn("__salt", row_salt.cast("int")).drop("__hot")
-        table = same_key_join(table, marks, keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+        marks, salts = _hot_frame(rows, keys, hot), F.coalesce(F.col("__salts"), F.lit(1))
+        # the input partition keeps exact copies of a row from sharing one salt, and a task that is
+        # run again gives the same salts
+        row_salt = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), salts.cast("long"))
+        copies = F.sequence(F.lit(0), salts - 1)
+        rows = same_key_join(rows, marks, keys, "left").withColumn("__salt", row_salt.cast("int")).drop("__salts")
+        table = same_key_join(table, marks, keys, "left").withColumn("__salt", F.explode(copies)).drop("__salts")
         on = keys + ["__salt"]
     if missing_keys_match or not keys:
         joined = same_key_join(rows, table, on, how)

@@ -102,3 +102,21 @@ def test_hot_rows_spread_over_partitions(spark):
     split = skew.running_total(df, ["k"], [F.col("id").asc()], "n", hot=skew.hot_groups(df, ["k"], 100))
     sizes = [r["count"] for r in split.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 1 and max(sizes) < 12000
+
+
+def test_copies_of_one_row_are_spread(spark):
+    """Rows that are nothing but the hot key still go to several partitions."""
+    df = spark.range(0, 8000, 1, 16).select(F.when(F.col("id") % 3 < 2, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    table = spark.createDataFrame([("hot", 1), ("1", 2)], "k string, v int").hint("shuffle_hash")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = skew.lookup_join(df, table, ["k"], hot=skew.hot_groups(df, ["k"], 500))
+        parts = joined.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    hot_total = df.filter("k = 'hot'").count()
+    assert sum(r["count"] for r in parts) == hot_total
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 0.8 * hot_total
+    assert joined.count() == 8000 and joined.filter("v = 1").count() == hot_total
