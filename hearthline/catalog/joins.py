@@ -48,7 +48,7 @@ def child_two_key_join(spark, d):
     keys, lines = ["l_orderkey", "l_linenumber"], table(spark, d, "lineitem")
     base = lines.groupBy(*keys).agg(F.sum("l_quantity").alias("qty"))
     gifts = lines.filter(F.col("l_returnflag") == "R").groupBy(*keys).agg(F.max("l_tax").alias("taxed"))
-    return link.left_join(base, gifts, keys)
+    return link.left_join(base, gifts, keys, hot=[])  # one row per key
 
 
 @query(sql="""
@@ -58,7 +58,7 @@ SELECT w2.o_custkey, earlier, current FROM w1 RIGHT JOIN w2 ON w1.o_custkey = w2
 def right_wave_join(spark, d):
     orders = table(spark, d, "orders")
     wave = lambda cond, n: orders.filter(cond).groupBy("o_custkey").agg(F.max("o_totalprice").alias(n))
-    return link.right_join(wave(year() <= 1996, "earlier"), wave(year() >= 1999, "current"), ["o_custkey"])
+    return link.right_join(wave(year() <= 1996, "earlier"), wave(year() >= 1999, "current"), ["o_custkey"], hot=[])
 
 
 @query(sql="""
@@ -87,7 +87,7 @@ SELECT c_custkey, o_orderpriority, o_orderkey FROM customer LEFT JOIN (
 def preferred_match(spark, d):
     addresses = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderpriority")
     return link.preferred_match_join(table(spark, d, "customer").select("c_custkey"), addresses, ["c_custkey"],
-                                     "o_orderpriority", ["2-HIGH", "5-LOW"])
+                                     "o_orderpriority", ["2-HIGH", "5-LOW"], hot=[])
 
 
 @query(sql="""
@@ -143,7 +143,7 @@ def slot_lookup_join(spark, d):
     slots = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("slot")).agg(
         F.sum("l_quantity").alias("qty"))
     wanted = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 9).cast("int").alias("slot"))
-    return link.slot_lookup_join(wanted, slots, ["o_orderkey"], "slot")
+    return link.slot_lookup_join(wanted, slots, ["o_orderkey"], "slot", hot=[])  # one row per order
 
 
 # --- spells and windows ---------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Joins between persons, households, children and communities.
 
 Nothing is broadcast by hand: Spark broadcasts a side whose size it knows to be small and changes
-its mind at run time; joins on a key that can be hot go through `skew.lookup_join`.
+its mind at run time; joins on a key that can be hot go through `skew.lookup_join`. `hot=[]` says
+that the rows cannot have a hot key, e.g. because they have one row per key.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ def inner_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return lookup_join(left, right, keys, "inner")
 
 
-def right_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def right_join(left: DataFrame, right: DataFrame, keys: list[str], hot: list[Row] | None = None) -> DataFrame:
     """Keep every row of the current wave (`right`), bring in the earlier one (`left`)."""
-    joined = lookup_join(right, left, keys, "left")
+    joined = lookup_join(right, left, keys, "left", hot=hot)
     return joined.select(*keys, *[n for n in left.columns if n not in keys],
                          *[n for n in right.columns if n not in keys])
 
@@ -61,7 +62,7 @@ def tier_of(df: DataFrame, city: str, code_list: DataFrame, default: str, out: s
 
 
 def preferred_match_join(
-    df: DataFrame, candidates: DataFrame, keys: list[str], role: str, order: Sequence[str]
+    df: DataFrame, candidates: DataFrame, keys: list[str], role: str, order: Sequence[str], hot: list[Row] | None = None
 ) -> DataFrame:
     """The candidate row of the most preferred role that exists for the key.
 
@@ -76,12 +77,12 @@ def preferred_match_join(
         .agg(F.min(F.struct(rank.alias("__rank"), *values)).alias("__best"))
         .select(*keys, *[F.col(f"__best.{n}").alias(n) for n in values])
     )
-    return lookup_join(df, best, keys, "left")
+    return lookup_join(df, best, keys, "left", hot=hot)
 
 
-def slot_lookup_join(df: DataFrame, long: DataFrame, keys: list[str], slot: str) -> DataFrame:
+def slot_lookup_join(df: DataFrame, long: DataFrame, keys: list[str], slot: str, hot: list[Row] | None = None) -> DataFrame:
     """Values of the slot whose number stands in `slot`, from a long (key, slot, values) table."""
-    return lookup_join(df, long, keys + [slot], "left")
+    return lookup_join(df, long, keys + [slot], "left", hot=hot)
 
 
 def parent_child_merge(children: DataFrame, parents: DataFrame, keys: list[str], suffix: str = "_parent") -> DataFrame:

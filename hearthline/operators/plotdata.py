@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthline.operators.household import group_mean_n, group_mean_strict
-from hearthline.operators.skew import group_quantiles, lookup_join
+from hearthline.operators.skew import group_quantiles, hot_groups, lookup_join
 
 
 def line_points_data(df: DataFrame, category: str, group: str, x: str) -> DataFrame:
@@ -37,11 +37,12 @@ def boxplot_data(df: DataFrame, group: str, x: str, limits: tuple[float, float]
     rows = df.select(group, F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull())
     if limits:
         rows = rows.filter(F.col("x").between(*limits))
-    boxes = group_quantiles(rows, [group], "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    hot = hot_groups(rows, [group])
+    boxes = group_quantiles(rows, [group], "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, hot)
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = F.col("x").between(F.col("q25") - reach, F.col("q75") + reach)
     # every group has one box row: grouping by it as well keeps the quartiles without a second join
-    joined = lookup_join(rows, boxes, [group], "inner", missing_keys_match=True)
+    joined = lookup_join(rows, boxes, [group], "inner", missing_keys_match=True, hot=hot)
     return joined.groupBy(group, "q25", "q50", "q75").agg(
         F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"),
         F.sum((~inside).cast("long")).alias("n_outliers"))

@@ -160,7 +160,7 @@ def lookup_join(
 
 
 def group_quantiles(
-    df: DataFrame, keys: list[str], x: str, probs: dict[str, float]
+    df: DataFrame, keys: list[str], x: str, probs: dict[str, float], hot: list[Row] | None = None
 ) -> DataFrame:
     """Exact quantiles of `x` per group with linear interpolation; one column per entry of `probs`.
 
@@ -169,7 +169,7 @@ def group_quantiles(
     """
     known = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x"))
     values = known.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    hot = hot_groups(known, keys)
+    hot = hot_groups(known, keys) if hot is None else hot
     reached = running_total(values, keys, [F.col("__x").asc()], "__cum", F.col("__c"), hot=hot)
     if hot:
         totals = values.groupBy(*keys).agg(F.sum("__c").alias("__n"))
