@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthline.catalog import query, table
-from hearthline.catalog.scalars import BLOCK, QUARTER_LABELS, QUARTERS, STATUS, line_block, status
+from hearthline.catalog.scalars import QUARTER_LABELS, QUARTERS, STATUS, status
 from hearthline.operators import household as HH, missing as M, plotdata as G, stats as ST, tables as TB
 from hearthline.operators.shape import mutate_at
 
