@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_filter
+from . import packing, url_filter
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,11 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verd
 def op1_url_filter(spark, d):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, d, "pages"), rules, ["page_id"])
+
+
+# --- 6: best-fit packing --------------------------------------------------------------------
+
+
+@query()
+def op6_best_fit_packing(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"))

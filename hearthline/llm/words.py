@@ -19,7 +19,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,16 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64, at least n of each."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, BASE_INVERSE)):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (from 0) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -79,26 +68,38 @@ class Words:
     data: np.ndarray  # lower-cased bytes
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    low = LOWER[data]
-    ink = ~SPACE[data]
-    n = len(data)
-    first = ink.copy()
-    first[1:] &= ~ink[:-1]
-    last = ink.copy()
-    last[:-1] &= ~ink[1:]
-    inner = offsets[1:-1]
-    inner = inner[(inner > 0) & (inner < n)]
-    first[inner] = ink[inner]
-    last[inner - 1] = ink[inner - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    value = (total[end] - total[start]) * down[start]
-    ptr = np.searchsorted(start, offsets).astype(np.int64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(ptr))
-    return Words(mix(value + (end - start).astype(np.uint64)), row, ptr, start, end, low)
+class Splitter:
+    """Finds words; keeps the powers of the hash's base and of its inverse, modulo 2^64."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)), dtype=np.uint64) for base in (BASE, BASE_INVERSE))
+        return self.up, self.down
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> Words:
+        """Words of texts given as all their bytes and each text's first byte; none goes across a border."""
+        low = LOWER[data]
+        ink = ~SPACE[data]
+        n = len(data)
+        first = ink.copy()
+        first[1:] &= ~ink[:-1]
+        last = ink.copy()
+        last[:-1] &= ~ink[1:]
+        inner = offsets[1:-1]
+        inner = inner[(inner > 0) & (inner < n)]
+        first[inner] = ink[inner]
+        last[inner - 1] = ink[inner - 1]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        up, down = self.powers(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+        value = (total[end] - total[start]) * down[start]
+        ptr = np.searchsorted(start, offsets).astype(np.int64)
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(ptr))
+        return Words(mix(value + (end - start).astype(np.uint64)), row, ptr, start, end, low)
 
 
 def packed(values: np.ndarray, starts: np.ndarray | None = None) -> pa.Array:
