@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, url_filter
+from . import langid, packing, url_filter
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,14 @@ def op1_url_filter(spark, d):
 @query()
 def op6_best_fit_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"))
+
+
+# --- 10: language ID ------------------------------------------------------------------------
+
+
+@query()
+def op10_language_id(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = langid.fold(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out), "text", "lang")
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -79,10 +79,12 @@ class Splitter:
             self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)), dtype=np.uint64) for base in (BASE, BASE_INVERSE))
         return self.up, self.down
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> Words:
-        """Words of texts given as all their bytes and each text's first byte; none goes across a border."""
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, ink: np.ndarray | None = None) -> Words:
+        """Words of texts given as all their bytes and each text's first byte; none goes across a border.
+
+        `ink` marks the bytes that words are made of, if not all but white space."""
         low = LOWER[data]
-        ink = ~SPACE[data]
+        ink = ~SPACE[data] if ink is None else ink
         n = len(data)
         first = ink.copy()
         first[1:] &= ~ink[:-1]
