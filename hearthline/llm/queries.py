@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, url_filter
+from . import langid, packing, url_filter, warc
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,20 @@ def op6_best_fit_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+# --- 8: WARC --------------------------------------------------------------------------------
+
+
+@query(
+    sql="""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+q AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM q),
+k AS (SELECT *, payload_bytes >= 1000 AND page_id <> top AS again FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to FROM k"""
+)
+def op8_warc(spark, d):
+    return warc.archive_and_read(table(spark, d, "pages")).drop("url")
+
+
 # --- 10: language ID ------------------------------------------------------------------------
 
 
