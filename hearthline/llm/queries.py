@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, url_filter, warc
+from . import cover_tree, langid, packing, url_filter, warc
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,26 @@ def op1_url_filter(spark, d):
     return url_filter.judge_urls(table(spark, d, "pages"), rules, ["page_id"])
 
 
+# --- 2: exact top-k search ------------------------------------------------------------------
+
+
+def finite(vector: str):
+    """The vector if no component is null or not finite, else null."""
+    return F.when(F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))), F.col(vector))
+
+
+@query(
+    sql="""WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+)
+def op2_cover_tree(spark, d):
+    whole = F.transform(finite("embedding"), lambda v: F.floor(1024 * v.cast("double")))
+    vectors = table(spark, d, "embeddings").select("vec_id", whole.alias("embedding"))
+    return cover_tree.exact_topk(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
 # --- 6: best-fit packing --------------------------------------------------------------------
 
 
