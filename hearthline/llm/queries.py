@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, langid, packing, url_filter, warc
+from . import cover_tree, langid, ngram_join, packing, url_filter, warc
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,14 @@ def op2_cover_tree(spark, d):
     return cover_tree.exact_topk(vectors, F.col("vec_id") % 100 == 0, 10)
 
 
+# --- 4: n-gram Jaccard join -----------------------------------------------------------------
+
+
+@query()
+def op4_ngram_jaccard_join(spark, d):
+    return ngram_join.near_duplicates(table(spark, d, "documents")).select("doc_id", "class_id", "n_links")
+
+
 # --- 6: best-fit packing --------------------------------------------------------------------
 
 
