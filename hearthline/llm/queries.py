@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, langid, ngram_join, packing, url_filter, warc
+from . import cover_tree, langid, ngram_join, ngram_lm, packing, url_filter, warc
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,17 @@ def op6_best_fit_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+# --- 7: LM scoring --------------------------------------------------------------------------
+
+
+@query()
+def op7_deleted_interpolation(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = langid.fold(F.col("doc_id"), 7) == 2
+    scores = ngram_lm.interpolated_scores(docs, ~held_out, file=F.col("_metadata.file_path"), row=F.col("_metadata.row_index"))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 # --- 8: WARC --------------------------------------------------------------------------------
 
 
