@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, langid, ngram_join, ngram_lm, packing, url_filter, warc
+from . import collision_ann, cover_tree, langid, mixing, ngram_join, ngram_lm, packing, url_filter, warc
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,14 @@ def op2_cover_tree(spark, d):
     return cover_tree.exact_topk(vectors, F.col("vec_id") % 100 == 0, 10)
 
 
+# --- 3: approximate nearest neighbours ------------------------------------------------------
+
+
+@query()
+def op3_collision_counting(spark, d):
+    return collision_ann.near_topk(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 # --- 4: n-gram Jaccard join -----------------------------------------------------------------
 
 
@@ -106,6 +114,17 @@ def op8_warc(spark, d):
     return warc.archive_and_read(table(spark, d, "pages")).drop("url")
 
 
+# --- 9: mixing sources to target weights ----------------------------------------------------
+
+
+@query()
+def op9_temperature_mixing(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("tokens"), F.xxhash64("text").alias("text_hash"))
+    keys = [F.col("doc_id"), F.col("text_hash")]
+    plan = mixing.mixing_plan(docs, "source", F.col("tokens"), keys)
+    return mixing.copies_of(docs, plan, "source", keys).select("doc_id", "source", "tokens", F.col("hl_weight").alias("weight"), F.col("hl_copies").alias("copies"))
+
+
 # --- 10: language ID ------------------------------------------------------------------------
 
 
