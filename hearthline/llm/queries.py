@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_ann, cover_tree, langid, mixing, ngram_join, ngram_lm, packing, url_filter, warc
+from . import collision_ann, cover_tree, langid, line_dedup, mixing, ngram_join, ngram_lm, packing, url_filter, warc
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,15 @@ def op4_ngram_jaccard_join(spark, d):
     return ngram_join.near_duplicates(table(spark, d, "documents")).select("doc_id", "class_id", "n_links")
 
 
+# --- 5: line dedup --------------------------------------------------------------------------
+
+
+@query()
+def op5_line_dedup(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", F.col("hl_lines").alias("n_lines"), F.col("hl_removed").alias("n_removed"), "text")
+
+
 # --- 6: best-fit packing --------------------------------------------------------------------
 
 
