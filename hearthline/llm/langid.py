@@ -205,24 +205,24 @@ def fit(docs: DataFrame, text: str, lang: str) -> Model:
     return Model([r["lang"] for r in found], weight, (scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)).T & (scripts.T > 0))
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = PENALTY, spans: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score and, if asked for, spans (lang, first byte, end byte in UTF-8) of every row of `docs`.
+def identify(docs: DataFrame, model: Model, carry: list[str], text: str = "text", penalty: float = PENALTY, spans: bool = False) -> DataFrame:
+    """The columns `carry`, hl_lang, hl_score and, if asked for, hl_spans (lang, first byte, end byte in UTF-8) of every row of `docs`.
 
     Words are runs of letters. A word's script leaves the languages that use it; each of these scores the word by its
-    byte n-grams, and Viterbi with a penalty for each change labels the words. `lang_pred` is the language of most
-    letter bytes, ties to the first name; `score` is its share of all letter bytes, words in scripts that no language
+    byte n-grams, and Viterbi with a penalty for each change labels the words. `hl_lang` is the language of most
+    letter bytes, ties to the first name; `hl_score` is its share of all letter bytes, words in scripts that no language
     uses counting against it. `und` and 0 if the text is null, has no letter, or the model no language. Whole texts
     are read, in slices of a few MB or one text. No shuffle; rows, repeated ones too, come back one for one.
     """
-    rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
+    rows = docs.select(*[col(c) for c in carry], col(text).alias("hl_text"))
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weight, model.uses))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, own = Reader(), Model(*shared.value)
         names = np.array([*own.langs, "und"], object)
         for batch in batches:
-            for part in slices(batch, "text"):
-                words, script = reader.words(*buffers(part.column("text")))
+            for part in slices(batch, "hl_text"):
+                words, script = reader.words(*buffers(part.column("hl_text")))
                 weight = np.zeros((part.num_rows, max(1, len(own.langs))))
                 found: list = [[] for _ in range(part.num_rows)]
                 if own.langs:
@@ -232,23 +232,22 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                     np.add.at(weight, (words.row[known], path[known]), size[known])
                     if spans and len(path):
                         edge = np.flatnonzero((np.diff(path, prepend=-1) != 0) | (np.diff(words.row, prepend=-1) != 0))
-                        origin = buffers(part.column("text"))[1]
+                        origin = buffers(part.column("hl_text"))[1]
                         for a, b in zip(edge, np.append(edge[1:], len(path))):
                             i = words.row[a]
                             found[i].append({"lang": names[path[a]], "start": int(words.start[a] - origin[i]), "end": int(words.end[b - 1] - origin[i])})
                 letters = np.bincount(words.row, words.end - words.start, part.num_rows)
                 none = (letters == 0) | (not own.langs)
-                columns = {
-                    "doc_id": part.column("doc_id"),
-                    "lang_pred": pa.array(np.where(none, "und", names[weight.argmax(1)]), pa.string()),
-                    "score": pa.array(np.where(none, 0.0, weight.max(1) / np.maximum(letters, 1))),
+                columns = dict(zip(carry, part.columns)) | {
+                    "hl_lang": pa.array(np.where(none, "und", names[weight.argmax(1)]), pa.string()),
+                    "hl_score": pa.array(np.where(none, 0.0, weight.max(1) / np.maximum(letters, 1))),
                 }
                 if spans:
-                    columns["spans"] = pa.array(found, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
+                    columns["hl_spans"] = pa.array(found, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
-    return rows.mapInArrow(label, schema + ", spans array<struct<lang: string, start: long, end: long>>" * spans)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1]) + "hl_lang string, hl_score double"
+    return rows.mapInArrow(label, schema + ", hl_spans array<struct<lang: string, start: long, end: long>>" * spans)
 
 
 def fold(doc_id: Column, parts: int) -> Column:

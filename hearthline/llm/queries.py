@@ -142,4 +142,14 @@ def op10_language_id(spark, d):
     docs = table(spark, d, "documents")
     held_out = langid.fold(F.col("doc_id"), 4) == 2
     model = langid.fit(docs.where(~held_out), "text", "lang")
-    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), F.col("hl_lang").alias("lang_pred"), F.col("hl_score").alias("score"))
+
+
+# --- the stages together --------------------------------------------------------------------
+
+
+@query()
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
