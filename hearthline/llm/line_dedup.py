@@ -347,10 +347,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     """
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"), F.xxhash64(col(text)).alias("text_hash"))
     first = first_lines(rows).join(repeated_lines(rows, threshold), "name", "left_anti")
-    staying = first.groupBy("doc_id", "text_hash").agg(F.collect_list("number").alias("numbers"))
-    staying = staying.select(F.col("doc_id").alias("hl_of"), F.col("text_hash").alias("hl_hash"), "numbers")
+    staying = first.groupBy("doc_id", "text_hash").agg(F.collect_list("number").alias("hl_numbers"))
+    staying = staying.select(F.col("doc_id").alias("hl_of"), F.col("text_hash").alias("hl_hash"), "hl_numbers")
     joined = docs.join(staying, col(doc_id).cast("long").eqNullSafe(F.col("hl_of")) & (F.xxhash64(col(text)) == F.col("hl_hash")), "left")
-    joined = joined.select(*[col(c) for c in docs.columns], F.col("numbers").alias("hl_numbers"))
+    joined = joined.select(*[col(c) for c in docs.columns], "hl_numbers")
     at, names = docs.columns.index(text), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,8 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(words.ptr)
     whole = np.zeros(len(words.hash), np.uint64)
     for k in range(n):
-        whole[: len(whole) - k] = whole[: len(whole) - k] * STRONG + words.hash[k:]
+        m = max(0, len(whole) - k)
+        whole[:m] = whole[:m] * STRONG + words.hash[len(whole) - m :]
     left = words.ptr[words.row + 1] - np.arange(len(words.row))  # words from here to the end of the text
     value = whole[left >= n]
     size = np.where(count >= n, count - n + 1, (count > 0).astype(int))
