@@ -20,7 +20,7 @@ from .words import Splitter, Words, buffers, slices
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16  # hashed byte n-grams; the size of the model by language
 PENALTY = 8.0  # natural log units that a change of language must gain
-UNSURE = -40.0  # score of a word in a language that doesn't use its script
+UNSURE = -40.0  # how far a word scores below its best candidate in a language that doesn't use its script
 SCRIPT_SHARE = 0.001  # a language uses a script if at least this share of its words does
 PARTS = 64  # partial counts that one task of the first level adds up
 
@@ -105,7 +105,8 @@ def word_scores(model: Model, reader: Reader, words: Words, script: np.ndarray)
         stop = first[-1] + (words.end[-1] - words.start[-1]) + 1
         out += np.add.reduceat(model.weight[k][bucket[:stop]], first, axis=0)
     uses = model.uses[script]
-    out[~uses] = UNSURE
+    best = np.where(uses, out, -np.inf).max(1, keepdims=True)
+    out = np.where(uses, out, np.float32(UNSURE) + best)
     out[~uses.any(1)] = 0
     return out
 
