@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -30,8 +32,7 @@ def temperature(shares: DataFrame, target_entropy: float | None, max_repeats: fl
             power = F.pow(F.col("p") / sums.most, F.lit(a))
             parts += [F.sum(power).alias(f"z{k}"), F.sum(power * F.log(F.col("p") / sums.most)).alias(f"l{k}")]
         row = shares.agg(*parts).first()
-        log = shares.sparkSession.range(1).select(*[F.log(F.lit(row[f"z{k}"])).alias(str(k)) for k in range(len(exponents))]).first()
-        return [log[str(k)] - a * row[f"l{k}"] / row[f"z{k}"] for k, a in enumerate(exponents)]
+        return [log(row[f"z{k}"]) - a * row[f"l{k}"] / row[f"z{k}"] for k, a in enumerate(exponents)]
 
     def bisected(fits) -> float:
         """The end at 0 of the smallest interval found at whose start `fits` holds and at whose end it doesn't."""
@@ -45,8 +46,6 @@ def temperature(shares: DataFrame, target_entropy: float | None, max_repeats: fl
 
     exponent = 1.0
     if target_entropy is not None:
-        from math import log
-
         wanted = target_entropy * log(sums.n)
         if entropies([1.0])[0] < wanted:
             exponent = bisected(lambda inner: [h >= wanted for h in entropies(inner)])
@@ -68,7 +67,7 @@ def mixing_plan(docs: DataFrame, source: str, tokens: Column, keys: list[Column]
     the plan holds the last block it enters and the last hash it takes there, so that each row can be judged by itself.
     """
     rows = docs.select(col(source).alias("source"), tokens.alias("tokens"), F.xxhash64(*keys).alias("key"))
-    sources = kept(rows.groupBy("source").agg(F.sum("tokens").alias("total"), F.count("*").alias("docs")), "sources")
+    sources = kept(rows.groupBy("source").agg(F.sum("tokens").alias("total"), F.count("*").alias("docs")), "sources", small=True)
     whole = sources.agg(F.sum("total")).first()[0] or 0
     shares = sources.where("total > 0").select((F.col("total") / F.lit(float(whole or 1))).alias("p"))
     exponent = temperature(shares, target_entropy, max_repeats)
@@ -80,19 +79,19 @@ def mixing_plan(docs: DataFrame, source: str, tokens: Column, keys: list[Column]
     repeats = F.when(F.col("total") > 0, F.col("weight") * float(budget) / F.col("total")).otherwise(1.0)
     sources = sources.withColumn("repeats", F.round(repeats, 9)).withColumn("passes", F.floor("repeats").cast("int"))
     sources = sources.withColumn("rest", F.floor((F.col("repeats") - F.col("passes")) * F.col("total") + 1e-6).cast("long")).withColumn("blocks", F.ceil(F.sqrt("docs")).cast("int"))
-    sources = kept(sources, "budgets")
+    sources = kept(sources, "budgets", small=True)
     placed = rows.join(sources.where("rest > 0").select(F.col("source").alias("of"), "passes", "rest", "blocks"), F.col("source").eqNullSafe(F.col("of")))
     placed = placed.select("of", "rest", "tokens", *place(F.col("key"), F.col("passes"), F.col("blocks"), seed))
     sums = placed.groupBy("of", "block").agg(F.sum("tokens").alias("sum"), F.first("rest").alias("rest"))
     sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(Window.partitionBy("of").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     last = sums.where("before <= rest").groupBy("of").agg(F.max(F.struct("block", "before")).alias("last"))
-    last = kept(last.select(F.col("of").alias("last_of"), F.col("last.block").alias("last_block"), F.col("last.before").alias("before")), "last-blocks")
+    last = kept(last.select(F.col("of").alias("last_of"), F.col("last.block").alias("last_block"), F.col("last.before").alias("before")), "last-blocks", small=True)
     inside = placed.join(last, F.col("of").eqNullSafe(F.col("last_of")) & (F.col("block") == F.col("last_block"))).groupBy("of", "order").agg(F.sum("tokens").alias("sum"), F.first("rest").alias("rest"), F.first("before").alias("before"))
     running = F.sum("sum").over(Window.partitionBy("of").orderBy("order").rowsBetween(Window.unboundedPreceding, 0))
     ends = inside.withColumn("used", F.col("before") + running).where("used <= rest").groupBy("of").agg(F.max("order").alias("last_order"))
     ends = last.join(ends, F.col("last_of").eqNullSafe(F.col("of")), "left").select("last_of", "last_block", "last_order")
     plan = sources.join(ends, F.col("source").eqNullSafe(F.col("last_of")), "left")
-    return kept(plan.select("source", F.col("total").alias("source_tokens"), "docs", "weight", "repeats", "passes", "blocks", "last_block", "last_order"), "mixing-plan")
+    return kept(plan.select("source", F.col("total").alias("source_tokens"), "docs", "weight", "repeats", "passes", "blocks", "last_block", "last_order"), "mixing-plan", small=True)
 
 
 def place(key: Column, pass_: Column, blocks: Column, seed: int) -> list[Column]:

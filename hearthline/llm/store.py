@@ -15,10 +15,12 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: later steps neither repeat the work nor
-    depend on an executor that may be lost."""
+    depend on an executor that may be lost. `small` tables, such as one row for each source, go to fewer files than a shuffle has partitions."""
     path = folder(df.sparkSession, name)
+    if small:
+        df = df.repartition(1 + int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 32)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
