@@ -280,7 +280,7 @@ def group_size(spark, d):
 
 @query(sql="""
 SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
-  ORDER BY CASE o_orderpriority WHEN '3-MEDIUM' THEN 1 ELSE 2 END, o_orderkey) AS rn FROM orders WHERE o_orderpriority IN ('3-MEDIUM', '1-URGENT')) WHERE rn = 1""")
+  ORDER BY CASE o_orderpriority WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, o_orderkey) AS rn FROM orders) WHERE rn = 1""")
 def householder(spark, d):
     people = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
     return HH.householder(people, ["o_custkey"], "o_orderpriority", ["3-MEDIUM", "1-URGENT"], "o_orderkey")

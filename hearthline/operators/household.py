@@ -115,9 +115,9 @@ def desc(x: str) -> list[Column]:
 
 
 def householder(df: DataFrame, keys: list[str], role: str, order: Sequence[str], tie: str) -> DataFrame:
-    """First person of the most preferred role, e.g. father before mother."""
-    place = F.array_position(F.array(*[F.lit(r) for r in order]), F.col(role))
-    return pick_first(df.filter(F.col(role).isin(list(order))), keys, [place, F.col(tie)])
+    """First person of the most preferred role, e.g. father before mother; persons of other or missing roles come last."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(r) for r in order]), F.col(role)), F.lit(0)), F.lit(len(order) + 1))
+    return pick_first(df, keys, [place, F.col(tie)])
 
 
 def sample_one(df: DataFrame, keys: list[str], ids: Sequence[str], seed: int) -> DataFrame:

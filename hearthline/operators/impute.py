@@ -151,7 +151,10 @@ def _chained(df: DataFrame, id_col: str, cols: Sequence[str], m: int, maxit: int
     gone = {c: f"__gone_{c}" for c in cols}
     base = stable(df.select(id_col, *cols, *[F.col(c).isNull().alias(g) for c, g in gone.items()]))
     holes = base.agg(*[F.sum(F.col(g).cast("long")).alias(c) for c, g in gone.items()]).first()
-    incomplete = [c for c in cols if holes[c]]
+    n = base.count()
+    empty = [c for c in cols if holes[c] == n]  # nothing to draw from: it stays missing and predicts nothing
+    incomplete = [c for c in cols if holes[c] and c not in empty]
+    cols = [c for c in cols if c not in empty]
     levels = {c: factor_levels(base, c) for c in cols if isinstance(base.schema[c].dataType, (T.StringType, T.BooleanType))}
     hot = hot_groups(base, [])
     copies = []
@@ -170,7 +173,7 @@ def _chained(df: DataFrame, id_col: str, cols: Sequence[str], m: int, maxit: int
                 new = step(rows, id_col, c, others, levels, draw_seed, hot).withColumnRenamed(c, "__new")
                 state = stable(
                     rows.join(new, id_col, "left").withColumn(c, F.coalesce(c, "__new")).select(*base.columns))
-        rest = [c for c in df.columns if c not in cols and c != id_col]
+        rest = [c for c in df.columns if c not in base.columns]
         state = state.drop(*gone.values())
         done = state.join(df.select(id_col, *rest), id_col) if rest else state
         copies.append(done.select(*df.columns).withColumn("imp", F.lit(k)))

@@ -34,8 +34,8 @@ def full_join(tables: Sequence[DataFrame], keys: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, keys, "outer"), tables)
 
 
-def inner_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return lookup_join(left, right, keys, "inner")
+def inner_join(left: DataFrame, right: DataFrame, keys: list[str], hot: list[Row] | None = None) -> DataFrame:
+    return lookup_join(left, right, keys, "inner", hot=hot)
 
 
 def right_join(left: DataFrame, right: DataFrame, keys: list[str], hot: list[Row] | None = None) -> DataFrame:
@@ -45,18 +45,20 @@ def right_join(left: DataFrame, right: DataFrame, keys: list[str], hot: list[Row
                          *[n for n in right.columns if n not in keys])
 
 
-def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    return lookup_join(left, right, [n for n in left.columns if n in right.columns], "left")
+def natural_left_join(left: DataFrame, right: DataFrame, hot: list[Row] | None = None) -> DataFrame:
+    return lookup_join(left, right, [n for n in left.columns if n in right.columns], "left", hot=hot)
 
 
 def dim_join(df: DataFrame, dim: DataFrame, keys: list[str], defaults: Mapping[str, object]) -> DataFrame:
-    """Attributes of a dimension table, with a default where the key is unknown."""
-    joined = df.join(dim, keys, "left")
+    """Attributes of a dimension table, with a default where the key is unknown. Of several rows of a key the largest holds."""
+    values = [n for n in dim.columns if n not in keys]
+    one = dim.groupBy(*keys).agg(F.max(F.struct(*values)).alias("__row")).select(*keys, *[F.col(f"__row.{n}").alias(n) for n in values])
+    joined = df.join(one, keys, "left")
     return joined.withColumns({n: F.coalesce(F.col(n), F.lit(d)) for n, d in defaults.items()})
 
 
 def tier_of(df: DataFrame, city: str, code_list: DataFrame, default: str, out: str = "tier") -> DataFrame:
-    """City tier by the user's code list (city, tier); other cities get the lowest tier."""
+    """City tier by the user's code list (city, tier); other cities get the lowest tier, and of several tiers of a city the last list holds."""
     names = code_list.select(F.col("city").alias(city), F.col("tier").alias(out))
     return dim_join(df, names, [city], {out: default})
 
@@ -85,16 +87,17 @@ def slot_lookup_join(df: DataFrame, long: DataFrame, keys: list[str], slot: str,
     return lookup_join(df, long, keys + [slot], "left", hot=hot)
 
 
-def parent_child_merge(children: DataFrame, parents: DataFrame, keys: list[str], suffix: str = "_parent") -> DataFrame:
-    return lookup_join(children, suffix_cols(parents, suffix, keys), keys, "left")
+def parent_child_merge(children: DataFrame, parents: DataFrame, keys: list[str], suffix: str = "_parent",
+                       hot: list[Row] | None = None) -> DataFrame:
+    return lookup_join(children, suffix_cols(parents, suffix, keys), keys, "left", hot=hot)
 
 
 def interval_overlap_join(
     spells: DataFrame, windows: DataFrame, keys: list[str], spell: tuple[str, str], window: tuple[str, str],
-    out: str = "overlap",
+    out: str = "overlap", hot: list[Row] | None = None,
 ) -> DataFrame:
     """Years each spell shares with its person's window (one row per person in `windows`)."""
-    joined = lookup_join(spells, windows, keys, "left")
+    joined = lookup_join(spells, windows, keys, "left", hot=hot)
     return joined.withColumn(out, F.coalesce(overlap_years(*spell, *window), F.lit(0)))
 
 

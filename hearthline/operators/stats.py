@@ -60,25 +60,28 @@ def _moments(df: DataFrame, x: str, group: str) -> DataFrame:
 
 
 def t_test(df: DataFrame, x: str, group: str) -> DataFrame:
-    """Welch's test between the two levels of `group` (in their order): first minus second."""
+    """Welch's test between the two levels of `group` (in their order): first minus second. Any other number of levels is an error."""
     both = _moments(df, x, group).agg(
-        F.min_by(F.struct("n", "m", "v"), group).alias("a"), F.max_by(F.struct("n", "m", "v"), group).alias("b"))
+        F.min_by(F.struct("n", "m", "v"), group).alias("a"), F.max_by(F.struct("n", "m", "v"), group).alias("b"), F.count(F.lit(1)).alias("levels"))
+    wrong = F.raise_error(F.concat(F.lit("a t test needs two levels, not "), F.col("levels").cast("string"))).cast("double")
     se_a, se_b = F.col("a.v") / F.col("a.n"), F.col("b.v") / F.col("b.n")
     freedom = (se_a + se_b) ** 2 / (se_a**2 / (F.col("a.n") - 1) + se_b**2 / (F.col("b.n") - 1))
     out = both.select(
-        F.col("a.m").alias("mean_a"), F.col("b.m").alias("mean_b"),
+        F.when(F.col("levels") == 2, F.col("a.m")).otherwise(wrong).alias("mean_a"), F.col("b.m").alias("mean_b"),
         ((F.col("a.m") - F.col("b.m")) / F.sqrt(se_a + se_b)).alias("statistic"), freedom.alias("df"))
     return out.withColumn("p", tails.t_p_col(F.col("statistic"), F.col("df")))
 
 
 def anova_f(df: DataFrame, x: str, group: str) -> DataFrame:
-    """One-way comparison of means."""
+    """One-way comparison of means. Group means are centred at the grand mean before they are squared."""
     n, m, v = F.col("n"), F.col("m"), F.col("v")
-    sums = _moments(df, x, group).agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum(n * m * m).alias("sq"), F.sum(n * m).alias("s"),
+    moments = _moments(df, x, group)
+    grand = moments.agg((F.sum(n * m) / F.sum(n)).alias("grand"))
+    sums = moments.join(F.broadcast(grand), F.lit(True)).agg(  # one row
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum(n * (m - F.col("grand")) ** 2).alias("between"),
         F.sum((n - 1) * F.coalesce(v, F.lit(0.0))).alias("within"))
     df1, df2 = F.col("k") - 1, F.col("total") - F.col("k")
-    between = F.col("sq") - F.col("s") ** 2 / F.col("total")
+    between = F.col("between")
     safe = (df1 > 0) & (df2 > 0) & (F.col("within") > 0)
     out = sums.select(F.when(safe, (between / df1) / (F.col("within") / df2)).alias("statistic"),
                       df1.alias("df1"), df2.alias("df2"))

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthline.functions import codebook, household as H, recode as R
 from hearthline.functions.text import strip_punct_space
@@ -13,8 +14,9 @@ from hearthline.operators import shape
 
 def cleaned(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """All columns as text without punctuation and blanks, but for those in `keep`."""
-    text = raw.select(*[F.col(n) if n in keep else F.col(n).cast("string").alias(n) for n in raw.columns])
-    return strip_punct_space(text, [n for n in raw.columns if n not in keep])
+    text = [f.name for f in raw.schema if isinstance(f.dataType, T.StringType) and f.name not in keep]
+    clean = strip_punct_space(raw, text) if text else raw
+    return clean.select(*[F.col(n) if n in keep else F.col(n).cast("string").alias(n) for n in raw.columns])
 
 
 def schooling_years(code: str, values: Sequence[int] = tuple(codebook.SCHOOLING_YEARS_RESPONDENT)) -> Column:

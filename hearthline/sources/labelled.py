@@ -28,11 +28,9 @@ def read_extract(spark: SparkSession, path: str, schema: T.StructType | str | No
 
 
 def decode_labels(df: DataFrame, labels: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace codes by their labels; a code without a label stays as text."""
+    """Replace codes by their labels; a code without a label stays as text, of several labels the last in the alphabet holds."""
     for name in cols:
-        mine = labels.filter(F.col("col") == name).select(
-            F.col("code").cast("string").alias("__code"), F.col("label").alias("__label")
-        )
+        mine = labels.filter(F.col("col") == name).groupBy(F.col("code").cast("string").alias("__code")).agg(F.max("label").alias("__label"))
         code = F.col(name).cast("string")
         df = (
             df.join(mine, code == F.col("__code"), "left")
@@ -54,9 +52,10 @@ def read_raw_codes(spark: SparkSession, path: str, schema: T.StructType | str, e
 
 
 def read_spss_extract(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Extract whose every column is cleaned text: no punctuation, no blanks, empty is missing."""
-    df = read_extract(spark, path, None, fmt)
-    return strip_punct_space(df.select(*[F.col(n).cast("string").alias(n) for n in df.columns]))
+    """Extract whose every column is text: without punctuation and blanks where it was text before, empty is missing;
+    numbers keep their sign and point."""
+    df = strip_punct_space(read_extract(spark, path, None, fmt))
+    return df.select(*[F.col(n).cast("string").alias(n) for n in df.columns])
 
 
 def read_code_list(spark: SparkSession, path: str) -> DataFrame:

@@ -19,10 +19,10 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 def write_report_csv(df: DataFrame, path: str) -> None:
     """A report as one CSV file. For finished tables of a page or so, not for data."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_model_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Coefficient table to CSV or parquet."""
-    writer = df.coalesce(1).write.mode("overwrite")
+    writer = df.repartition(1).write.mode("overwrite")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)

@@ -52,7 +52,7 @@ def test_unpivot_then_pivot_is_identity(spark):
 def test_householder(spark):
     rows = [("a", 1, "mother"), ("b", 2, "father"), ("b", 3, "mother"), ("b", 4, "father"), ("c", 5, "other")]
     df = spark.createDataFrame(rows, "hhid string, id int, role string")
-    assert sorted(map(tuple, HH.householder(df, ["hhid"], "role", ["father", "mother"], "id").select("hhid", "id").collect())) == [("a", 1), ("b", 2)]
+    assert sorted(map(tuple, HH.householder(df, ["hhid"], "role", ["father", "mother"], "id").select("hhid", "id").collect())) == [("a", 1), ("b", 2), ("c", 5)]
 
 
 def test_twins_get_different_ranks(spark):
@@ -112,3 +112,16 @@ def test_missing_keys_join_only_on_request(spark):
     right = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
     assert {r.k: r.v for r in link.left_join(left, right, ["k"]).collect()} == {"a": 1, None: None}
     assert {r.k: r.v for r in link.left_join(left, right, ["k"], missing_keys_match=True).collect()} == {"a": 1, None: 2}
+
+
+def test_householder_of_other_roles(spark):
+    """A household without a listed role still has its first person."""
+    rows = [("a", 2, "mother"), ("a", 1, None), ("b", 5, None), ("c", 7, "aunt"), ("c", 6, "cousin")]
+    df = spark.createDataFrame(rows, "hhid string, id int, role string")
+    assert sorted(map(tuple, HH.householder(df, ["hhid"], "role", ["father", "mother"], "id").select("hhid", "id").collect())) == [("a", 2), ("b", 5), ("c", 6)]
+
+
+def test_city_listed_twice(spark):
+    people = spark.createDataFrame([(1, "x"), (2, "y")], "id int, city string")
+    codes = spark.createDataFrame([("x", "1"), ("x", "2")], "city string, tier string")
+    assert sorted(map(tuple, link.tier_of(people, "city", codes, "4").select("id", "tier").collect())) == [(1, "2"), (2, "4")]

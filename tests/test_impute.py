@@ -67,3 +67,11 @@ def test_simple_fills(spark):
     df = spark.createDataFrame([(1, 2.0, True), (2, None, True), (3, None, False), (4, 4.0, False)], "id int, x double, f boolean")
     assert [r.x for r in I.fill_median(df, "x", F.col("f")).orderBy("id").collect()] == [2.0, 3.0, 0.0, 4.0]
     assert [r.x for r in I.fill_constant(df, {"x": 1960.0}).orderBy("id").collect()] == [2.0, 1960.0, 1960.0, 4.0]
+
+
+def test_column_without_any_value_stays_missing(spark):
+    from hearthline.operators import impute
+
+    df = spark.createDataFrame([(i, float(i % 7) if i % 3 else None, None) for i in range(60)], "id long, x double, y double")
+    out = impute.impute_mice_pmm(df, "id", ["x", "y"], m=1, maxit=1).collect()
+    assert len(out) == 60 and all(r["x"] is not None and r["y"] is None for r in out)

@@ -34,3 +34,13 @@ def test_tables_and_reports(spark, tmp_path):
     tables.write_report_csv(df, str(tmp_path / "r"))
     tables.write_model_table(df, str(tmp_path / "m"), "parquet")
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == tables.load_table(spark, str(tmp_path / "m")).count() == 2
+
+
+def test_spss_extract_keeps_numbers(spark, tmp_path):
+    from hearthline.sources import labelled
+
+    spark.createDataFrame([(-12.5, " a,b ", 3), (None, "", -4)], "x double, t string, n int").write.parquet(str(tmp_path / "e"))
+    rows = labelled.read_spss_extract(spark, str(tmp_path / "e")).collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted([repr(("-12.5", "ab", "3")), repr((None, None, "-4"))])
+    labels = spark.createDataFrame([("n", 3, "three"), ("n", 3, "drei")], "col string, code int, label string")
+    assert labelled.decode_labels(spark.createDataFrame([(3,)], "n int"), labels, ["n"]).count() == 1

@@ -135,3 +135,18 @@ def test_box_limits_drop_rows_first(spark):
     df = spark.createDataFrame([("g", float(v)) for v in [1, 2, 3, 4, 5, 100, 1000]], "g string, x double")
     row = G.boxplot_data(df, "g", "x", (0, 100)).first()
     assert (row.q50, row.low, row.high, row.n_outliers) == (3.5, 1.0, 5.0, 1)
+
+
+def test_anova_far_from_zero(spark):
+    """Equal means at 10^7: squares would swamp the differences."""
+    rows = [(g, 1e7 + ((i * 7919) % 1000) / 1000) for g in "abc" for i in range(3000)]
+    r = ST.anova_f(spark.createDataFrame(rows, "g string, x double"), "x", "g").first()
+    assert 0 <= r["statistic"] < 1e-6 and r["p"] > 0.999
+
+
+def test_t_test_wants_two_levels(spark):
+    from pyspark.errors import PySparkException
+
+    rows = [(g, float(i)) for g in "abc" for i in range(4)]
+    with pytest.raises(PySparkException, match="two levels"):
+        ST.t_test(spark.createDataFrame(rows, "g string, x double"), "x", "g").collect()
