@@ -16,9 +16,10 @@ from .words import unpacked
 
 PROJECTIONS = 64
 WIDTH = 1.2  # half a window, in units of the radius
-SLACK = 1.8  # standard deviations that the threshold lies below the collisions expected at the radius
+SLACK = 1.2  # standard deviations that the threshold lies below the collisions expected at the radius
 GROWTH = 1.1  # by which virtual rehashing widens the radius
-PROBES = 64  # rows of a block whose distances give the first radius
+PROBES = 64  # at least so many vectors of a block give the first radius
+TOGETHER = 256  # queries whose windows are held at a time
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 2048
 
@@ -27,44 +28,49 @@ class Windows:
     """Sorted arrays of one projection each over a block of vectors."""
 
     def __init__(self, x: np.ndarray, seed: int):
-        self.x = x
+        self.x, self.squares = x, (x * x).sum(1)
         self.lines = np.random.default_rng(seed).normal(size=(PROJECTIONS, x.shape[1]))
         values = self.lines @ x.T
-        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(values, self.order, 1)
+        order = np.argsort(values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values, order, 1)
+        # the place of each vector in each array: it is in a window if this lies between the window's ends
+        self.place = np.empty(order.shape, np.uint16 if len(x) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(x), dtype=self.place.dtype)[None, :], 1)
         chance = erf(WIDTH / sqrt(2))
         self.threshold = int(np.floor(PROJECTIONS * chance - SLACK * sqrt(PROJECTIONS * chance * (1 - chance))))
-        self.probes = x[:: max(1, len(x) // PROBES)]
 
-    def nearest(self, q: np.ndarray, k: int, barred: np.ndarray) -> np.ndarray:
-        """Places of at least k near vectors (all, if there are fewer).
+    def nearest(self, queries: np.ndarray, k: int, barred: list[np.ndarray]) -> list[np.ndarray]:
+        """For each query the places of at least k near vectors (all, if there are fewer).
 
-        The windows around the query's projections are widened until k verified vectors lie within the radius; those that have
-        entered windows `threshold` times are verified. `barred` vectors are none of the k.
+        The windows around the queries' projections are widened until k verified vectors lie within the radius; those in at least
+        `threshold` windows are verified. `barred` vectors are none of a query's k. The first radius is the distance of the
+        nearest of about n / k vectors.
         """
-        n = len(self.x)
-        at = self.lines @ q
-        lo = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, at)])
-        hi = lo.copy()
-        count = np.zeros(n, np.int32)
-        done = np.zeros(n, bool)
-        far = np.full(n, np.inf)
-        radius = 0.5 * np.sqrt(((self.probes - q) ** 2).sum(1)).min() or 1e-9
-        while True:
-            left = [int(np.searchsorted(s, v - WIDTH * radius, "left")) for s, v in zip(self.sorted, at)]
-            right = [int(np.searchsorted(s, v + WIDTH * radius, "right")) for s, v in zip(self.sorted, at)]
-            new = [o[a:b] for o, a, b in zip(self.order, left, lo) if a < b] + [o[a:b] for o, a, b in zip(self.order, hi, right) if a < b]
-            if new:
-                count += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-            lo, hi = np.minimum(lo, left), np.maximum(hi, right)
-            fresh = np.flatnonzero((count >= self.threshold) & ~done)
-            if len(fresh):
-                done[fresh] = True
-                far[fresh] = np.sqrt(((self.x[fresh] - q) ** 2).sum(1))
-                far[barred] = np.inf
-            if (far <= radius).sum() >= k or (hi - lo).min() >= n:
-                return np.flatnonzero(np.isfinite(far))
-            radius *= GROWTH
+        n, kind = len(self.x), self.place.dtype.type
+        at = queries @ self.lines.T
+        probes = slice(None, None, max(1, min(k, n // PROBES)))
+        far2 = self.squares[None, probes] + (queries * queries).sum(1)[:, None] - 2 * queries @ self.x[probes].T
+        radius = np.maximum(np.sqrt(np.maximum(far2, 0).min(1)), 1e-9)
+        far: list = [np.full(n, np.inf, np.float64) for _ in queries]
+        done = [np.zeros(n, bool) for _ in queries]
+        out: list = [None] * len(queries)
+        active = np.arange(len(queries))
+        while len(active):
+            half = WIDTH * radius[active]
+            lo = np.stack([np.searchsorted(s, v - half, "left") for s, v in zip(self.sorted, at[active].T)], 1)
+            hi = np.stack([np.searchsorted(s, v + half, "right") for s, v in zip(self.sorted, at[active].T)], 1)
+            for i, q in enumerate(active):
+                inside = (self.place - lo[i].astype(kind)[:, None]) < (hi[i] - lo[i]).astype(kind)[:, None]
+                fresh = np.flatnonzero((inside.view(np.uint8).sum(0, dtype=np.uint8) >= self.threshold) & ~done[q])
+                done[q][fresh] = True
+                apart = self.squares[fresh] + queries[q] @ queries[q] - 2 * (self.x[fresh] @ queries[q])
+                far[q][fresh] = np.sqrt(np.maximum(apart, 0))
+                far[q][barred[q]] = np.inf
+                if (far[q] <= radius[q]).sum() >= k or (hi[i] - lo[i]).min() >= n:
+                    out[q], far[q], done[q] = np.flatnonzero(np.isfinite(far[q])), None, None
+            active = np.array([q for q in active if out[q] is None], np.int64)
+            radius[active] *= GROWTH
+        return out
 
 
 def near_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS, seed: int = 30) -> DataFrame:
@@ -108,16 +114,21 @@ def near_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_i
             ids, x = left["id"].to_numpy(), unpacked(pa.array(left["vec"], pa.binary()), "<f8")[0].reshape(len(left), size)
             scaled = x / top
             index = Windows(np.column_stack([scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(1)))]), seed)
-            for query_id, data in zip(right["query_id"].tolist(), right["query_vec"]):
-                q = np.frombuffer(data, "<f8")
-                unit = q / np.abs(q).max()
-                near = index.nearest(np.append(unit / np.linalg.norm(unit), 0), k, np.flatnonzero(ids == query_id))
-                score = (x[near] * q).sum(1)
-                best = np.lexsort((ids[near], -score))[:k]
-                out[0] += [query_id] * len(best)
-                out[1] += [data] * len(best)
-                out[2].append(ids[near][best])
-                out[3].append(score[best])
+            own, queries = right["query_id"].to_numpy(), unpacked(pa.array(right["query_vec"], pa.binary()), "<f8")[0].reshape(len(right), size)
+            unit = queries / np.abs(queries).max(1, keepdims=True)
+            unit = np.column_stack([unit / np.linalg.norm(unit, axis=1, keepdims=True), np.zeros(len(unit))])
+            order = np.argsort(ids, kind="stable")
+            ends = [np.searchsorted(ids[order], own, side) for side in ("left", "right")]
+            barred = [order[a:b] for a, b in zip(*ends)]
+            for at in range(0, len(own), TOGETHER):
+                part = slice(at, at + TOGETHER)
+                for query_id, q, data, near in zip(own[part].tolist(), queries[part], right["query_vec"].iloc[part], index.nearest(unit[part], k, barred[part])):
+                    score = (x[near] * q).sum(1)
+                    best = np.lexsort((ids[near], -score))[:k]
+                    out[0] += [query_id] * len(best)
+                    out[1] += [data] * len(best)
+                    out[2].append(ids[near][best])
+                    out[3].append(score[best])
         join = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
         return pd.DataFrame({"query_id": np.array(out[0], np.int64), "query_vec": out[1], "vec_id": join(out[2], np.int64), "score": join(out[3], float)})
 
