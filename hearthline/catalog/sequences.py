@@ -8,6 +8,7 @@ from hearthline.catalog import query, table
 from hearthline.catalog.joins import SPELLS, order_spells
 from hearthline.catalog.scalars import BLOCK, line_block
 from hearthline.operators import sequences as Q, spells as SP
+from hearthline.session import stable
 
 LETTERS = "abcdef"
 
@@ -108,23 +109,26 @@ def sequence_index(spark, d):
 
 @query()
 def om_distance(spark, d):
-    return Q.om_distance(daily(spark, d), "seq", landmarks=50)
+    people = stable(daily(spark, d))
+    found = Q.om_distance(people, "seq", Q.steady_sequences(people, "seq"))
+    return found.select(F.array_join("sequence", "-").alias("sequence"), F.element_at("reference", 1).alias("steady_in"), "distance")
 
 
 @query()
 def om_kmeans(spark, d):
-    people = daily(spark, d)
-    clustered = Q.kmeans_on_distances(Q.distance_features(people, "seq", landmarks=50), k=3)
+    people = stable(daily(spark, d))
+    clustered = Q.kmeans_on_distances(Q.distance_features(people, "seq", Q.steady_sequences(people, "seq")), k=3)
     labelled = Q.label_clusters(Q.assign_clusters(people, "seq", clustered), {0: "first", 1: "second", 2: "third"})
     return labelled.select("user_id", "cluster", "label")
 
 
 @query()
 def choose_k(spark, d):
-    return Q.choose_k(Q.distance_features(daily(spark, d), "seq", landmarks=20), k_max=4, references=3, max_iter=20)
+    people = stable(daily(spark, d))
+    return Q.choose_k(Q.distance_features(people, "seq", Q.steady_sequences(people, "seq")))
 
 
 @query()
 def cluster_stability(spark, d):
-    people = daily(spark, d)
-    return Q.cluster_stability(people, "user_id", "seq", Q.distance_features(people, "seq", landmarks=20), boot=3, max_iter=20)
+    people = stable(daily(spark, d))
+    return Q.cluster_stability(people, "user_id", "seq", Q.distance_features(people, "seq", Q.steady_sequences(people, "seq")))

@@ -26,10 +26,31 @@ def people(spark, n=60, length=8):
     return spark.createDataFrame(rows, "id int, seq array<string>")
 
 
+def everyone(df):
+    return Q.frequent_sequences(df, "seq", 0.0)
+
+
+def test_references(spark):
+    df = spark.createDataFrame([(i, ["a", "b"] if i < 6 else [None, "b"] if i < 9 else ["a-b", "b"]) for i in range(10)], "id int, seq array<string>")
+    assert Q.frequent_sequences(df, "seq", 0.3) == [(["a", "b"], 6.0), (["*", "b"], 3.0)]
+    assert Q.steady_sequences(df, "seq") == [(["*"] * 2, 1.0), (["a"] * 2, 1.0), (["a-b"] * 2, 1.0), (["b"] * 2, 1.0)]
+    short = spark.createDataFrame([(1, ["x"]), (2, ["y"]), (3, ["x"])], "id int, seq array<string>")  # no transition at all
+    got = {(tuple(r.sequence), tuple(r.reference)): r.distance for r in Q.om_distance(short, "seq", Q.steady_sequences(short, "seq")).collect()}
+    assert got == {(("x",), ("x",)): 0.0, (("x",), ("y",)): 2.0, (("y",), ("x",)): 2.0, (("y",), ("y",)): 0.0}
+
+
+def test_rows_are_at_their_nearest_centre(spark):
+    feats = Q.distance_features(people(spark, 90, 12), "seq", everyone(people(spark, 90, 12)))
+    rows = Q.kmeans_on_distances(feats, 3).collect()
+    x, n, c = np.array([r.features for r in rows]), np.array([r.n for r in rows], float), np.array([r.cluster for r in rows])
+    centres = np.array([(x[c == k] * n[c == k, None]).sum(0) / n[c == k].sum() for k in range(3)])
+    assert (((x[:, None] - centres[None]) ** 2).sum(2).argmin(1) == c).all() and all(r.converged for r in rows)
+
+
 def test_distance_against_plain_dynamic_programme(spark):
     df = people(spark)
     costs = Q.substitution_costs(df, "seq")
-    table = {(r.sequence, r.landmark): r.distance for r in Q.om_distance(df, "seq").collect()}
+    table = {("-".join(r.sequence), "-".join(r.reference)): r.distance for r in Q.om_distance(df, "seq", everyone(df)).collect()}
     seqs = sorted({k[0] for k in table})
     states = {a for a, _ in costs}
     nested = {a: {b: costs[a, b] for b in states} for a in states}
@@ -50,8 +71,8 @@ def test_transition_rates_sum_to_one(spark):
 
 def test_features_equal_the_full_matrix(spark):
     df = people(spark, 30, 4)
-    feats = {tuple(r.seq): (r.n, r.features.toArray()) for r in Q.distance_features(df, "seq").collect()}
-    table = {(tuple(r.sequence.split("-")), tuple(r.landmark.split("-"))): r.distance for r in Q.om_distance(df, "seq").collect()}
+    feats = {tuple(r.seq): (r.n, np.array(r.features)) for r in Q.distance_features(df, "seq", everyone(df)).collect()}
+    table = {(tuple(r.sequence), tuple(r.reference)): r.distance for r in Q.om_distance(df, "seq", everyone(df)).collect()}
     a, b = list(feats)[:2]
     want = sum(n * (table[a, c] - table[b, c]) ** 2 for c, (n, _) in feats.items())
     assert ((feats[a][1] - feats[b][1]) ** 2).sum() == pytest.approx(want)
@@ -65,16 +86,17 @@ def test_clusters_find_the_kinds(spark):
         labels = [r.label for r in got if r.id % 3 == kind]
         assert max(labels.count(v) for v in set(labels)) > 24
     again = {r.id: r.label for r in life_course.clustered_life_courses(df.repartition(5), "id", 3, {0: "x", 1: "y", 2: "z"}).collect()}
-    assert len(again) == 90
+    assert again == {r.id: r.label for r in got}
 
 
 def test_choose_k_and_stability(spark):
     df = people(spark, 90, 12)
-    feats = Q.distance_features(df, "seq")
+    feats = Q.distance_features(df, "seq", everyone(df))
     rows = Q.choose_k(feats, k_max=4, references=2).orderBy("k").collect()
     wss = [r.wss for r in rows]
     assert wss[0] > wss[1] > wss[2] and rows[0].silhouette is None
-    full = np.array([r.features.toArray() for r in feats.collect()])
+    assert all(r.converged and r.gap_se >= 0 for r in rows)
+    full = np.array([r.features for r in feats.collect()])
     n = np.array([r.n for r in feats.collect()], float)
     mean = (full * n[:, None]).sum(0) / n.sum()
     assert wss[0] == pytest.approx((n * ((full - mean) ** 2).sum(1)).sum())
