@@ -19,6 +19,8 @@ CHUNKS = 64
 PARTS = 64
 HOT = 1024  # words counted more often are looked up together with a second word
 KEEP = 3  # earlier candidates that an entry passes on, those of the nearest bit patterns
+LONG = 192  # words from which a line's entries have a pattern of WIDE bits; 128 bits say little about longer lines
+WIDE = 1024
 LINES = 1 << 20  # lines worked through at a time
 NEWLINE = 10
 LAST = np.iinfo(np.int64).max  # the place of a null id
@@ -116,7 +118,7 @@ def required(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 # what an entry holds, in this order, by byte planes
-FIELDS = [("key", np.uint32), ("name", np.uint64), ("size", np.uint32), ("at", np.uint8), ("doc", np.int64), ("line", np.uint32), ("bits0", np.uint64), ("bits1", np.uint64)]
+FIELDS = [("key", np.uint32), ("name", np.uint64), ("size", np.uint32), ("at", np.uint8), ("before", np.uint64), ("doc", np.int64), ("line", np.uint32), ("bits0", np.uint64), ("bits1", np.uint64)]
 
 
 def encoded(values: np.ndarray) -> bytes:
@@ -133,6 +135,8 @@ def entries(lines: Lines, doc: np.ndarray, counts: np.ndarray, threshold: float)
 
     Two lines that match share a word of both prefixes. Words counted once lead nowhere. A word counted more than
     HOT times goes with each of the following words up to one place behind the prefix, one of which the lines share as well.
+    `before` sums up the words with entries of their own that come earlier: lines for which it is the same, but not empty, meet
+    under those. `wide` has the patterns of the entries of LONG lines only.
     """
     first, _ = lines.names()
     size = np.diff(lines.ptr)
@@ -160,7 +164,17 @@ def entries(lines: Lines, doc: np.ndarray, counts: np.ndarray, threshold: float)
         step += 1
     at, key = np.concatenate(at), np.concatenate(key)
     i = lines.line[at]
+    alone = np.zeros(len(token) + 1, np.uint64)
+    alone[cold + 1] = mix(token[cold] ^ STRONG)
+    alone = np.cumsum(alone, dtype=np.uint64)
+    long = np.flatnonzero(size >= LONG)
+    wide = np.zeros((len(long), WIDE // 64), np.uint64)
+    for k, j in enumerate(long):
+        bit = (mix(lines.token[lines.ptr[j] : lines.ptr[j + 1]]) >> np.uint64(54)).astype(np.int64)
+        odd = np.flatnonzero(np.bincount(bit, minlength=WIDE) & 1)
+        np.bitwise_or.at(wide[k], odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
     return {
+        "wide": wide[np.searchsorted(long, i[size[i] >= LONG])], "before": alone[at] - alone[lines.ptr[i]],
         "key": (key >> np.uint64(32)).astype(np.uint32), "name": first[i], "size": size[i].astype(np.uint32), "at": np.minimum(place[at], 255).astype(np.uint8),
         "doc": doc[lines.row[i]], "line": lines.number[i].astype(np.uint32), "bits0": low[i], "bits1": high[i],
     }
@@ -176,12 +190,19 @@ def indexed(rows: DataFrame, counts: np.ndarray, threshold: float, buckets: int)
         total = 0
 
         def send() -> pa.RecordBatch:
-            whole = {k: np.concatenate([h[k] for h in held]) for k, _ in FIELDS}
+            whole = {k: np.concatenate([h[k] for h in held]) for k in [*(k for k, _ in FIELDS), "wide"]}
             bucket = (whole["key"].astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(edge))
             columns = {k: pa.array([encoded(whole[k][order[edge[b] : edge[b + 1]]]) for b in used], pa.binary()) for k, _ in FIELDS}
+            long = whole["size"] >= LONG
+            place = np.cumsum(long) - 1
+            wide = []
+            for b in used:
+                own = order[edge[b] : edge[b + 1]]
+                wide.append(whole["wide"][place[own[long[own]]]].tobytes())
+            columns["wide"] = pa.array(wide, pa.binary())
             return pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32())} | columns)
 
         for batch in batches:
@@ -196,7 +217,7 @@ def indexed(rows: DataFrame, counts: np.ndarray, threshold: float, buckets: int)
         if total:
             yield send()
 
-    return rows.select("doc_id", "text").mapInArrow(index, "bucket int, " + ", ".join(f"{k} binary" for k, _ in FIELDS))
+    return rows.select("doc_id", "text").mapInArrow(index, "bucket int, " + ", ".join(f"{k} binary" for k, _ in FIELDS) + ", wide binary")
 
 
 def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.ndarray | None = None) -> DataFrame:
@@ -206,13 +227,16 @@ def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.nd
 
     def search(table: pa.Table) -> pa.Table:
         x = {k: np.concatenate([decoded(v, kind) for v in table[k].to_pylist()]) for k, kind in FIELDS}
+        wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+        long = np.cumsum(x["size"] >= LONG) - 1
         # of the entries of one line and key the earliest occurrence
         order = np.lexsort((x["line"], x["doc"], x["name"], x["key"]))
         same = (x["key"][order][1:] == x["key"][order][:-1]) & (x["name"][order][1:] == x["name"][order][:-1])
         order = order[np.append(True, ~same)]
         order = order[np.lexsort((x["size"][order], x["key"][order]))]
         key, size, at = x["key"][order], x["size"][order].astype(np.int64), x["at"][order].astype(np.int64)
-        doc, line, name, low, high = (x[k][order] for k in ("doc", "line", "name", "bits0", "bits1"))
+        doc, line, name, low, high, before = (x[k][order] for k in ("doc", "line", "name", "bits0", "bits1", "before"))
+        long = long[order]
         wanted = np.ones(len(key), bool) if shared is None else shared.value[(mix(name) >> np.uint64(44)).astype(np.int64)]
         found_a, found_b, found_d = [], [], []
         left, k = np.arange(len(key)), 0
@@ -228,9 +252,15 @@ def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.nd
             need = np.ceil((size[left] + size[b]) * (threshold / (1 + threshold)) - 1e-9).astype(np.int64)
             most = size[left] + size[b] - 2 * need
             good = (at[left] + at[b] <= most) | (at[left] == 255) | (at[b] == 255)
+            good &= (before[left] != before[b]) | (before[b] == 0)
             a, b, most = left[good], b[good], most[good]
             apart = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
             good = (apart <= most) & (name[a] != name[b])
+            sure = np.flatnonzero(good & (size[a] >= LONG))  # a is the shorter line
+            for lo in range(0, len(sure), 50_000):
+                own = sure[lo : lo + 50_000]
+                apart[own] = np.bitwise_count(wide[long[a[own]]] ^ wide[long[b[own]]]).sum(1)
+                good[own] = apart[own] <= most[own]
             if good.any():
                 found_a.append(a[good])
                 found_b.append(b[good])
