@@ -142,10 +142,11 @@ def test_lines_of_odd_documents(odd_documents, no_documents):
     assert line_dedup.dedup_lines(no_documents).count() == 0
 
 
-@pytest.mark.parametrize("hot,keep", [(1024, 3), (2, 3), (2, 1)])
-def test_lines_against_all_pairs(spark, monkeypatch, hot, keep):
+@pytest.mark.parametrize("hot,keep,left", [(1024, 32, 1 << 25), (2, 1, 1 << 25), (2, 1, 0)])
+def test_lines_against_all_pairs(spark, monkeypatch, hot, keep, left):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "KEEP", keep)
+    monkeypatch.setattr(line_dedup, "OPEN_BYTES", left)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(40)]
     rows = []
