@@ -52,6 +52,16 @@ def ols_interaction(spark, d):
     return rounded(L.ols(formula, lines(spark, d)).tidy(spark).select("term", "estimate"), "estimate", digits=3)
 
 
+@query(sql="SELECT '(Intercept)' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) AS estimate FROM lineitem"
+       " UNION ALL SELECT 't1', round(regr_slope(l_extendedprice, l_quantity), 4) FROM lineitem"
+       + "".join(f" UNION ALL SELECT 't{i}', NULL" for i in range(2, 31)))
+def ols_collinear(spark, d):
+    """Thirty terms, each determined by the first."""
+    rows = table(spark, d, "lineitem").select("l_extendedprice", *[(F.col("l_quantity") * i).alias(f"t{i}") for i in range(1, 31)])
+    fit = L.ols(L.formula_builder("l_extendedprice", [f"t{i}" for i in range(1, 31)]), rows)
+    return rounded(fit.tidy(spark).select("term", "estimate"), "estimate", digits=4)
+
+
 @query(sql="""
 SELECT 'price_logged' AS term, round(regr_slope(l_quantity, ln(l_extendedprice + 50)), 6) AS estimate FROM lineitem""")
 def ols_logged_term(spark, d):

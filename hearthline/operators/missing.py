@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from hearthline.functions.tails import chi2_sf
 from hearthline.operators.shape import union_all
 from hearthline.operators.stats import anova_f, chisq_test
 from hearthline.operators.tables import level_counts, numeric_summary
+from hearthline.session import stable
 
 
 def missing_glimpse(df: DataFrame) -> DataFrame:
@@ -70,65 +72,91 @@ def missing_compare(df: DataFrame, dependent: str, explanatory: Sequence[str]) -
     return union_all(*parts)
 
 
+COLLECTED = 4096  # patterns of p² sums that the driver works through itself; more stay in Spark
+
+
+def _e_step(pattern: tuple[int, list[int], np.ndarray, np.ndarray], mu: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Expected sums and cross-products of the rows of one missing pattern, as one flat block."""
+    n, seen, sums, cross = pattern
+    p = len(mu)
+    gone = [i for i in range(p) if i not in seen]
+    first, second = np.zeros(p), np.zeros((p, p))
+    o = np.ix_(seen, seen)
+    first[seen], second[o] = sums[seen], cross[o]
+    if gone:
+        b = sigma[np.ix_(gone, seen)] @ np.linalg.inv(sigma[o])
+        a = mu[gone] - b @ mu[seen]
+        first[gone] = n * a + b @ sums[seen]
+        mixed = np.outer(a, sums[seen]) + b @ cross[o]
+        second[np.ix_(gone, seen)], second[np.ix_(seen, gone)] = mixed, mixed.T
+        rest, inner = sigma[np.ix_(gone, gone)] - b @ sigma[np.ix_(seen, gone)], b @ sums[seen]
+        second[np.ix_(gone, gone)] = n * rest + n * np.outer(a, a) + np.outer(a, inner) + np.outer(inner, a) + b @ cross[o] @ b.T
+    return np.concatenate([first, second.ravel()])
+
+
+def _distance(pattern: tuple[int, list[int], np.ndarray, np.ndarray], mu: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """A pattern's share of the statistic, and how many columns it has seen."""
+    n, seen, sums, _ = pattern
+    gap = sums[seen] / n - mu[seen]
+    return np.array([n * gap @ np.linalg.inv(sigma[np.ix_(seen, seen)]) @ gap, len(seen), 1.0])
+
+
 def mcar_test(df: DataFrame, cols: Sequence[str], max_iter: int = 200, tol: float = 1e-8) -> DataFrame:
-    """Little's (1988) test that values are missing completely at random.
+    """Little's (1988) test that values are missing completely at random: (statistic, df, p, patterns, converged).
 
-    Spark reduces the data to counts, sums and cross-products per missing pattern (at most 2^p rows
-    of p² numbers). The normal model's mean and covariance are then found from those by EM.
+    Spark reduces the data to counts, sums and cross-products per missing pattern that occurs. The normal model's mean and
+    covariance are then found by EM: each round adds up a block of p + p² numbers over the patterns, on the driver while these are
+    few, else in Spark; the sums are the same.
     """
     p = len(cols)
-    if p > 10:
-        raise ValueError("at most 10 columns: the patterns are handled one by one")
     x = [F.col(c).cast("double") for c in cols]
     center = df.agg(*[F.avg(e).alias(f"m{i}") for i, e in enumerate(x)],
                     *[F.stddev_samp(e).alias(f"s{i}") for i, e in enumerate(x)]).first()
     z = [(e - F.lit(center[f"m{i}"])) / F.lit(center[f"s{i}"] or 1.0) for i, e in enumerate(x)]
     zero = [F.coalesce(e, F.lit(0.0)) for e in z]
-    patterns = df.groupBy(*[e.isNotNull().alias(f"o{i}") for i, e in enumerate(x)]).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(zero[i]).alias(f"t{i}") for i in range(p)],
-        *[F.sum(zero[i] * zero[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)],
-    ).collect()
-
-    stats = []
-    for r in patterns:
-        seen = [i for i in range(p) if r[f"o{i}"]]
-        cross = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-        stats.append((r["n"], seen, np.array([r[f"t{i}"] for i in range(p)]), cross))
-    stats = [s for s in stats if s[1]]
-    total = sum(s[0] for s in stats)
-    mu, sigma = np.zeros(p), np.eye(p)
-    for _ in range(max_iter):
-        first, second = np.zeros(p), np.zeros((p, p))
-        for n, seen, sums, cross in stats:
-            gone = [i for i in range(p) if i not in seen]
-            full_first, full_second = np.zeros(p), np.zeros((p, p))
-            o = np.ix_(seen, seen)
-            full_first[seen] = sums[seen]
-            full_second[o] = cross[o]
-            if gone:
-                b = sigma[np.ix_(gone, seen)] @ np.linalg.inv(sigma[o])
-                a = mu[gone] - b @ mu[seen]
-                full_first[gone] = n * a + b @ sums[seen]
-                mixed = np.outer(a, sums[seen]) + b @ cross[o]
-                full_second[np.ix_(gone, seen)] = mixed
-                full_second[np.ix_(seen, gone)] = mixed.T
-                rest = sigma[np.ix_(gone, gone)] - b @ sigma[np.ix_(seen, gone)]
-                inner = b @ sums[seen]
-                full_second[np.ix_(gone, gone)] = (
-                    n * rest + n * np.outer(a, a) + np.outer(a, inner) + np.outer(inner, a) + b @ cross[o] @ b.T)
-            first += full_first
-            second += full_second
-        new_mu = first / total
-        new_sigma = second / total - np.outer(new_mu, new_mu)
+    flat = df.select(F.array(*[e.isNotNull() for e in x]).alias("seen"), *[e.alias(f"z{i}") for i, e in enumerate(zero)])
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    patterns = flat.groupBy("seen").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(f"z{i}") for i in range(p)]).alias("t"),
+        F.array(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i, j in pairs]).alias("c")).filter(F.array_contains("seen", True))
+    patterns = stable(patterns)
+
+    def read(r) -> tuple[int, list[int], np.ndarray, np.ndarray]:
+        cross = np.zeros((p, p))
+        for v, (i, j) in zip(r.c, pairs):
+            cross[i, j] = cross[j, i] = v
+        return r.n, [i for i, s in enumerate(r.seen) if s], np.array(r.t, float), cross
+
+    few = patterns.limit(COLLECTED + 1).collect()
+    held = [read(r) for r in few] if len(few) <= COLLECTED else None
+
+    def total(step, size: int, mu: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+        if held is not None:
+            return sum((step(h, mu, sigma) for h in held), np.zeros(size))
+
+        def part(batches):
+            mine = np.zeros(size)
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    mine += step(read(r), mu, sigma)
+            yield pd.DataFrame({"k": np.arange(size, dtype="int32"), "v": mine})
+
+        sums = patterns.mapInPandas(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
+        return np.array([r.v for r in sums])
+
+    rows = patterns.agg(F.sum("n")).first()[0] or 0
+    mu, sigma, converged = np.zeros(p), np.eye(p), False
+    for _ in range(max_iter if rows else 0):
+        sums = total(_e_step, p + p * p, mu, sigma) / rows
+        new_mu = sums[:p]
+        new_sigma = sums[p:].reshape(p, p) - np.outer(new_mu, new_mu)
         change = max(np.abs(new_mu - mu).max(), np.abs(new_sigma - sigma).max())
         mu, sigma = new_mu, new_sigma
         if change < tol:
+            converged = True
             break
-    unbiased = sigma * total / (total - 1)
-    statistic = sum(
-        n * (sums[seen] / n - mu[seen]) @ np.linalg.inv(unbiased[np.ix_(seen, seen)]) @ (sums[seen] / n - mu[seen])
-        for n, seen, sums, _ in stats)
-    freedom = sum(len(seen) for _, seen, _, _ in stats) - p
+    statistic, seen, kinds = total(_distance, 3, mu, sigma * rows / max(rows - 1, 1)) if rows else (0.0, 0.0, 0.0)
+    freedom = int(seen) - p
     p_value = chi2_sf(float(statistic), freedom) if freedom > 0 else None
     return df.sparkSession.createDataFrame(
-        [(float(statistic), int(freedom), p_value, len(stats))], "statistic double, df int, p double, patterns int")
+        [(float(statistic), freedom, p_value, int(kinds), converged)], "statistic double, df int, p double, patterns int, converged boolean")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +24,6 @@ from hearthline.functions import tails
 from hearthline.functions.recode import r_ifelse
 from hearthline.operators.shape import union_all
 
-MAX_LEVELS = 500
-MOMENT_TERMS = 20
 INTERCEPT = "(Intercept)"
 
 # --- formulas and design --------------------------------------------------------------------
@@ -65,12 +63,9 @@ def with_outcome(df: DataFrame, condition: Column, name: str = "outcome") -> Dat
 
 
 def factor_levels(df: DataFrame, name: str) -> list[str]:
-    """Sorted levels of a label column; a column with very many is no factor and is refused."""
+    """Sorted levels of a label column. Each but the first is a term of the model, whose matrices the driver holds."""
     seen = df.select(F.col(name).cast("string").alias("l")).filter(F.col("l").isNotNull()).distinct()
-    levels = sorted(r.l for r in seen.limit(MAX_LEVELS + 1).collect())
-    if len(levels) > MAX_LEVELS:
-        raise ValueError(f"{name} has more than {MAX_LEVELS} levels")
-    return levels
+    return sorted(r.l for r in seen.collect())
 
 
 def coded(df: DataFrame, formula: Formula) -> tuple[DataFrame, list[str]]:
@@ -140,11 +135,9 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 
 def ols(formula: Formula, df: DataFrame, name: str = "ols") -> Fit:
-    """Linear model. Up to `MOMENT_TERMS` terms come from one pass of summed products; a term that the
-    terms before it already determine has no estimate. Wider designs go to `pyspark.ml`."""
+    """Linear model from summed products, with any number of terms; a term that the terms before it already
+    determine has no estimate."""
     columns, names = coded(df, formula)
-    if len(names) > MOMENT_TERMS:
-        return _ols_wide(formula, df, name)
     n, means, s = moment_matrix(columns, columns.columns)
     k = len(names)
     used: list[int] = []
@@ -170,20 +163,6 @@ def ols(formula: Formula, df: DataFrame, name: str = "ols") -> Fit:
     return Fit(name, formula, [INTERCEPT, *names], estimate, errors, stats)
 
 
-def _ols_wide(formula: Formula, df: DataFrame, name: str) -> Fit:
-    rows, names = design(df, formula)
-    model = LinearRegression(solver="normal", standardization=False).fit(rows)
-    s = model.summary
-    try:
-        errors: list = list(s.coefficientStandardErrors)
-    except Exception:  # a singular design has no standard errors
-        errors = [None] * (len(names) + 1)
-    n, k = s.numInstances, len(names)
-    stats = {"n": n, "r2": s.r2, "adj_r2": s.r2adj, "df_residual": n - k - 1,
-             "sigma": s.rootMeanSquaredError * math.sqrt(n / (n - k - 1)) if n > k + 1 else None}
-    return Fit(name, formula, [INTERCEPT, *names], [model.intercept, *model.coefficients], [errors[-1], *errors[:-1]], stats)
-
-
 def logit(formula: Formula, df: DataFrame, name: str = "logit") -> Fit:
     rows, names = design(df, formula)
     rows = _kept(rows)  # read once per Newton step
@@ -191,7 +170,7 @@ def logit(formula: Formula, df: DataFrame, name: str = "logit") -> Fit:
         model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50, tol=1e-10).fit(rows)
         s = model.summary
         errors = list(s.coefficientStandardErrors)
-        stats = {"n": s.numInstances, "aic": s.aic, "deviance": s.deviance, "null_deviance": s.nullDeviance}
+        stats = {"n": s.numInstances, "converged": float(s.numIterations < 50), "aic": s.aic, "deviance": s.deviance, "null_deviance": s.nullDeviance}
     finally:
         rows.unpersist()
     return Fit(name, formula, [INTERCEPT, *names], [model.intercept, *model.coefficients], [errors[-1], *errors[:-1]], stats)
@@ -263,7 +242,9 @@ def tobit(formula: Formula, df: DataFrame, lower: float = 1.0, name: str = "tobi
     rows, names = design(df, formula)
     rows = _kept(rows.select("label", vector_to_array("features").alias("x")))
     try:
-        beta, log_sigma = np.array(start.estimate), math.log(start.stats["sigma"])
+        if None in start.estimate:
+            raise ValueError("a term is determined by those before it: " + ", ".join(n for n, b in zip(start.terms, start.estimate) if b is None))
+        beta, log_sigma, converged = np.array(start.estimate), math.log(start.stats["sigma"]), False
         ll, g, h = _tobit_sums(rows, beta, log_sigma, lower)
         for _ in range(max_iter):
             curve, vectors = np.linalg.eigh(h)  # go uphill even where the likelihood is not concave
@@ -280,12 +261,13 @@ def tobit(formula: Formula, df: DataFrame, lower: float = 1.0, name: str = "tobi
             gain = new[0] - ll
             beta, log_sigma, (ll, g, h) = new_beta, new_log, new
             if abs(gain) < 1e-10 * (abs(ll) + 1):
+                converged = True
                 break
         counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") <= lower).cast("long")).alias("c")).first()
     finally:
         rows.unpersist()
     errors = np.sqrt(np.diag(np.linalg.inv(-h)))
-    stats = {"n": counts.n, "censored": counts.c, "log_likelihood": ll, "sigma": math.exp(log_sigma)}
+    stats = {"n": counts.n, "converged": float(converged), "censored": counts.c, "log_likelihood": ll, "sigma": math.exp(log_sigma)}
     return Fit(name, formula, [INTERCEPT, *names, "log(sigma)"], [*beta, log_sigma], list(errors), stats)
 
 
@@ -293,17 +275,29 @@ def tobit(formula: Formula, df: DataFrame, lower: float = 1.0, name: str = "tobi
 
 
 def moment_matrix(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, means and covariance (divisor n) of complete rows: one pass of summed products."""
-    x = [F.col(c).cast("double") for c in cols]
-    rows = df.select(*[e.alias(f"v{i}") for i, e in enumerate(x)]).na.drop("any")
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    r = rows.agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in range(len(cols))],
-        *[F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
-    s = np.zeros((len(cols), len(cols)))
-    for i, j in pairs:
-        s[i, j] = s[j, i] = r[f"c{i}_{j}"]
-    return r["n"], np.array([r[f"m{i}"] for i in range(len(cols))]), s
+    """n, means and covariance (divisor n) of complete rows, for any number of columns.
+
+    One pass for the means, one for the products of what is centred at them: each partition multiplies its rows as a block and
+    sends one block of sums, which Spark adds up.
+    """
+    p = len(cols)
+    rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]).na.drop("any")
+    first = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in range(p)]).first()
+    n, means = first["n"], np.array([first[f"m{i}"] for i in range(p)], float)
+    if not n:
+        return 0, means, np.full((p, p), math.nan)
+
+    def part(batches):
+        total = np.zeros((p, p))
+        for pdf in batches:
+            if len(pdf):
+                x = np.vstack(pdf["x"].to_numpy()) - means
+                total += x.T @ x
+        yield pd.DataFrame({"k": np.arange(p * p, dtype="int32"), "v": total.ravel()})
+
+    block = rows.select(F.array(*[f"v{i}" for i in range(p)]).alias("x")).mapInPandas(part, "k int, v double")
+    sums = block.groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
+    return n, means, np.array([r.v for r in sums]).reshape(p, p) / n
 
 
 def mimic_fit(df: DataFrame, indicators: Sequence[str], predictors: Sequence[str], name: str = "mimic",
@@ -357,7 +351,7 @@ def mimic_fit(df: DataFrame, indicators: Sequence[str], predictors: Sequence[str
     terms = [f"latent=~{indicators[0]}", *[f"latent=~{i}" for i in indicators[1:]], *[f"latent~{p}" for p in predictors],
              "latent~~latent", *[f"{i}~~{i}" for i in indicators]]
     return Fit(name, Formula("latent", tuple(predictors)), terms, [1.0, *(at * back)], [None, *(se * back)],
-               {"n": n, "log_likelihood": float(log_lik(at))})
+               {"n": n, "converged": float(change < tol), "log_likelihood": float(log_lik(at))})
 
 
 # --- tables of models -----------------------------------------------------------------------

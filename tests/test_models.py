@@ -37,11 +37,18 @@ def test_ols(data):
     assert fit.estimate == pytest.approx(b) and fit.se == pytest.approx(se)
 
 
-def test_wide_solver_agrees(data):
-    df = data[0]
-    a, b = L.ols(Formula("y", ("x", "g")), df), L._ols_wide(Formula("y", ("x", "g")), df, "w")
-    assert a.estimate == pytest.approx(b.estimate) and a.se == pytest.approx(b.se)
-    assert a.stats["r2"] == pytest.approx(b.stats["r2"]) and a.stats["sigma"] == pytest.approx(b.stats["sigma"])
+@pytest.mark.parametrize("width", [5, 40])
+def test_any_width_with_a_collinear_term(spark, width):
+    """The same rule at any width: a term that those before it determine has no estimate, all others have their errors."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e4, 1, (600, width))
+    y = x @ np.arange(width) + rng.normal(size=600)
+    rows = [(float(b), *map(float, a), float(2 * a[0] - a[1])) for a, b in zip(x, y)]
+    names = [f"t{i}" for i in range(width + 1)]
+    fit = L.ols(Formula("y", tuple(names)), spark.createDataFrame(rows, ["y", *names]))
+    b, se = reference_ols(np.column_stack([np.ones(600), x - x.mean(0)]), y)
+    assert fit.estimate[1:-1] == pytest.approx(b[1:], rel=1e-6, abs=1e-6) and fit.estimate[-1] is None
+    assert fit.se[1:-1] == pytest.approx(se[1:], rel=1e-5) and fit.se[-1] is None
 
 
 def test_interaction_has_reference_coding(data):

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,18 @@ def test_missing_reports(spark):
     assert patterns == {(1, 0, 1): (2, 1), (1, 0, 0): (1, 2)}
 
 
+def test_mcar_of_many_columns_and_patterns(spark, monkeypatch):
+    """Twelve columns; the rounds on the driver and those in Spark agree."""
+    rng = np.random.default_rng(12)
+    z = rng.normal(size=(400, 12))
+    rows = [tuple(None if rng.random() < 0.1 else float(v) for v in r) for r in z]
+    df = spark.createDataFrame(rows, [f"v{i}" for i in range(12)])
+    own = M.mcar_test(df, df.columns, max_iter=3).first()
+    monkeypatch.setattr(M, "COLLECTED", 1)
+    spread = M.mcar_test(df, df.columns, max_iter=3).first()
+    assert spread["statistic"] == pytest.approx(own["statistic"]) and spread["df"] == own["df"] and spread["patterns"] == own["patterns"] > 50
+
+
 def test_mcar(spark):
     import numpy as np
 
