@@ -17,8 +17,9 @@ from .words import Splitter, buffers, mix, slices
 CELLS = 1 << 20  # of the table of word frequencies; its size doesn't grow with the corpus
 CHUNKS = 64
 PARTS = 64
+OPEN_BYTES = 32 << 20  # words of open lines, counted, up to which all lines are held against them in one pass
 HOT = 1024  # words counted more often are looked up together with a second word
-KEEP = 3  # earlier candidates that an entry passes on, those of the nearest bit patterns
+KEEP = 32  # earlier candidates that an entry passes on, those of the nearest bit patterns; just one if that is close
 LONG = 192  # words from which a line's entries have a pattern of WIDE bits; 128 bits say little about longer lines
 WIDE = 1024
 LINES = 1 << 20  # lines worked through at a time
@@ -87,17 +88,35 @@ def chunks_of(counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "part": pa.array([part] * len(used), pa.int32()), "counts": pa.array([pieces[i].tobytes() for i in used], pa.binary())})
 
 
-def word_table(rows: DataFrame) -> np.ndarray:
-    """How often words stand in `text`, by the highest bits of their hashes."""
+CENSUS = "chunk int, part int, counts binary, name long, more long, doc_id long, text_hash long, number long"
+
+
+def census(rows: DataFrame) -> DataFrame:
+    """From one pass over the texts: pieces of the table of word frequencies, by the highest bits of the words' hashes, and
+    the names and places of all lines with words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, counts = Splitter(), np.zeros(CELLS, np.int64)
+
+        def sent(**columns) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in ARROW_CENSUS], schema=ARROW_CENSUS)
+
         for batch in batches:
             for part in slices(batch, "text"):
-                counts += np.bincount((splitter(*buffers(part.column("text"))).hash >> np.uint64(44)).astype(np.int64), minlength=CELLS)
-        yield chunks_of(counts)
+                for lines in lines_of(part.column("text"), splitter):
+                    # a word counts once for each line that holds it
+                    counts += np.bincount((lines.token >> np.uint64(24)).astype(np.int64), minlength=CELLS)
+                    first, second = lines.names()
+                    own = pa.array(lines.row)
+                    yield sent(name=pa.array(first.view(np.int64)), more=pa.array(second.view(np.int64)), doc_id=part.column("doc_id").take(own), text_hash=part.column("text_hash").take(own), number=pa.array(lines.number))
+        pieces = chunks_of(counts)
+        yield sent(**dict(zip(pieces.schema.names, pieces.columns)))
+
+    return kept(rows.mapInArrow(count, CENSUS), "line-census")
 
-    return table_of(rows.select("text").mapInArrow(count, "chunk int, part int, counts binary"))
+
+ARROW_CENSUS = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), *[(n, pa.int64()) for n in ("name", "more", "doc_id", "text_hash", "number")]])
 
 
 def name_table(names: DataFrame) -> np.ndarray:
@@ -133,7 +152,7 @@ def decoded(data: bytes, kind) -> np.ndarray:
 def entries(lines: Lines, doc: np.ndarray, counts: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
     """The index entries of lines: one for each word of the prefix, the rarest words first.
 
-    Two lines that match share a word of both prefixes. Words counted once lead nowhere. A word counted more than
+    Two lines that match share a word of both prefixes. Words of a single line lead nowhere. A word counted more than
     HOT times goes with each of the following words up to one place behind the prefix, one of which the lines share as well.
     `before` sums up the words with entries of their own that come earlier: lines for which it is the same, but not empty, meet
     under those. `wide` has the patterns of the entries of LONG lines only.
@@ -238,7 +257,7 @@ def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.nd
         doc, line, name, low, high, before = (x[k][order] for k in ("doc", "line", "name", "bits0", "bits1", "before"))
         long = long[order]
         wanted = np.ones(len(key), bool) if shared is None else shared.value[(mix(name) >> np.uint64(44)).astype(np.int64)]
-        found_a, found_b, found_d = [], [], []
+        found_a, found_b, found_d, found_m = [], [], [], []
         left, k = np.arange(len(key)), 0
         while len(left):
             k += 1
@@ -265,20 +284,23 @@ def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.nd
                 found_a.append(a[good])
                 found_b.append(b[good])
                 found_d.append(apart[good])
+                found_m.append(most[good])
         if not found_a:
             return NONE
-        a, b, d = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_d)
+        a, b, d, most = (np.concatenate(x) for x in (found_a, found_b, found_d, found_m))
         swap = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & ((line[a] < line[b]) | ((line[a] == line[b]) & (name[a] < name[b]))))
         late, early = np.where(swap, b, a), np.where(swap, a, b)
         own = wanted[late]
-        late, early, d = late[own], early[own], d[own]
+        late, early, d, most = late[own], early[own], d[own], most[own]
         order = np.lexsort((early, d, late))
-        late, early, d = late[order], early[order], d[order]
+        late, early, d, most = late[order], early[order], d[order], most[order]
         start = np.flatnonzero(np.append(True, late[1:] != late[:-1])) if len(late) else np.zeros(0, np.int64)
         number = np.arange(len(late)) - np.repeat(start, np.diff(np.append(start, len(late))))
-        sure = np.ones(len(late), bool) if keep is None else number < keep
-        total = np.repeat(np.diff(np.append(start, len(late))), np.diff(np.append(start, len(late))))
-        more = (total > keep) if keep is not None else np.zeros(len(late), bool)
+        count = np.diff(np.append(start, len(late)))
+        # half of the bits that may differ differ: next to certainly a match
+        close = np.repeat(2 * d[start] <= most[start], count)
+        limit = np.full(len(late), len(late)) if keep is None else np.where(close, 1, keep)
+        sure, more = number < limit, np.repeat(count, count) > limit
         return pa.table({"later": name[late[sure]].view(np.int64), "earlier": name[early[sure]].view(np.int64), "apart": d[sure].astype(np.int32), "more": more[sure]})
 
     pairs = index.groupBy("bucket").applyInArrow(search, "later long, earlier long, apart int, more boolean")
@@ -324,10 +346,47 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("later", "earlier", "a", "b").mapInArrow(verify, "later long, earlier long")
 
 
-def repeated_lines(rows: DataFrame, threshold: float) -> DataFrame:
-    """The names of lines that an earlier line of another name matches; `rows` has doc_id (long) and text."""
+def earlier_matches(rows: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Of the given lines (name, words, place, number; few enough to broadcast) the names of those that an earlier line matches."""
+    own = lines.collect()
+    words: dict[int, list[int]] = {}
+    for j, r in enumerate(own):
+        for w in np.frombuffer(r.words, np.uint64).tolist():
+            words.setdefault(w, []).append(j)
+    cells = np.zeros(CELLS, bool)
+    cells[np.array(list(words), np.uint64) >> np.uint64(24)] = True
+    shared = rows.sparkSession.sparkContext.broadcast((words, cells, [(r.name, len(r.words) // 8, (r.place, r.number, r.name % (1 << 64))) for r in own]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, found = Splitter(), set()
+        words, cells, own = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                doc = np.asarray(part.column("doc_id").fill_null(LAST))
+                for lines in lines_of(part.column("text"), splitter):
+                    size = np.diff(lines.ptr)
+                    held = lines.sums(cells[(lines.token >> np.uint64(24)).astype(np.int64)].astype(np.int64))
+                    near = np.flatnonzero(held >= required(size, threshold))
+                    names = lines.names()[0] if len(near) else None
+                    for i in near:
+                        common: dict[int, int] = {}
+                        for w in lines.token[lines.ptr[i] : lines.ptr[i + 1]].tolist():
+                            for j in words.get(w, ()):
+                                common[j] = common.get(j, 0) + 1
+                        at = (int(doc[lines.row[i]]), int(lines.number[i]), int(names[i]))
+                        for j, c in common.items():
+                            name, n, place = own[j]
+                            if c >= threshold * (int(size[i]) + n - c) - 1e-9 and at < place and at[2] != place[2]:
+                                found.add(name)
+        yield pa.RecordBatch.from_pydict({"later": pa.array(list(found), pa.int64())})
+
+    return rows.select("doc_id", "text").mapInArrow(search, "later long").distinct()
+
+
+def repeated_lines(rows: DataFrame, first: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """The names of lines that an earlier line of another name matches; `rows` has doc_id (long) and text, `first` is `first_lines`."""
     spark = rows.sparkSession
-    index = indexed(rows, word_table(rows), threshold, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index = indexed(rows, counts, threshold, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = kept(candidates(index, threshold, KEEP), "line-candidates")
     named = pairs.select("later").unionByName(pairs.select(F.col("earlier").alias("later"))).distinct()
     sets = kept(sets_of(rows, named), "line-sets")
@@ -337,27 +396,22 @@ def repeated_lines(rows: DataFrame, threshold: float) -> DataFrame:
     rest = pairs.join(done, "later", "left_anti").join(nearest.select("later", F.col("earlier").alias("tried")), "later")
     more = kept(similar(rest.where("earlier <> tried").select("later", "earlier"), sets, threshold).select("later").distinct(), "line-matches")
     done = done.unionByName(more)
-    open_ = kept(pairs.where("more").select("later").distinct().join(done, "later", "left_anti"), "open-lines")
-    if not open_.isEmpty():  # candidates were held back and none of those passed on matches: now all of them
-        every = kept(candidates(index, threshold, None, name_table(open_)).join(open_, "later", "left_semi").select("later", "earlier"), "line-candidates")
+    # lines of which candidates were held back, while none of those passed on matches
+    open_ = pairs.where("more").select("later").distinct().join(done, "later", "left_anti").withColumnRenamed("later", "name")
+    open_ = kept(open_.join(sets, "name").join(first, "name").select("name", "words", F.coalesce("doc_id", F.lit(int(LAST))).alias("place"), "number"), "open-lines")
+    left = open_.agg(F.sum(F.length("words"))).first()[0] or 0
+    if left > OPEN_BYTES:  # search for all their candidates
+        names = open_.select(F.col("name").alias("later")).distinct()
+        every = kept(candidates(index, threshold, None, name_table(names)).join(names, "later", "left_semi").select("later", "earlier"), "line-candidates")
         sets = sets_of(rows, every.select("later").unionByName(every.select(F.col("earlier").alias("later"))).distinct())
         done = done.unionByName(kept(similar(every, sets, threshold).select("later").distinct(), "line-matches"))
+    elif left:
+        done = done.unionByName(kept(earlier_matches(rows, open_, threshold), "line-matches"))
     return done.select(F.col("later").alias("name"))
 
 
-def first_lines(rows: DataFrame) -> DataFrame:
+def first_lines(named: DataFrame) -> DataFrame:
     """name, doc_id, text_hash and number of the first occurrence of every line with words."""
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                for lines in lines_of(part.column("text"), splitter):
-                    first, second = lines.names()
-                    own = pa.array(lines.row)
-                    yield pa.RecordBatch.from_pydict({"name": first.view(np.int64), "more": second.view(np.int64), "doc_id": part.column("doc_id").take(own), "text_hash": part.column("text_hash").take(own), "number": pa.array(lines.number, pa.int64())})
-
-    named = rows.mapInArrow(name, "name long, more long, doc_id long, text_hash long, number long")
     place = F.struct(F.coalesce("doc_id", F.lit(int(LAST))).alias("place"), "number", "text_hash", "doc_id")
     return named.groupBy("name", "more").agg(F.min(place).alias("at")).select("name", "at.doc_id", "at.text_hash", "at.number")
 
@@ -373,10 +427,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     Equal sets are one line from the start. Words are ordered by rarity (counts over the whole corpus in a table of fixed size; any order gives
     exact results), each line enters the index under the words of its prefix, and length and positional filters and a
     128-bit pattern of the sets leave the candidates. Index buckets are hash ranges, hot words are split by a second word, and an entry hands
-    on only its nearest earlier candidates, in most cases enough; lines that these leave open are searched again in full.
+    on only its nearest earlier candidates, in most cases enough; the few lines that these leave open are held against all others.
     """
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"), F.xxhash64(col(text)).alias("text_hash"))
-    first = first_lines(rows).join(repeated_lines(rows, threshold), "name", "left_anti")
+    found = census(rows)
+    counts = table_of(found.where("chunk is not null").select("chunk", "part", "counts"))
+    first = kept(first_lines(found.where("name is not null")), "first-lines")
+    first = first.join(repeated_lines(rows, first, counts, threshold), "name", "left_anti")
     staying = first.groupBy("doc_id", "text_hash").agg(F.collect_list("number").alias("hl_numbers"))
     staying = staying.select(F.col("doc_id").alias("hl_of"), F.col("text_hash").alias("hl_hash"), "hl_numbers")
     joined = docs.join(staying, col(doc_id).cast("long").eqNullSafe(F.col("hl_of")) & (F.xxhash64(col(text)) == F.col("hl_hash")), "left")
