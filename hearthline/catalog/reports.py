@@ -285,7 +285,7 @@ def scatter_lm(spark, d):
     return rounded(rounded(G.scatter_lm_data(table(spark, d, "part"), "p_type", "p_size", "p_retailprice"), "slope"), "intercept", digits=5)
 
 
-@query()
+@query(sql="SELECT p_partkey, p_size, p_retailprice FROM part WHERE md5('7:' || p_partkey) < '33333333'")
 def scatter_points(spark, d):
     return G.scatter_points(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_partkey"], 0.2, 7)
 

@@ -314,7 +314,8 @@ def birth_position(spark, d):
     return sized.select("l_orderkey", "l_linenumber", H.birth_position("n", "l_linenumber").alias("position"))
 
 
-@query()
+@query(sql="""
+SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('1:' || o_orderkey), o_orderkey) AS rn FROM orders) WHERE rn = 1""")
 def sample_one(spark, d):
     children = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return HH.sample_one(children, ["o_custkey"], ["o_orderkey"], seed=1)

@@ -122,7 +122,8 @@ def householder(df: DataFrame, keys: list[str], role: str, order: Sequence[str],
 
 def sample_one(df: DataFrame, keys: list[str], ids: Sequence[str], seed: int) -> DataFrame:
     """One row per group by a seeded hash of its id: the same row however the data is split."""
-    return pick_first(df, keys, [F.xxhash64(*ids, F.lit(seed)), *[F.col(i) for i in ids]])
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(i).cast("string"), F.lit("")) for i in ids]))
+    return pick_first(df, keys, [drawn, *[F.col(i) for i in ids]])
 
 
 def pick_longest_spell(df: DataFrame, keys: list[str], start: str, end: str, slot: str) -> DataFrame:

@@ -50,7 +50,8 @@ def _draw(donors: DataFrame, takers: DataFrame, id_col: str, value: str, seed: i
     numbered = running_total(donors.select(id_col, value), [], order, "__pos", hot=hot).select("__pos", value)
     n = donors.agg(F.count(F.lit(1))).scalar()
     wanted = takers.select(id_col, (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), n) + 1).alias("__pos"))
-    return wanted.join(numbered, "__pos").select(id_col, value)
+    # with few donors each is wanted by many
+    return lookup_join(wanted, numbered, ["__pos"], "inner", hot=None if hot else []).select(id_col, value)
 
 
 def _nearest_donor(rows: DataFrame, id_col: str, value: str, donors: int, seed: int, hot: list[Row]) -> DataFrame:
@@ -108,7 +109,7 @@ def _leaf_donor(rows: DataFrame, id_col: str, value: str, trees: int, depth: int
         .withColumn("__pick", F.aggregate(counts, start, step))
         .select(id_col, F.col("__pick.cell").alias("__cell"), (F.col("__pick.left") + 1).alias("__pos"))
     )
-    return takers.join(numbered, ["__cell", "__pos"]).select(id_col, value)
+    return lookup_join(takers, numbered, ["__cell", "__pos"], "inner", hot=None if hot else []).select(id_col, value)
 
 
 # --- chained equations ----------------------------------------------------------------------

@@ -26,7 +26,8 @@ def scatter_lm_data(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
 def scatter_points(df: DataFrame, ids: Sequence[str], share: float, seed: int) -> DataFrame:
     """A repeatable share of the rows to draw as points."""
-    return df.filter(F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(i).cast("string"), F.lit("")) for i in ids]))
+    return df.filter(drawn < F.lit(f"{int(share * 2**32):08x}"))
 
 
 def boxplot_data(df: DataFrame, group: str, x: str, limits: tuple[float, float] | None = None) -> DataFrame:
