@@ -168,8 +168,8 @@ def summary_table(df: DataFrame, types: Mapping[str, str] | None = None, keys: S
         s = numeric_summary(df, of("continuous"), keys)
         mean_sd = F.concat(number("mean"), F.lit(" ("), number("sd"), F.lit(")"))
         spread = F.concat_ws(",", number("min"), number("median"), number("max"))
-        for label, text in (("Mean (SD)", mean_sd), ("Minimum,Median,Maximum", spread)):
-            parts.append(s.select(*keys, "variable", F.lit(label).alias("label"), text.alias("stat")))
+        both = F.array(*[F.struct(F.lit(label).alias("label"), text.alias("stat")) for label, text in (("Mean (SD)", mean_sd), ("Minimum,Median,Maximum", spread))])
+        parts.append(s.select(*keys, "variable", F.inline(both)))
     if of("categorical"):
         s = level_counts(df, of("categorical"), keys)
         text = F.concat(count_format(F.col("n")), F.lit(" / "), count_format(F.col("total")), F.lit(" ("),
@@ -184,11 +184,14 @@ def summary_table(df: DataFrame, types: Mapping[str, str] | None = None, keys: S
 
 
 def summary_by_strata(df: DataFrame, strata: str, levels: Sequence[str], types: Mapping[str, str] | None = None) -> DataFrame:
-    """The summary of all rows and of each stratum side by side; all strata come from one grouped pass."""
+    """The summary of all rows and of each stratum side by side. Each row stands in its stratum and in the whole, so one
+    grouped summary gives both."""
     kinds = types or {n: k for n, k in column_types(df).items() if n != strata}
-    overall = summary_table(df, kinds).withColumnRenamed("stat", "overall")
-    per = summary_table(df, kinds, [strata]).groupBy("variable", "label").pivot(strata, list(levels)).agg(F.first("stat"))
-    return overall.join(per, ["variable", "label"], "left")
+    marks = F.array(F.lit("all"), F.concat(F.lit("of "), F.col(strata)))
+    rows = df.select(*kinds, F.explode(marks).alias("__mark")).filter(F.col("__mark").isNotNull())
+    names = {"all": "overall"} | {f"of {lv}": lv for lv in levels}
+    wide = summary_table(rows, kinds, ["__mark"]).groupBy("variable", "label").pivot("__mark", list(names)).agg(F.first("stat"))
+    return wide.filter(F.col("all").isNotNull()).select("variable", "label", *[F.col(k).alias(v) for k, v in names.items()])
 
 
 def distribution_table(df: DataFrame, key: str, x: str) -> DataFrame:

@@ -163,3 +163,9 @@ def test_t_test_wants_two_levels(spark):
     rows = [(g, float(i)) for g in "abc" for i in range(4)]
     with pytest.raises(PySparkException, match="two levels"):
         ST.t_test(spark.createDataFrame(rows, "g string, x double"), "x", "g").collect()
+
+
+def test_strata_come_from_one_summary(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderpriority", "o_orderstatus", "o_totalprice")
+    plan = TB.summary_by_strata(df, "o_orderstatus", ["F", "O", "P"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 5
