@@ -8,6 +8,7 @@ the caller's tables; what differs between surveys is an argument.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hearthline.functions import codebook, household as H, recode as R
 from hearthline.operators import household as HH, link, shape
+from hearthline.operators.impute import complete, impute_mice_rf
 from hearthline.operators.tables import cross_tab_wide
 
 
@@ -127,6 +129,15 @@ def analysis_table(rows: DataFrame, hhid: str, child: str, age: str, conditions:
     return shape.mutate_at(logged, wealth, R.zero_flag, "_zero")
 
 
+def completed(rows: DataFrame, id_col: str, cols: Sequence[str], zeros: Mapping[str, Column], totals: Mapping[str, Sequence[str]],
+              maxit: int = 30, seed: int = 999) -> DataFrame:
+    """The sample with values put to 0 where they cannot be (`zeros`: column -> whether it can), then missing values of
+    `cols` filled by chained forests, then `totals` as sums of completed columns."""
+    ready = rows.withColumns({c: R.conditional_zero(can, c) for c, can in zeros.items()})
+    full = complete(impute_mice_rf(ready, id_col, cols, m=1, maxit=maxit, seed=seed))
+    return full.withColumns({out: reduce(lambda a, b: a + b, [F.col(c) for c in parts]) for out, parts in totals.items()})
+
+
 def wealth_report(table: DataFrame, wealth: str, outcome: str, levels: Sequence[str]) -> DataFrame:
     """Outcome by quartile of parental wealth, row percents and p-value."""
     labels = ["0-25%", "25-50%", "50-75%", "75-100%"]

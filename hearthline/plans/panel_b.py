@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from hearthline.functions import codebook, household as H, recode as R
 from hearthline.functions.text import strip_punct_space
 from hearthline.operators import shape
+from hearthline.operators.impute import complete, impute_mice_rf
 
 def cleaned(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """All columns as text without punctuation and blanks, but for those in `keep`."""
@@ -68,3 +69,10 @@ def ordered(couples: DataFrame, key: str) -> DataFrame:
     last = [n for n in couples.columns if n.endswith(("_husb", "_wife", "_husb_father", "_wife_father"))]
     by_role = sorted(last, key=lambda n: (n.endswith("_father"), n.endswith(("_wife", "_wife_father")), n))
     return shape.reorder_cols(couples, [key, *by_role])
+
+
+def completed(couples: DataFrame, id_col: str, cols: Sequence[str], schools: Sequence[str], maxit: int = 30, seed: int = 999) -> DataFrame:
+    """Missing values of `cols` filled by chained forests, in which having dropped out is an answer like any; then the key-school
+    columns become TRUE, FALSE or, for dropouts, missing."""
+    full = complete(impute_mice_rf(couples, id_col, cols, m=1, maxit=maxit, seed=seed))
+    return full.withColumns({c: F.nullif(F.col(c), F.lit("dropout")).cast("boolean") for c in schools})

@@ -46,3 +46,17 @@ def test_couples(spark):
     assert both.columns[:5] == ["pid", "job_husb", "job_wife", "job_husb_father", "job_wife_father"]
     got = {r.pid: (r.key_high, r.job_husb, r.job_wife, r.job_husb_father, r.job_wife_father) for r in both.collect()}
     assert got == {1: ("TRUE", "a", "b", "fa", "fb"), 2: ("FALSE", "b", "a", "fb", "fa"), 3: ("dropout", None, None, None, None)}
+
+
+def test_completed_samples(spark):
+    rows = [(i, i % 3 > 0, None if i % 7 == 0 else float(i % 5), None if i % 11 == 0 else float(i % 4)) for i in range(1, 90)]
+    df = spark.createDataFrame(rows, "id long, owns boolean, home double, land double")
+    out = panel_a.completed(df, "id", ["home", "land"], {"home": F.col("owns")}, {"total": ["home", "land"]}, maxit=1).collect()
+    assert len(out) == 89 and all(r.total == r.home + r.land for r in out)
+    for i, owns, home, land in rows:
+        r = next(r for r in out if r.id == i)
+        assert r.home == (0 if not owns else r.home if home is None else home) and (land is None or r.land == land)
+    kinds = [(i, None if i % 9 == 0 else ("TRUE", "FALSE", "dropout")[i % 3], float(i % 3)) for i in range(1, 80)]
+    couples = spark.createDataFrame(kinds, "pid long, key_high string, years double")
+    got = {r.pid: r.key_high for r in panel_b.completed(couples, "pid", ["key_high", "years"], ["key_high"], maxit=1).collect()}
+    assert all(got[i] == {"TRUE": True, "FALSE": False, "dropout": None}[k] for i, k, _ in kinds if k)
