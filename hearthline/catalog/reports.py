@@ -98,6 +98,21 @@ def transition_tables(spark, d):
     return tidy(TB.transition_tables(rows, ["a", "b", "z"]))
 
 
+_CHI = """SELECT '{0} -> {1}' AS step, round(sum(n) * (sum(n * n / (r * c)) - 1), 6) AS statistic, CAST((count(DISTINCT {0}) - 1) * (count(DISTINCT {1}) - 1) AS DOUBLE) AS df,
+CAST(sum(n) AS BIGINT) AS n FROM (SELECT {0}, {1}, n, sum(n) OVER (PARTITION BY {0}) AS r, sum(n) OVER (PARTITION BY {1}) AS c FROM
+(SELECT {0}, {1}, count(*)::DOUBLE AS n FROM base WHERE {0} NOT IN ('R') GROUP BY 1, 2))"""
+
+
+@query(sql="WITH base AS (SELECT l_returnflag AS a, l_linestatus AS b, CASE WHEN l_linenumber > 3 THEN 'late' ELSE 'early' END AS z FROM lineitem) "
+       + _CHI.format("a", "b") + " UNION ALL " + _CHI.format("b", "z"))
+def transition_tests(spark, d):
+    """Lines of flag R have left and are not at risk in the step from a to b."""
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b"),
+        F.when(F.col("l_linenumber") > 3, "late").otherwise("early").alias("z"))
+    return TB.transition_tests(rows, ["a", "b", "z"], left=["R"]).select("step", F.round("statistic", 6).alias("statistic"), F.col("df").cast("double").alias("df"), "n")
+
+
 _NUM = """SELECT {key} '{v}' AS variable, count({v}) AS n, round(avg({v}), 5) AS mean, round(stddev_samp({v}), 5) AS sd, CAST(min({v}) AS DOUBLE) AS min,
 round(quantile_cont({v}, 0.25), 5) AS q25, round(median({v}), 5) AS median, round(quantile_cont({v}, 0.75), 5) AS q75, CAST(max({v}) AS DOUBLE) AS max FROM {t} {group}"""
 

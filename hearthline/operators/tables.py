@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from hearthline.operators.shape import union_all
 from hearthline.operators.skew import group_quantiles, same_key_join
-from hearthline.operators.stats import chisq_from_counts
+from hearthline.operators.stats import chisq_from_counts, chisq_test
 
 TOTAL = "Total"
 UNKNOWN = "Unknown"
@@ -112,10 +112,24 @@ def cross_tab_wide(df: DataFrame, row: str, col: str, levels: Sequence[str], per
     return head.unionByName(lines).orderBy("__place", "characteristic").drop("__place")
 
 
-def transition_tables(df: DataFrame, variables: Sequence[str], percent: str = "row") -> DataFrame:
-    """Cross-tabs of each level with the next one, stacked: (step, row, col, n, share, text)."""
+def at_risk(df: DataFrame, level: str, left: Sequence[str] = ("dropout",)) -> DataFrame:
+    """Those who reached `level`: its value is known and none of those that mean having left before."""
+    return df.filter(F.col(level).isNotNull() & ~F.col(level).cast("string").isin(list(left)))
+
+
+def transition_tables(df: DataFrame, variables: Sequence[str], percent: str = "row", left: Sequence[str] = ("dropout",)) -> DataFrame:
+    """Cross-tabs of each level with the next one among those at risk, stacked: (step, row, col, n, share, text)."""
+    steps = [
+        cross_tab(at_risk(df, a, left), a, b, percent).select(F.lit(f"{a} -> {b}").alias("step"), "*")
+        for a, b in zip(variables, variables[1:])
+    ]
+    return union_all(*steps)
+
+
+def transition_tests(df: DataFrame, variables: Sequence[str], left: Sequence[str] = ("dropout",)) -> DataFrame:
+    """The χ² test of each of these tables: (step, statistic, df, n, min_expected, p, p_exact)."""
     steps = [
-        cross_tab(df, a, b, percent).select(F.lit(f"{a} -> {b}").alias("step"), "*")
+        chisq_test(at_risk(df, a, left), a, b, correct=False).select(F.lit(f"{a} -> {b}").alias("step"), "*")
         for a, b in zip(variables, variables[1:])
     ]
     return union_all(*steps)

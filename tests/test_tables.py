@@ -169,3 +169,9 @@ def test_strata_come_from_one_summary(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderpriority", "o_orderstatus", "o_totalprice")
     plan = TB.summary_by_strata(df, "o_orderstatus", ["F", "O", "P"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 5
+
+
+def test_risk_sets(spark):
+    rows = [("TRUE", "TRUE"), ("FALSE", "dropout"), ("dropout", "dropout"), (None, "TRUE"), ("TRUE", None)]
+    got = TB.transition_tables(spark.createDataFrame(rows, "a string, b string"), ["a", "b"]).collect()
+    assert {r["row"] for r in got} - {"Total"} == {"TRUE", "FALSE"} and max(r["n"] for r in got) == 3
