@@ -19,9 +19,11 @@ CHUNKS = 64
 PARTS = 64
 OPEN_BYTES = 32 << 20  # words of open lines, counted, up to which all lines are held against them in one pass
 HOT = 1024  # words counted more often are looked up together with a second word
-KEEP = 32  # earlier candidates that an entry passes on, those of the nearest bit patterns; just one if that is close
+KEEP = 3  # earlier candidates that an entry passes on, those of the nearest bit patterns; just one if that is close
 LONG = 192  # words from which a line's entries have a pattern of WIDE bits; 128 bits say little about longer lines
 WIDE = 1024
+PAIRS = 500_000  # pairs that a task holds before it drops those that no line passes on
+SENT = 400_000  # entries that a task gathers before it sends them
 LINES = 1 << 20  # lines worked through at a time
 NEWLINE = 10
 LAST = np.iinfo(np.int64).max  # the place of a null id
@@ -230,7 +232,7 @@ def indexed(rows: DataFrame, counts: np.ndarray, threshold: float, buckets: int)
                 for lines in lines_of(part.column("text"), splitter):
                     held.append(entries(lines, doc, table, threshold))
                     total += len(held[-1]["key"])
-                    if total > 2_000_000:
+                    if total > SENT:
                         yield send()
                         held, total = [], 0
         if total:
@@ -249,15 +251,24 @@ def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.nd
         wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(-1, WIDE // 64)
         long = np.cumsum(x["size"] >= LONG) - 1
         # of the entries of one line and key the earliest occurrence
-        order = np.lexsort((x["line"], x["doc"], x["name"], x["key"]))
-        same = (x["key"][order][1:] == x["key"][order][:-1]) & (x["name"][order][1:] == x["name"][order][:-1])
-        order = order[np.append(True, ~same)]
-        order = order[np.lexsort((x["size"][order], x["key"][order]))]
+        high = x["key"].astype(np.uint64) << np.uint64(32)
+        rough = high | x["name"] >> np.uint64(32)
+        order = np.argsort(rough)
+        group = np.cumsum(np.append(True, rough[order][1:] != rough[order][:-1])) - 1
+        count = np.bincount(group)[group]
+        if (count > 1).any():
+            often = np.flatnonzero(count > 1)
+            often = often[np.lexsort((x["line"][order[often]], x["doc"][order[often]], x["name"][order[often]], x["key"][order[often]]))]
+            first = np.append(True, (x["key"][order[often]][1:] != x["key"][order[often]][:-1]) | (x["name"][order[often]][1:] != x["name"][order[often]][:-1]))
+            order = np.concatenate([order[count == 1], order[often[first]]])
+        order = order[np.argsort(high[order] | x["size"][order])]
         key, size, at = x["key"][order], x["size"][order].astype(np.int64), x["at"][order].astype(np.int64)
         doc, line, name, low, high, before = (x[k][order] for k in ("doc", "line", "name", "bits0", "bits1", "before"))
         long = long[order]
+        del x
         wanted = np.ones(len(key), bool) if shared is None else shared.value[(mix(name) >> np.uint64(44)).astype(np.int64)]
-        found_a, found_b, found_d, found_m = [], [], [], []
+        found: list[tuple[np.ndarray, ...]] = []
+        held, room = 0, PAIRS
         left, k = np.arange(len(key)), 0
         while len(left):
             k += 1
@@ -280,22 +291,22 @@ def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.nd
                 own = sure[lo : lo + 50_000]
                 apart[own] = np.bitwise_count(wide[long[a[own]]] ^ wide[long[b[own]]]).sum(1)
                 good[own] = apart[own] <= most[own]
-            if good.any():
-                found_a.append(a[good])
-                found_b.append(b[good])
-                found_d.append(apart[good])
-                found_m.append(most[good])
-        if not found_a:
+            a, b, apart, most = a[good], b[good], apart[good], most[good]
+            swap = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & ((line[a] < line[b]) | ((line[a] == line[b]) & (name[a] < name[b]))))
+            late, early = np.where(swap, b, a), np.where(swap, a, b)
+            own = wanted[late]
+            found.append(tuple(v[own].astype(np.int32) for v in (late, early, apart, most)))
+            held += len(found[-1][0])
+            if keep is not None and held > room:
+                # one more than can be passed on is enough to know that some are held back
+                best, number = nearest_first(found)
+                found = [tuple(v[number <= keep] for v in best)]
+                held = len(found[0][0])
+                room = max(PAIRS, 2 * held)
+        if not found:
             return NONE
-        a, b, d, most = (np.concatenate(x) for x in (found_a, found_b, found_d, found_m))
-        swap = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & ((line[a] < line[b]) | ((line[a] == line[b]) & (name[a] < name[b]))))
-        late, early = np.where(swap, b, a), np.where(swap, a, b)
-        own = wanted[late]
-        late, early, d, most = late[own], early[own], d[own], most[own]
-        order = np.lexsort((early, d, late))
-        late, early, d, most = late[order], early[order], d[order], most[order]
-        start = np.flatnonzero(np.append(True, late[1:] != late[:-1])) if len(late) else np.zeros(0, np.int64)
-        number = np.arange(len(late)) - np.repeat(start, np.diff(np.append(start, len(late))))
+        (late, early, d, most), number = nearest_first(found)
+        start = np.flatnonzero(number == 0)
         count = np.diff(np.append(start, len(late)))
         # half of the bits that may differ differ: next to certainly a match
         close = np.repeat(2 * d[start] <= most[start], count)
@@ -307,6 +318,16 @@ def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.nd
     return pairs.groupBy("later", "earlier").agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
 
 
+def nearest_first(found: list[tuple[np.ndarray, ...]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pairs (later, earlier, apart, most) by later line, the nearest first, and each one's number among its line's, from 0."""
+    late, early, apart, most = (np.concatenate(v) for v in zip(*found))
+    order = np.lexsort((early, apart, late))
+    late = late[order]
+    start = np.flatnonzero(np.append(True, late[1:] != late[:-1])) if len(late) else np.zeros(0, np.int64)
+    number = np.arange(len(late)) - np.repeat(start, np.diff(np.append(start, len(late))))
+    return [late, early[order], apart[order], most[order]], number
+
+
 NONE = pa.table({"later": pa.array([], pa.int64()), "earlier": pa.array([], pa.int64()), "apart": pa.array([], pa.int32()), "more": pa.array([], pa.bool_())})
 
 
@@ -386,7 +407,7 @@ def earlier_matches(rows: DataFrame, lines: DataFrame, threshold: float) -> Data
 def repeated_lines(rows: DataFrame, first: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
     """The names of lines that an earlier line of another name matches; `rows` has doc_id (long) and text, `first` is `first_lines`."""
     spark = rows.sparkSession
-    index = indexed(rows, counts, threshold, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index = indexed(rows, counts, threshold, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = kept(candidates(index, threshold, KEEP), "line-candidates")
     named = pairs.select("later").unionByName(pairs.select(F.col("earlier").alias("later"))).distinct()
     sets = kept(sets_of(rows, named), "line-sets")

@@ -21,7 +21,8 @@ def kept(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     path = folder(df.sparkSession, name)
     if small:
         df = df.repartition(1 + int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 32)
-    df.write.parquet(path)
+    # many small files at once: the default codec would hold direct memory for each
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
