@@ -19,7 +19,7 @@ HEADLINE = """
 label_decode recode_positional unit_fix property_value wave_coalesce quantile_bin_lowest person_attr_join hh_full_join
 child_two_key_join preferred_match interval_overlap best_overlap_spell slot_lookup_join unpivot_blocks pivot_counts hh_sum strict_mean group_median
 distribution_table sibling_rank group_size nearest_before sample_one spell_lead cross_tab_row cross_tab_p summary_table
-strata_summary anova_f spearman missing_glimpse missing_pattern mcar boxplot histogram ols_simple logit tobit
+strata_summary sequential_logit mimic om_kmeans choose_k cluster_stability study_life_course anova_f spearman missing_glimpse missing_pattern mcar boxplot histogram ols_simple logit tobit
 spells_to_yearly transition_rates om_distance impute_pmm study_parents_children ownership_by_parental_wealth study_couples
 """.split()
 
