@@ -109,26 +109,45 @@ def sequence_index(spark, d):
 
 @query()
 def om_distance(spark, d):
+    """Distances to the sequences that stay in one state; `om_distance_all` has those between all sequences."""
     people = stable(daily(spark, d))
     found = Q.om_distance(people, "seq", Q.steady_sequences(people, "seq"))
     return found.select(F.array_join("sequence", "-").alias("sequence"), F.element_at("reference", 1).alias("steady_in"), "distance")
 
 
+@query()
+def om_distance_all(spark, d):
+    people = stable(daily(spark, d))
+    found = Q.om_distance(people, "seq", Q.all_sequences(people, "seq"))
+    return found.select(F.array_join("sequence", "-").alias("sequence"), F.array_join("reference", "-").alias("reference"), "distance")
+
+
+def full_features(people):
+    """Rows of the person-by-person matrix of distances."""
+    return Q.distance_features(people, "seq", Q.all_sequences(people, "seq"))
+
+
 @query()
 def om_kmeans(spark, d):
     people = stable(daily(spark, d))
-    clustered = Q.kmeans_on_distances(Q.distance_features(people, "seq", Q.steady_sequences(people, "seq")), k=3)
+    clustered = Q.kmeans_on_distances(full_features(people), k=3)
     labelled = Q.label_clusters(Q.assign_clusters(people, "seq", clustered), {0: "first", 1: "second", 2: "third"})
     return labelled.select("user_id", "cluster", "label")
 
 
 @query()
 def choose_k(spark, d):
+    """By distances to the sequences that stay in one state; `choose_k_all` goes by those between all sequences."""
     people = stable(daily(spark, d))
     return Q.choose_k(Q.distance_features(people, "seq", Q.steady_sequences(people, "seq")))
 
 
+@query()
+def choose_k_all(spark, d):
+    return Q.choose_k(full_features(stable(daily(spark, d))))
+
+
 @query()
 def cluster_stability(spark, d):
     people = stable(daily(spark, d))
-    return Q.cluster_stability(people, "user_id", "seq", Q.distance_features(people, "seq", Q.steady_sequences(people, "seq")))
+    return Q.cluster_stability(people, "user_id", "seq", full_features(people))

@@ -19,10 +19,10 @@ def yearly_sequences(people: DataFrame, id_col: str, points: Sequence[tuple[str,
 
 def clustered_life_courses(people: DataFrame, id_col: str, k: int, labels: Mapping[int, str] | None = None,
                            references: Sequence[Q.Reference] | None = None, seed: int = 1, max_iter: int = 100) -> DataFrame:
-    """(id, cluster[, label]) from a table (id, seq), by distances to `references`: if none are given, the sequences held by
-    at least a hundredth of the people and those that stay in one state."""
+    """(id, cluster[, label]) from a table (id, seq), by distances to `references`: if none are given, all sequences,
+    each by the number of people that hold it."""
     if references is None:
-        references = [*Q.frequent_sequences(people, "seq", 0.01), *Q.steady_sequences(people, "seq")]
+        references = Q.all_sequences(people, "seq")
     features = Q.distance_features(people, "seq", references)
     rows = Q.assign_clusters(people, "seq", Q.kmeans_on_distances(features, k, seed=seed, max_iter=max_iter))
     rows = rows if labels is None else Q.label_clusters(rows, labels)

@@ -105,6 +105,23 @@ def om_distance(spark, con, folder, df):
         assert r.distance == pytest.approx(d[n, n])
 
 
+def om_distance_all(spark, con, folder, df):
+    """All pairs, symmetric, 0 on the diagonal only, as the plain recursion has them."""
+    people = daily(spark, folder)
+    costs = Q.substitution_costs(people, "seq")
+    table = {(r.sequence, r.reference): r.distance for r in df.collect()}
+    names = {"-".join(r.seq) for r in Q.distinct_sequences(people, "seq").collect()}
+    assert set(table) == set(itertools.product(names, names))
+    assert all(v == pytest.approx(table[b, a]) and (v == 0) == (a == b) for (a, b), v in table.items())
+    for x, y in itertools.islice(table, 20):
+        a, b = x.split("-"), y.split("-")
+        d = np.zeros((len(a) + 1, len(b) + 1))
+        d[0], d[:, 0] = range(len(b) + 1), range(len(a) + 1)
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            d[i + 1, j + 1] = min(d[i, j + 1] + 1, d[i + 1, j] + 1, d[i, j] + costs[a[i], b[j]])
+        assert table[x, y] == pytest.approx(d[-1, -1])
+
+
 def om_kmeans(spark, con, folder, df):
     rows = df.toPandas()
     assert rows["user_id"].is_unique and set(rows["cluster"]) == {0, 1, 2} and set(rows["user_id"]) == {r.user_id for r in daily(spark, folder).collect()}
@@ -121,10 +138,20 @@ def choose_k(spark, con, folder, df):
     assert all(-1 <= r["silhouette"] <= 1 for r in rows[1:])
 
 
+def choose_k_all(spark, con, folder, df):
+    rows = df.orderBy("k").collect()
+    people = daily(spark, folder)
+    feats = Q.distance_features(people, "seq", Q.all_sequences(people, "seq")).collect()
+    x, n = np.array([r.features for r in feats]), np.array([r.n for r in feats], float)
+    assert x.shape == (len(x), len(x))
+    assert rows[0]["wss"] == pytest.approx((n * ((x - (x * n[:, None]).sum(0) / n.sum()) ** 2).sum(1)).sum())
+    assert [r["k"] for r in rows] == [1, 2, 3, 4, 5] and all(r["wss"] <= rows[0]["wss"] for r in rows)
+
+
 def cluster_stability(spark, con, folder, df):
     rows = df.collect()
     assert {r["cluster"] for r in rows} == {0, 1, 2} and all(0 < r["mean_jaccard"] <= 1 and r["dissolved"] + r["recovered"] <= 10 for r in rows)
 
 
-INVARIANTS = {f.__name__: f for f in (study_life_course, strata_summary, mcar, model_table, coef_interval, tobit, mimic, om_distance, om_kmeans, choose_k, cluster_stability)}
+INVARIANTS = {f.__name__: f for f in (study_life_course, strata_summary, mcar, model_table, coef_interval, tobit, mimic, om_distance, om_distance_all, om_kmeans, choose_k, choose_k_all, cluster_stability)}
 INVARIANTS |= {"impute_pmm": imputed, "impute_rf": imputed}

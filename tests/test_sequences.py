@@ -119,3 +119,32 @@ def test_spell_fixes(spark):
     assert [r[0] for r in df.select(SP.spell_years("s", "e")).collect()] == [10, None, 5]
     assert [r[0] for r in df.select(SP.spell_years("s", "e", 2014, "abs")).collect()] == [10, 24, 5]
     assert [tuple(r) for r in SP.normalise_spells(df, "s", "e", 2014).collect()] == [(1990, 2000), (1990, 2014), (1990, 1995)]
+
+
+def test_order_of_states_makes_features(spark, monkeypatch):
+    """Sequences of the same states in another order differ in the features that the queries cluster by."""
+    from hearthline.catalog import sequences as C
+
+    df = spark.createDataFrame([(1, list("aabb")), (2, list("bbaa")), (3, list("abab")), (4, list("aabb"))], "user_id long, seq array<string>")
+    seen = []
+    fit = Q.kmeans_on_distances
+    monkeypatch.setattr(Q, "kmeans_on_distances", lambda features, *a, **b: seen.append(features) or fit(features, *a, **b))
+    monkeypatch.setattr(C, "daily", lambda spark, d: df)
+    assert len(C.om_kmeans(spark, "").collect()) == 4
+    assert C.cluster_stability(spark, "").count() == 3
+    assert len(life_course.clustered_life_courses(df, "user_id", 2).collect()) == 4
+    assert len(seen) == 3
+    for features in seen:
+        got = {"".join(r.seq): tuple(r.features) for r in features.collect()}
+        assert len(got) == len(set(got.values())) == 3
+    steady = {tuple(r.features) for r in Q.distance_features(df, "seq", Q.steady_sequences(df, "seq")).collect()}
+    assert len(steady) == 1
+
+
+def test_blocks_of_references(spark, monkeypatch):
+    """Distances do not depend on how many pairs are compared at once."""
+    df = people(spark, 40, 6)
+    want = {(tuple(r.sequence), tuple(r.reference)): r.distance for r in Q.om_distance(df, "seq", Q.all_sequences(df, "seq")).collect()}
+    monkeypatch.setattr(Q, "PAIRS", 9)
+    monkeypatch.setattr(Q, "CELLS", 100)
+    assert want == {(tuple(r.sequence), tuple(r.reference)): r.distance for r in Q.om_distance(df, "seq", Q.all_sequences(df, "seq")).collect()}
