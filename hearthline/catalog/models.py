@@ -173,10 +173,10 @@ def conditional_zero(spark, d):
 @query()
 def impute_pmm(spark, d):
     rows = holed(spark, d).drop("o_orderpriority")
-    return I.complete(I.impute_mice_pmm(rows, "o_orderkey", ["st", "price", "prio"], m=1, maxit=2), 1)
+    return I.complete(I.impute_mice_pmm(rows, "o_orderkey", ["st", "price", "prio"]), 1)
 
 
 @query()
 def impute_rf(spark, d):
     rows = holed(spark, d).drop("o_orderpriority")
-    return I.complete(I.impute_mice_rf(rows, "o_orderkey", ["st", "price", "prio"], m=1, maxit=1), 1)
+    return I.complete(I.impute_mice_rf(rows, "o_orderkey", ["st", "price", "prio"]), 1)

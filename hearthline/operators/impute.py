@@ -148,7 +148,7 @@ def _linear_hat(rows: DataFrame, y: Column, xs: list[Column], known: Column, rng
 
 
 def _chained(df: DataFrame, id_col: str, cols: Sequence[str], m: int, maxit: int, seed: int, step) -> DataFrame:
-    """Fill every incomplete column of `cols` from all others, round by round, m times."""
+    """Fill every incomplete column of `cols` from all others, round by round, m times. A step writes the rows with holes alone."""
     gone = {c: f"__gone_{c}" for c in cols}
     base = stable(df.select(id_col, *cols, *[F.col(c).isNull().alias(g) for c, g in gone.items()]))
     holes = base.agg(*[F.sum(F.col(g).cast("long")).alias(c) for c, g in gone.items()]).first()
@@ -158,9 +158,13 @@ def _chained(df: DataFrame, id_col: str, cols: Sequence[str], m: int, maxit: int
     cols = [c for c in cols if c not in empty]
     levels = {c: factor_levels(base, c) for c in cols if isinstance(base.schema[c].dataType, (T.StringType, T.BooleanType))}
     hot = hot_groups(base, [])
+    holed = F.lit(False)
+    for c in incomplete:
+        holed = holed | F.col(gone[c])
+    whole = base.filter(~holed)  # never changes, so it is written once
     copies = []
     for k in range(1, m + 1):
-        state = base
+        state = base.filter(holed)
         for i, c in enumerate(incomplete):
             start = _draw(base.filter(F.col(c).isNotNull()), base.filter(F.col(c).isNull()), id_col, c, seed + 7919 * k + i, hot)
             state = state.join(start.withColumnRenamed(c, "__new"), id_col, "left").withColumn(
@@ -168,14 +172,15 @@ def _chained(df: DataFrame, id_col: str, cols: Sequence[str], m: int, maxit: int
         state = stable(state)
         for turn in range(maxit):
             for i, c in enumerate(incomplete):
-                rows = state.withColumn(c, F.when(~F.col(gone[c]), F.col(c)))
+                blank = state.withColumn(c, F.when(~F.col(gone[c]), F.col(c)))
+                rows = whole.unionByName(blank)
                 draw_seed = seed + 104729 * k + 1299709 * turn + i
                 others = [o for o in cols if o != c]
                 new = step(rows, id_col, c, others, levels, draw_seed, hot).withColumnRenamed(c, "__new")
                 state = stable(
-                    rows.join(new, id_col, "left").withColumn(c, F.coalesce(c, "__new")).select(*base.columns))
+                    blank.join(new, id_col, "left").withColumn(c, F.coalesce(c, "__new")).select(*base.columns))
         rest = [c for c in df.columns if c not in base.columns]
-        state = state.drop(*gone.values())
+        state = whole.unionByName(state).drop(*gone.values())
         done = state.join(df.select(id_col, *rest), id_col) if rest else state
         copies.append(done.select(*df.columns).withColumn("imp", F.lit(k)))
     out = copies[0]

@@ -75,3 +75,22 @@ def test_column_without_any_value_stays_missing(spark):
     df = spark.createDataFrame([(i, float(i % 7) if i % 3 else None, None) for i in range(60)], "id long, x double, y double")
     out = impute.impute_mice_pmm(df, "id", ["x", "y"], m=1, maxit=1).collect()
     assert len(out) == 60 and all(r["x"] is not None and r["y"] is None for r in out)
+
+
+@pytest.mark.parametrize("name, m, maxit", [("impute_pmm", 5, 5), ("impute_rf", 1, 30)])
+def test_queries_run_all_rounds(spark, monkeypatch, name, m, maxit):
+    from hearthline.catalog import models
+
+    seen = []
+    monkeypatch.setattr(I, "_chained", lambda df, id_col, cols, m, maxit, *_: seen.append((m, maxit)) or df.withColumn("imp", F.lit(1)))
+    getattr(models, name)(spark, "/root/testdata/sf0.001")
+    assert seen == [(m, maxit)]
+
+
+def test_a_step_writes_only_rows_with_holes(spark, holed, monkeypatch):
+    written = []
+    keep = I.stable
+    monkeypatch.setattr(I, "stable", lambda df: written.append(keep(df)) or written[-1])
+    out = I.impute_mice_pmm(holed, "id", ["x", "y", "g"], m=1, maxit=1)
+    open_rows = holed.filter("y is null or g is null").count()
+    assert [w.count() for w in written] == [400, open_rows, open_rows, open_rows] and out.count() == 400
