@@ -73,15 +73,21 @@ def spell_in_window(spark, d):
 # --- sequences of daily states --------------------------------------------------------------
 
 DAYS = 25
-END = "2024-01-30"
+END = "2024-01-30"  # the last day of the test tables, for the SQL
 
 
-def daily(spark, d):
-    """A user's state per day is the type of the day's last event; the sequence is the last 25 days."""
+def daily(spark, d, length=DAYS):
+    """A user's state per day is the type of the day's last event; the sequence is the last 25 days up to the table's last one,
+    or all its days if the length is None."""
+    events = table(spark, d, "events")
     last = F.max_by("event_type", F.struct("ts", "event_id"))
-    days = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(last.alias("state"))
-    place = days.withColumn("pos", F.lit(DAYS) - F.date_diff(F.lit(END).cast("date"), "day"))
-    return SP.states_to_sequence(place, "user_id", "pos", "state", DAYS)
+    days = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(last.alias("state"))
+    day = F.to_date("ts")
+    first, end = events.agg(F.min(day), F.max(day)).first()
+    if length is None:
+        length = (end - first).days + 1 if end else 0
+    place = days.withColumn("pos", F.lit(length) - F.date_diff(F.lit(end).cast("date"), "day"))
+    return SP.states_to_sequence(place, "user_id", "pos", "state", length)
 
 
 DAILY = f"""WITH days AS (SELECT user_id, CAST(ts AS DATE) AS day, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY 1, 2),
@@ -90,6 +96,30 @@ seq AS (SELECT u.user_id, p.pos, coalesce(state, '*') AS state FROM u CROSS JOIN
         LEFT JOIN days ON days.user_id = u.user_id AND {DAYS} - (DATE '{END}' - day) = p.pos) """
 
 
+WHOLE = """WITH days AS (SELECT user_id, CAST(ts AS DATE) AS day, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY 1, 2),
+b AS (SELECT min(day) AS first, max(day) AS last FROM days),
+seq AS (SELECT u.user_id, p.pos, coalesce(state, '*') AS state FROM (SELECT DISTINCT user_id FROM days) u
+        CROSS JOIN (SELECT first, unnest(range(1, (last - first) + 2)) AS pos FROM b) p
+        LEFT JOIN days ON days.user_id = u.user_id AND (day - first) + 1 = p.pos) """
+
+
+@query(sql=WHOLE + "SELECT user_id, string_agg(state, '-' ORDER BY pos) AS seq FROM seq GROUP BY 1")
+def states_to_sequence_all(spark, d):
+    return daily(spark, d, None).select("user_id", F.array_join("seq", "-", "*").alias("seq"))
+
+
+@query(sql=WHOLE + """, t AS (SELECT state AS "from", lead(state) OVER (PARTITION BY user_id ORDER BY pos) AS "to" FROM seq),
+c AS (SELECT "from", "to", count(*) AS n FROM t WHERE "to" IS NOT NULL GROUP BY 1, 2)
+SELECT "from", "to", n, round(n / sum(n) OVER (PARTITION BY "from"), 8) AS p FROM c""")
+def transition_rates_all(spark, d):
+    return Q.transition_rates(daily(spark, d, None), "seq").withColumn("p", F.round("p", 8))
+
+
+@query(sql=WHOLE + "SELECT user_id % 3 AS grp, CAST(pos - 1 AS INTEGER) AS pos, state, count(*) AS n FROM seq GROUP BY 1, 2, 3")
+def sequence_index_all(spark, d):
+    return Q.sequence_index_data(daily(spark, d, None).withColumn("grp", F.col("user_id") % 3), "grp", "seq")
+
+
 @query(sql=DAILY + "SELECT user_id, string_agg(state, '-' ORDER BY pos) AS seq FROM seq GROUP BY 1")
 def states_to_sequence(spark, d):
     return daily(spark, d).select("user_id", F.array_join("seq", "-", "*").alias("seq"))
@@ -117,7 +147,7 @@ def om_distance(spark, d):
 
 @query()
 def om_distance_all(spark, d):
-    people = stable(daily(spark, d))
+    people = stable(daily(spark, d, None))
     found = Q.om_distance(people, "seq", Q.all_sequences(people, "seq"))
     return found.select(F.array_join("sequence", "-").alias("sequence"), F.array_join("reference", "-").alias("reference"), "distance")
 
@@ -129,7 +159,7 @@ def full_features(people):
 
 @query()
 def om_kmeans(spark, d):
-    people = stable(daily(spark, d))
+    people = stable(daily(spark, d, None))
     clustered = Q.kmeans_on_distances(full_features(people), k=3)
     labelled = Q.label_clusters(Q.assign_clusters(people, "seq", clustered), {0: "first", 1: "second", 2: "third"})
     return labelled.select("user_id", "cluster", "label")
@@ -144,10 +174,10 @@ def choose_k(spark, d):
 
 @query()
 def choose_k_all(spark, d):
-    return Q.choose_k(full_features(stable(daily(spark, d))))
+    return Q.choose_k(full_features(stable(daily(spark, d, None))))
 
 
 @query()
 def cluster_stability(spark, d):
-    people = stable(daily(spark, d))
+    people = stable(daily(spark, d, None))
     return Q.cluster_stability(people, "user_id", "seq", full_features(people))

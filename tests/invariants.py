@@ -107,7 +107,7 @@ def om_distance(spark, con, folder, df):
 
 def om_distance_all(spark, con, folder, df):
     """All pairs, symmetric, 0 on the diagonal only, as the plain recursion has them."""
-    people = daily(spark, folder)
+    people = daily(spark, folder, None)
     costs = Q.substitution_costs(people, "seq")
     table = {(r.sequence, r.reference): r.distance for r in df.collect()}
     names = {"-".join(r.seq) for r in Q.distinct_sequences(people, "seq").collect()}
@@ -140,7 +140,7 @@ def choose_k(spark, con, folder, df):
 
 def choose_k_all(spark, con, folder, df):
     rows = df.orderBy("k").collect()
-    people = daily(spark, folder)
+    people = daily(spark, folder, None)
     feats = Q.distance_features(people, "seq", Q.all_sequences(people, "seq")).collect()
     x, n = np.array([r.features for r in feats]), np.array([r.n for r in feats], float)
     assert x.shape == (len(x), len(x))

@@ -129,7 +129,7 @@ def test_order_of_states_makes_features(spark, monkeypatch):
     seen = []
     fit = Q.kmeans_on_distances
     monkeypatch.setattr(Q, "kmeans_on_distances", lambda features, *a, **b: seen.append(features) or fit(features, *a, **b))
-    monkeypatch.setattr(C, "daily", lambda spark, d: df)
+    monkeypatch.setattr(C, "daily", lambda spark, d, length=C.DAYS: df)
     assert len(C.om_kmeans(spark, "").collect()) == 4
     assert C.cluster_stability(spark, "").count() == 3
     assert len(life_course.clustered_life_courses(df, "user_id", 2).collect()) == 4
@@ -148,3 +148,14 @@ def test_blocks_of_references(spark, monkeypatch):
     monkeypatch.setattr(Q, "PAIRS", 9)
     monkeypatch.setattr(Q, "CELLS", 100)
     assert want == {(tuple(r.sequence), tuple(r.reference)): r.distance for r in Q.om_distance(df, "seq", Q.all_sequences(df, "seq")).collect()}
+
+
+def test_days_follow_the_table(spark, tmp_path):
+    from hearthline.catalog import sequences as C
+
+    rows = [(1, 7, "2024-05-01 10:00:00", "view"), (2, 8, "2024-02-01 10:00:00", "cart"), (3, 7, "2024-05-02 10:00:00", "buy")]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.user_id: r.seq for r in C.states_to_sequence(spark, str(tmp_path)).collect()}
+    assert got == {7: "-".join(["*"] * 23 + ["view", "buy"])}
+    whole = {r.user_id: r.seq.split("-") for r in C.states_to_sequence_all(spark, str(tmp_path)).collect()}
+    assert whole == {7: ["*"] * 90 + ["view", "buy"], 8: ["cart"] + ["*"] * 91}
