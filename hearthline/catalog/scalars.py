@@ -182,8 +182,10 @@ def text_tools(spark, d):
 
 
 def line_block(spark, d, slots=range(1, 8)):
-    """Line items as a wide block per order: qty1..qty7, price1..price7 (missing where absent)."""
-    lines = table(spark, d, "lineitem")
+    """Line items as a wide block per order: qty1..qty7, price1..price7 (missing where absent). A line number outside the slots is an error."""
+    number = F.col("l_linenumber")
+    outside = F.raise_error(F.concat(F.lit("line number outside the slots: "), F.coalesce(number.cast("string"), F.lit("missing"))))
+    lines = table(spark, d, "lineitem").withColumn("l_linenumber", F.when(number.isin(*slots), number).otherwise(outside.cast("int")))
     aggs = []
     for s in slots:
         mine = F.col("l_linenumber") == s

@@ -159,3 +159,12 @@ def test_days_follow_the_table(spark, tmp_path):
     assert got == {7: "-".join(["*"] * 23 + ["view", "buy"])}
     whole = {r.user_id: r.seq.split("-") for r in C.states_to_sequence_all(spark, str(tmp_path)).collect()}
     assert whole == {7: ["*"] * 90 + ["view", "buy"], 8: ["cart"] + ["*"] * 91}
+
+
+def test_line_number_outside_the_slots_is_an_error(spark, tmp_path):
+    from hearthline.catalog.scalars import line_block
+
+    lines = spark.createDataFrame([(1, 8, 5.0, 9.0, 0.1)], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    with pytest.raises(Exception, match="outside the slots"):
+        line_block(spark, str(tmp_path)).collect()
