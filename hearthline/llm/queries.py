@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_ann, cover_tree, langid, line_dedup, mixing, ngram_join, ngram_lm, packing, url_filter, warc
+from . import collision_ann, cover_tree, langid, line_dedup, merkle, mixing, ngram_join, ngram_lm, packing, url_filter, warc
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +145,43 @@ def op10_language_id(spark, d):
     return langid.identify(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), F.col("hl_lang").alias("lang_pred"), F.col("hl_score").alias("score"))
 
 
+# --- 11: PII --------------------------------------------------------------------------------
+
+
+# --- 12: Merkle dataset manifest ------------------------------------------------------------
+
+# crc32 of the decimal id, bit by bit; a null id counts as an empty text
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(list_filter(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda d: d <> ''), lambda d: ascii(d)::BIGINT)),
+lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, i: xor(r >> 1, (r & 1) * 3988292384))), 4294967295::BIGINT)"""
+
+LEAF_SQL = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+
+@query(
+    sql=f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, {LEAF_SQL.format(text="text")} AS leaf,
+CASE WHEN {CRC32} % 3 = 0 THEN {LEAF_SQL.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents),
+p AS (SELECT *, coalesce(changed, leaf) AS claimed, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+nodes AS (SELECT tree, 0 AS level, i, n, leaf AS h FROM p
+UNION ALL SELECT tree, level + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, level, i // 8),
+subroots AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+top AS (SELECT 0 AS level, i, n, h FROM subroots
+UNION ALL SELECT level + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 8),
+every AS (SELECT tree, level, i, n, h FROM nodes UNION ALL SELECT 'top', level, i, n, h FROM top),
+sides AS (SELECT a.tree, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+FROM every a JOIN every b ON a.tree = b.tree AND a.level = b.level AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY ALL),
+heights AS (SELECT tree, max(level) AS high FROM every GROUP BY tree),
+walk AS (SELECT row_number() OVER () AS row, doc_id, leaf, p.tree, s.h AS subroot, p.tree AS here, 0 AS level, p.i AS i, s.i AS top_i, claimed AS h, '' AS proof FROM p JOIN subroots s USING (tree)
+UNION ALL SELECT row, doc_id, leaf, w.tree, subroot, CASE WHEN w.level = g.high THEN 'top' ELSE here END, CASE WHEN w.level = g.high THEN 0 ELSE w.level + 1 END,
+CASE WHEN w.level = g.high THEN top_i ELSE w.i // 8 END, top_i, CASE WHEN w.level = g.high THEN w.h ELSE sha256(s.l || w.h || s.r) END, CASE WHEN w.level = g.high THEN proof ELSE proof || s.l || s.r END
+FROM walk w JOIN heights g ON g.tree = here LEFT JOIN sides s ON s.tree = here AND s.level = w.level AND s.i = w.i WHERE NOT (here = 'top' AND w.level = g.high))
+SELECT doc_id, leaf, subroot, o.h AS root, sha256(proof) AS proof_sha256, w.h AS folded_root, w.h = o.h AS verified
+FROM walk w JOIN heights g ON here = 'top' AND g.tree = here AND w.level = g.high, (SELECT h FROM top WHERE n = 1) o"""
+)
+def op12_merkle_manifest(spark, d):
+    docs = table(spark, d, "documents")
+    return merkle.prove_documents(docs, langid.fold(F.col("doc_id"), 3) == 0)
+
+
 # --- the stages together --------------------------------------------------------------------
 
 
