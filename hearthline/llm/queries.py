@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_ann, cover_tree, langid, line_dedup, merkle, mixing, ngram_join, ngram_lm, packing, url_filter, warc
+from . import collision_ann, cover_tree, langid, line_dedup, merkle, mixing, ngram_join, ngram_lm, packing, periodic_runs, url_filter, warc
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,6 +182,34 @@ def op12_merkle_manifest(spark, d):
     return merkle.prove_documents(docs, langid.fold(F.col("doc_id"), 3) == 0)
 
 
+# --- 13: periodic run detection -------------------------------------------------------------
+
+
+def with_period(text, doc_id):
+    """A tenth of the texts repeat a stretch of their words from some word on to the end."""
+    h = langid.fold(doc_id, 1 << 32)
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")))
+        return F.when(n > 0, F.array_join(place, " ")).otherwise(F.lit(""))
+
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"))
+    return F.when(h % 10 == 0, F.transform(F.array(words), repeated)[0]).otherwise(text)
+
+
+@query()
+def op13_periodic_runs(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", with_period(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.find_runs(docs, ["doc_id"]).withColumn("best", periodic_runs.strongest(F.col("hl_runs")))
+    return found.select("doc_id", F.size("hl_runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(periodic_runs.lines(F.col("hl_runs")).cast("binary"), 256).alias("runs_sha256"), F.col("hl_digest").alias("collapsed_sha256"))
+
+
 # --- the stages together --------------------------------------------------------------------
 
 
