@@ -17,7 +17,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,7 +168,8 @@ def find_runs(docs: DataFrame, carry: list[str], text: str = "text", least: int
         splitter = Splitter()
         for batch in batches:
             for part in slices(batch, "hl_text"):
-                texts = [(t or b"").split() for t in part.column("hl_text").cast(pa.binary()).to_pylist()]
+                raw = part.column("hl_text").cast(pa.binary()).to_pylist()
+                texts = [(t or b"").split() for t in raw]
                 n = np.array([len(t) for t in texts])
                 codes = np.asarray(pa.array(chain.from_iterable(texts), pa.binary()).dictionary_encode().indices).astype(np.int64)
                 ptr = np.append(0, np.cumsum(n))
@@ -182,7 +182,7 @@ def find_runs(docs: DataFrame, carry: list[str], text: str = "text", least: int
                 needed = (n > tile) | (np.bincount(owner, minlength=len(n)) > 0)
                 none = pa.nulls(len(n), pa.int64())
                 made = dict(zip(part.schema.names, part.columns)) | {
-                    "hl_text": pc.if_else(pa.array(needed), part.column("hl_text"), pa.scalar(None, pa.string())),
+                    "hl_text": pa.array([t if used else None for t, used in zip(raw, needed)], pa.binary()).cast(pa.string()),
                     "hl_words": pa.array(n), "hl_digest": pa.array([sha256(b" ".join(t)).hexdigest() for t in texts]), "hl_found": found,
                     "hl_low": none, "hl_high": none, "hl_core": none, "hl_stop": none, "hl_from": none, "hl_codes": pa.nulls(len(n), pa.binary())}
                 yield pa.RecordBatch.from_pydict(made).select(names)
