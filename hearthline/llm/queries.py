@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_ann, cover_tree, langid, line_dedup, merkle, mixing, ngram_join, ngram_lm, packing, periodic_runs, url_filter, warc
+from . import collision_ann, cover_tree, langid, line_dedup, merkle, mixing, ngram_join, ngram_lm, packing, periodic_runs, pii, url_filter, warc
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +148,14 @@ def op10_language_id(spark, d):
 # --- 11: PII --------------------------------------------------------------------------------
 
 
+@query()
+def op11_pii_sanitisation(spark, d):
+    found = pii.sanitise(table(spark, d, "documents"), ["doc_id"])
+    base = F.filter("hl_spans", lambda s: s["kind"] < pii.TERM)
+    counts = [F.size(F.filter("hl_spans", pii.of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("hl_spans")).alias("spans"))
+
+
 # --- 12: Merkle dataset manifest ------------------------------------------------------------
 
 # crc32 of the decimal id, bit by bit; a null id counts as an empty text
