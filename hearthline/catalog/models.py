@@ -173,7 +173,7 @@ def conditional_zero(spark, d):
 @query()
 def impute_pmm(spark, d):
     rows = holed(spark, d).drop("o_orderpriority")
-    return I.complete(I.impute_mice_pmm(rows, "o_orderkey", ["st", "price", "prio"]), 1)
+    return I.impute_mice_pmm(rows, "o_orderkey", ["st", "price", "prio"])
 
 
 @query()

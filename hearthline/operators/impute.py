@@ -1,26 +1,28 @@
 """Filling missing values: constants, medians, and chained equations with donors.
 
-Donors are real rows found by equi-joins on their place in an ordering, so no group of donors and
-no list of predictions is ever gathered in one task.
+Donors are real rows: the nearest by prediction, found in ranges of predictions that are merged one by one, or members of the same
+leaves of a forest, found in random blocks of the table. No list of all donors or predictions is ever gathered in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearthline.functions.recode import level_ordinal
+from hearthline.operators.forest import impute_forest
 from hearthline.operators.household import group_median
-from hearthline.operators.models import factor_levels, moment_matrix
-from hearthline.operators.skew import hot_groups, lookup_join, running_total
+from hearthline.operators.models import cross_products, factor_levels
+from hearthline.operators.skew import hot_groups, lookup_join, running_total, shuffle_partitions
 from hearthline.session import stable
 
 # --- simple fills ---------------------------------------------------------------------------
@@ -41,179 +43,255 @@ def complete(imputed: DataFrame, k: int = 1) -> DataFrame:
     return imputed.filter(F.col("imp") == k).drop("imp")
 
 
-# --- donors ---------------------------------------------------------------------------------
+# --- first draws ----------------------------------------------------------------------------
 
 
 def _draw(donors: DataFrame, takers: DataFrame, id_col: str, value: str, seed: int, hot: list[Row]) -> DataFrame:
-    """(id, value): for each taker the value of a donor drawn by seeded hashes."""
+    """(id, copy, value): for each taker of each copy the value of a donor drawn by seeded hashes."""
     order = [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)]
     numbered = running_total(donors.select(id_col, value), [], order, "__pos", hot=hot).select("__pos", value)
     n = donors.agg(F.count(F.lit(1))).scalar()
-    wanted = takers.select(id_col, (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), n) + 1).alias("__pos"))
+    wanted = takers.select(id_col, "__copy", (F.pmod(F.xxhash64(F.col(id_col), F.col("__copy"), F.lit(seed + 1)), n) + 1).alias("__pos"))
     # with few donors each is wanted by many
-    return lookup_join(wanted, numbered, ["__pos"], "inner", hot=None if hot else []).select(id_col, value)
+    return lookup_join(wanted, numbered, ["__pos"], "inner", hot=None if hot else []).select(id_col, "__copy", value)
 
 
-def _nearest_donor(rows: DataFrame, id_col: str, value: str, donors: int, seed: int, hot: list[Row]) -> DataFrame:
-    """(id, value) for rows with a missing value: one of the `donors` nearest known rows by `__hat`.
+# --- donors by nearest prediction ----------------------------------------------------------
 
-    Donors are numbered along the prediction; a taker's place among them names the few numbers
-    that can be nearest, and those are joined by number.
-    """
-    known = F.col(value).isNotNull()
-    placed = running_total(
-        rows.select(id_col, value, "__hat"), [], [F.col("__hat").asc(), known.desc(), F.col(id_col).asc()], "__pos",
-        known.cast("long"), hot=hot)
-    pool = placed.filter(known).select("__pos", F.col("__hat").alias("__donor_hat"), value)
-    reach = F.sequence(F.col("__pos") - (donors - 1), F.col("__pos") + donors)
-    takers = placed.filter(~known).select(id_col, "__hat", F.explode(reach).alias("__pos"))
-    # many takers may share a prediction and with it their donors' numbers
-    pairs = lookup_join(takers, pool, ["__pos"], "inner", hot=None if hot else [])
-    near = F.struct(F.abs(F.col("__hat") - F.col("__donor_hat")).alias("gap"), "__pos", F.col(value).alias("value"))
-    lists = pairs.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(near)), 1, donors).alias("__near"))
-    turn = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.size("__near").cast("long")).cast("int")
-    return lists.select(id_col, F.element_at("__near", turn + 1)["value"].alias(value))
-
-
-def _leaf_donor(rows: DataFrame, id_col: str, value: str, trees: int, depth: int, seed: int, hot: list[Row]) -> DataFrame:
-    """(id, value): a donor drawn from all known rows that share a leaf with the taker, over all trees.
-
-    A row that shares leaves in several trees counts as often. `__leaf` lists each row's leaf per tree.
-    """
-    width = 2 ** (depth + 2)
-    known = F.col(value).isNotNull()
-    leaves = rows.filter(known).select(
-        id_col, value, F.posexplode("__leaf").alias("__tree", "__l")
-    ).select(id_col, value, (F.col("__tree") * width + F.col("__l").cast("int")).alias("__cell"))
-    # at most trees · 2^depth leaves exist
-    sizes = {r["__cell"]: r["n"] for r in leaves.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])
-    order = [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)]
-    numbered = running_total(leaves, ["__cell"], order, "__pos", hot=None if hot else []).select("__cell", "__pos", value)
 
-    cells = F.transform("__leaf", lambda leaf, t: (t * width + leaf.cast("int")).cast("int"))
-    counts = F.transform(cells, lambda c: F.coalesce(F.try_element_at(table, c), F.lit(0)).cast("long"))
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n)
-    start = F.struct(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), total).alias("left"), F.lit(-1).alias("cell"), F.lit(0).alias("i"))
+def _bounds(rows: DataFrame, parts: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(prediction, tie) at which each copy is cut into `parts` ranges of about equal size; equal predictions are cut by their ties."""
+    if parts < 2:
+        return {}
+    places = F.percentile_approx("__hat", [i / parts for i in range(1, parts)], F.lit(20 * parts))
+    out = {}
+    for r in rows.groupBy("__copy").agg(places.alias("q")).collect():
+        hats = np.array(r["q"], float)
+        first, turn = np.searchsorted(hats, hats, "left"), np.arange(len(hats))
+        many = np.searchsorted(hats, hats, "right") - first
+        share = (turn - first + 1) / (many + 1)
+        out[r["__copy"]] = (hats, np.where(many > 1, (share * 2.0**64 - 2.0**63), -(2.0**63)).astype(np.int64))
+    return out
 
-    def step(acc: Column, n: Column) -> Column:
-        here = (acc["cell"] < 0) & (acc["left"] < n)
-        return F.struct(
-            F.when((acc["cell"] >= 0) | here, acc["left"]).otherwise(acc["left"] - n).alias("left"),
-            F.when(here, F.element_at(F.col("__cells"), acc["i"] + 1)).otherwise(acc["cell"]).alias("cell"),
-            (acc["i"] + 1).alias("i"))
 
-    takers = (
-        rows.filter(~known)
-        .select(id_col, "__leaf", cells.alias("__cells"))
-        .withColumn("__pick", F.aggregate(counts, start, step))
-        .select(id_col, F.col("__pick.cell").alias("__cell"), (F.col("__pick.left") + 1).alias("__pos"))
-    )
-    return lookup_join(takers, numbered, ["__cell", "__pos"], "inner", hot=None if hot else []).select(id_col, value)
+def _range_of(bounds: tuple[np.ndarray, np.ndarray] | None, hat: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    if bounds is None:
+        return np.zeros(len(hat), np.int64)
+    cuts, ties = bounds
+    low, high = np.searchsorted(cuts, hat, "left"), np.searchsorted(cuts, hat, "right")
+    for i in np.flatnonzero(low < high):
+        low[i] += np.searchsorted(ties[low[i] : high[i]], tie[i], "right")
+    return low
 
 
-# --- chained equations ----------------------------------------------------------------------
+def nearest_match(rows: DataFrame, value: str, donors: int, parts: int) -> DataFrame:
+    """The rows with `__own`, those without a `value` (`__known` is false) filled from one of the `donors` known rows of their copy nearest by `__hat`.
 
+    `__tie` orders equal predictions and `__turn` says which of the donors is taken. Each copy is cut into ranges of (prediction, tie); each range
+    gets the nearest donors of the ranges before and behind it, and is merged by itself. Only the ends of ranges are gathered by copy.
+    """
+    bounds = _bounds(rows, parts)
+    names = rows.columns
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    listed = lambda cols: ", ".join(f"`{c}` {kinds[c]}" for c in cols)
+
+    @F.pandas_udf("long")
+    def part_of(copy: pd.Series, hat: pd.Series, tie: pd.Series) -> pd.Series:
+        copy, hat, tie = copy.to_numpy(), hat.to_numpy(), tie.to_numpy()
+        part = np.zeros(len(copy), np.int64)
+        for k in np.unique(copy):
+            part[copy == k] = _range_of(bounds.get(int(k)), hat[copy == k], tie[copy == k])
+        return pd.Series(part)
+
+    part = part_of("__copy", "__hat", "__tie") if parts > 1 else F.lit(0).cast("long")
+    end = ["__copy", "__part", "__hat", "__tie", value]
+
+    def ends(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in end[:4]])
+        copy, part = np.asarray(table.column("__copy")), np.asarray(table.column("__part"))
+        new = np.flatnonzero(np.append(True, (copy[1:] != copy[:-1]) | (part[1:] != part[:-1])))[: len(copy)]
+        edge = np.append(new, len(copy))
+        take = [np.unique(np.r_[a : min(a + donors, b), max(a, b - donors) : b]) for a, b in zip(edge, edge[1:])]
+        return table.take(pa.array(np.concatenate(take) if take else np.zeros(0, np.int64)))
+
+    def ends_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = ends(table if held is None else pa.concat_tables([held, table]))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    def exchange(table: pa.Table) -> pa.Table:
+        """The ends of all ranges of a copy -> for each range the donors next to it."""
+        table = ends(table.combine_chunks())
+        part = np.asarray(table.column("__part"))
+        take, to = [], []
+        for k in range(parts):
+            a, b = np.searchsorted(part, k, "left"), np.searchsorted(part, k, "right")
+            near = np.r_[max(0, a - donors) : a, b : min(len(part), b + donors)]
+            take.append(near)
+            to.append(np.full(len(near), k))
+        return table.take(pa.array(np.concatenate(take))).set_column(1, "__part", pa.array(np.concatenate(to)))
+
+    def merge(mine: pa.Table, near: pa.Table | None) -> pa.Table:
+        if not mine.num_rows:  # a range may have neighbours alone
+            return empty
+        mine = mine.combine_chunks()
+        known = np.asarray(mine.column("__known"))
+        pool = mine.filter(pa.array(known)).select(end[2:])
+        if near is not None and near.num_rows:
+            pool = pa.concat_tables([pool, near.select(end[2:])])
+        takers = np.flatnonzero(~known)
+        hat, tie = np.asarray(mine.column("__hat"))[takers], np.asarray(mine.column("__tie"))[takers]
+        pool = pool.sort_by([("__hat", "ascending"), ("__tie", "ascending")])
+        given, given_tie = np.asarray(pool.column("__hat")), np.asarray(pool.column("__tie"))
+        choice = np.zeros(0, np.int64)
+        if len(given) and len(takers):
+            both = np.lexsort((np.r_[given_tie, tie], np.r_[given, hat]))
+            place = np.cumsum(both < len(given))[np.argsort(both)][len(given) :]
+            reach = place[:, None] + np.arange(-donors, donors)
+            gap = np.where((reach >= 0) & (reach < len(given)), np.abs(given[np.clip(reach, 0, len(given) - 1)] - hat[:, None]), np.inf)
+            order = np.argsort(gap, axis=1, kind="stable")[:, :donors]
+            many = np.minimum(donors, np.isfinite(gap).sum(1))
+            turn = np.asarray(mine.column("__turn"))[takers] % np.maximum(many, 1)
+            choice = np.take_along_axis(reach, np.take_along_axis(order, turn[:, None], 1), 1)[:, 0]
+        index = np.arange(len(known))
+        index[takers] = len(known) + choice
+        values = pa.chunked_array([*mine.column(value).chunks, *pool.column(value).chunks]).combine_chunks()
+        done = mine.set_column(names.index(value), value, values.take(pa.array(index))).filter(mine.column("__own"))
+        return done.select(names)
+
+    keys = ["__copy", "__part"]
+    own, empty = rows.withColumn("__part", part), to_arrow_schema(rows.schema).empty_table()
+    if parts == 1:
+        return own.groupBy(*keys).applyInArrow(lambda mine: merge(mine, None), listed(names))
+    found = rows.filter("__known").select("__copy", part.alias("__part"), *end[2:]).mapInArrow(ends_of_task, listed(["__copy"]) + ", __part long, " + listed(end[2:]))
+    near = found.groupBy("__copy").applyInArrow(exchange, listed(["__copy"]) + ", __part long, " + listed(end[2:]))
+    return own.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(merge, listed(names))
 
-def _predictors(df: DataFrame, cols: Sequence[str], levels: Mapping[str, list[str]]) -> list[Column]:
-    out = []
-    for n in cols:
-        if n in levels:
-            out += [(F.col(n) == lv).cast("double") for lv in levels[n][1:]]
-        else:
-            out.append(F.col(n).cast("double"))
-    return out
 
+# --- chained equations ----------------------------------------------------------------------
+
+PART_ROWS = 1 << 14  # rows in a range of predictions
 
-def _linear_hat(rows: DataFrame, y: Column, xs: list[Column], known: Column, rng: np.random.Generator) -> Column:
-    """Prediction as a column: fitted coefficients for donors, drawn ones for takers."""
-    names = [f"x{i}" for i in range(len(xs))]
-    fit = rows.filter(known).select(y.alias("y"), *[x.alias(n) for x, n in zip(xs, names)])
-    n, means, s = moment_matrix(fit, ["y", *names])
-    sxx, sxy, syy = s[1:, 1:], s[1:, 0], s[0, 0]
+
+def _columns(base: DataFrame, cols: Sequence[str]) -> tuple[list[str], list[str], dict[str, list[str]]]:
+    """(columns with any value, those of them with holes, levels of labels); a column without any value stays missing and predicts nothing."""
+    counts = base.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    known = {c: counts[f"c{i}"] for i, c in enumerate(cols)}
+    cols = [c for c in cols if known[c]]
+    levels = {c: factor_levels(base, c) for c in cols if isinstance(base.schema[c].dataType, (T.StringType, T.BooleanType))}
+    return cols, [c for c in cols if known[c] < counts["n"]], levels
+
+
+@dataclass
+class _Design:
+    """All columns as numbers: numeric ones as they are, labels as indicators of all levels but the first, and by their rank as responses."""
+
+    terms: list[Column]
+    of: dict[str, list[int]]  # places of a column's terms as a predictor
+    response: dict[str, int]
+
+    @staticmethod
+    def of_columns(cols: Sequence[str], levels: Mapping[str, list[str]]) -> _Design:
+        terms, of, response = [], {}, {}
+        for c in cols:
+            here = [(F.col(c).cast("string") == lv).cast("double") for lv in levels[c][1:]] if c in levels else [F.col(c).cast("double")]
+            of[c] = list(range(len(terms), len(terms) + len(here)))
+            terms += here
+        for c in cols:
+            response[c] = of[c][0] if c not in levels else len(terms)
+            if c in levels:
+                terms.append(level_ordinal(c, levels[c]).cast("double"))
+        return _Design(terms, of, response)
+
+
+def _drawn_line(s: np.ndarray, y: int, xs: list[int], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (constant first) from sums of products of (1, x): fitted, for donors, and drawn, for takers."""
+    n, means = s[0, 0], s[0] / max(s[0, 0], 1)
+    cov = s / max(n, 1) - np.outer(means, means)
+    places = [x + 1 for x in xs]
+    sxx, sxy, syy = cov[np.ix_(places, places)], cov[places, y + 1], cov[y + 1, y + 1]
     sxx = sxx + 1e-5 * np.diag(np.diag(sxx)) + 1e-12 * np.eye(len(xs))
     b = np.linalg.solve(sxx, sxy)
     rss = max(n * (syy - b @ sxy), 1e-12)
-    freedom = max(n - len(xs) - 1, 1)
-    drawn_sigma = np.sqrt(rss / rng.chisquare(freedom))
-    drawn = b + drawn_sigma * np.linalg.cholesky(np.linalg.inv(sxx * n)) @ rng.standard_normal(len(b))
+    sigma = np.sqrt(rss / rng.chisquare(max(n - len(xs) - 1, 1)))
+    drawn = b + sigma * np.linalg.cholesky(np.linalg.inv(sxx * max(n, 1))) @ rng.standard_normal(len(b))
+    return tuple(np.append(means[y + 1] - c @ means[places], c) for c in (b, drawn))
 
-    def line(coefs: np.ndarray) -> Column:
-        total = F.lit(float(means[0]))
-        for c, x, m in zip(coefs, xs, means[1:]):
-            total = total + F.lit(float(c)) * (x - F.lit(float(m)))
-        return total
 
-    return F.when(known, line(b)).otherwise(line(drawn))
+def _line(lines: Sequence[np.ndarray], terms: Sequence[Column], center: Sequence[float]) -> Column:
+    """The prediction with the coefficients of the row's copy (from 1)."""
+    of = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("__copy"))
+    return sum((of([c[i + 1] for c in lines]) * (x - F.lit(float(m))) for i, (x, m) in enumerate(zip(terms, center))), of([c[0] for c in lines]))
 
 
-def _chained(df: DataFrame, id_col: str, cols: Sequence[str], m: int, maxit: int, seed: int, step) -> DataFrame:
-    """Fill every incomplete column of `cols` from all others, round by round, m times. A step writes the rows with holes alone."""
-    gone = {c: f"__gone_{c}" for c in cols}
-    base = stable(df.select(id_col, *cols, *[F.col(c).isNull().alias(g) for c, g in gone.items()]))
-    holes = base.agg(*[F.sum(F.col(g).cast("long")).alias(c) for c, g in gone.items()]).first()
-    n = base.count()
-    empty = [c for c in cols if holes[c] == n]  # nothing to draw from: it stays missing and predicts nothing
-    incomplete = [c for c in cols if holes[c] and c not in empty]
-    cols = [c for c in cols if c not in empty]
-    levels = {c: factor_levels(base, c) for c in cols if isinstance(base.schema[c].dataType, (T.StringType, T.BooleanType))}
-    hot = hot_groups(base, [])
-    holed = F.lit(False)
-    for c in incomplete:
-        holed = holed | F.col(gone[c])
-    whole = base.filter(~holed)  # never changes, so it is written once
-    copies = []
-    for k in range(1, m + 1):
-        state = base.filter(holed)
-        for i, c in enumerate(incomplete):
-            start = _draw(base.filter(F.col(c).isNotNull()), base.filter(F.col(c).isNull()), id_col, c, seed + 7919 * k + i, hot)
-            state = state.join(start.withColumnRenamed(c, "__new"), id_col, "left").withColumn(
-                c, F.coalesce(c, "__new")).drop("__new")
-        state = stable(state)
-        for turn in range(maxit):
-            for i, c in enumerate(incomplete):
-                blank = state.withColumn(c, F.when(~F.col(gone[c]), F.col(c)))
-                rows = whole.unionByName(blank)
-                draw_seed = seed + 104729 * k + 1299709 * turn + i
-                others = [o for o in cols if o != c]
-                new = step(rows, id_col, c, others, levels, draw_seed, hot).withColumnRenamed(c, "__new")
-                state = stable(
-                    blank.join(new, id_col, "left").withColumn(c, F.coalesce(c, "__new")).select(*base.columns))
-        rest = [c for c in df.columns if c not in base.columns]
-        state = whole.unionByName(state).drop(*gone.values())
-        done = state.join(df.select(id_col, *rest), id_col) if rest else state
-        copies.append(done.select(*df.columns).withColumn("imp", F.lit(k)))
-    out = copies[0]
-    for copy in copies[1:]:
-        out = out.unionByName(copy)
-    return out
+def _pmm_step(state: DataFrame, whole: DataFrame, c: str, design: _Design, fixed: np.ndarray, center: np.ndarray, m: int, donors: int, parts: int, seed: int, id_col: str) -> DataFrame:
+    """All copies with the holes of column `c` filled anew."""
+    gone = f"__gone_{c}"
+    sums = cross_products(state.filter(~F.col(gone)), design.terms, center, F.col("__copy"))
+    xs = [i for o, places in design.of.items() if o != c for i in places]
+    drawn = [_drawn_line(fixed + sums.get(k, 0), design.response[c], xs, np.random.default_rng(seed + 104729 * k)) for k in range(1, m + 1)]
+    terms, middle = [design.terms[i] for i in xs], center[xs]
+    fitted, other = (_line([d[kind] for d in drawn], terms, middle) for kind in (0, 1))
+    tie = F.xxhash64(F.col(id_col), F.col("__copy"), F.lit(seed))
+    turn = F.pmod(F.xxhash64(F.col(id_col), F.col("__copy"), F.lit(seed + 1)), F.lit(1 << 20))
+    made = lambda rows, hat, own, known: rows.select(
+        *state.columns, hat.alias("__hat"), tie.alias("__tie"), turn.alias("__turn"), own.alias("__own"), known.alias("__known"))
+    rows = made(state, F.when(F.col(gone), other).otherwise(fitted), F.lit(True), ~F.col(gone))
+    rows = rows.unionByName(made(_copies(whole, m), fitted, F.lit(False), F.lit(True)).select(
+        *[F.col(x) if x in ("__copy", c) or x.startswith(("__hat", "__tie", "__turn", "__own", "__known")) else F.lit(None).cast(rows.schema[x].dataType).alias(x) for x in rows.columns]))
+    return stable(nearest_match(rows, c, donors, parts).select(*state.columns))
+
+
+def _copies(rows: DataFrame, m: int) -> DataFrame:
+    return rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(m))).alias("__copy"))
 
 
 def impute_mice_pmm(df: DataFrame, id_col: str, cols: Sequence[str], m: int = 5, maxit: int = 5, seed: int = 1,
                     donors: int = 5) -> DataFrame:
-    """Chained equations with predictive mean matching; a column `imp` numbers the completed copies."""
+    """Chained equations with predictive mean matching; a column `imp` numbers the completed copies.
 
-    def step(rows, id_col, c, others, levels, draw_seed, hot):
-        y = level_ordinal(c, levels[c]).cast("double") if c in levels else F.col(c).cast("double")
-        hat = _linear_hat(rows, y, _predictors(rows, others, levels), F.col(c).isNotNull(), np.random.default_rng(draw_seed))
-        return _nearest_donor(rows.select(id_col, c, hat.alias("__hat")), id_col, c, donors, draw_seed, hot)
-
-    return _chained(df, id_col, cols, m, maxit, seed, step)
+    All copies go through the rounds together. A step writes the rows with holes alone; what the rows without any add to
+    the regressions is summed once. Ids are unique.
+    """
+    gone = {c: f"__gone_{c}" for c in cols}
+    # every step reads this table, so it is spread evenly once
+    base = stable(df.select(id_col, *cols, *[F.col(c).isNull().alias(g) for c, g in gone.items()]).repartition(shuffle_partitions(df), id_col))
+    cols, incomplete, levels = _columns(base, cols)
+    holed = reduce(lambda a, b: a | b, [F.col(gone[c]) for c in incomplete], F.lit(False))
+    whole, state = base.filter(~holed), _copies(base.filter(holed), m)
+    if incomplete:
+        hot = hot_groups(base, [])
+        for i, c in enumerate(incomplete):
+            start = _draw(base.filter(F.col(c).isNotNull()), state.filter(F.col(c).isNull()), id_col, c, seed + i, hot)
+            state = state.join(start.withColumnRenamed(c, "__new"), [id_col, "__copy"], "left").withColumn(c, F.coalesce(c, "__new")).drop("__new")
+        state = stable(state)
+        design = _Design.of_columns(cols, levels)
+        middle = base.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(design.terms)]).first()
+        center = np.array([v or 0.0 for v in middle], float)
+        fixed = cross_products(whole, design.terms, center).get(0, np.zeros((len(center) + 1,) * 2))
+        parts = base.count() // PART_ROWS + 1
+        for turn in range(maxit):
+            for i, c in enumerate(incomplete):
+                state = _pmm_step(state, whole, c, design, fixed, center, m, donors, parts, seed + 1299709 * turn + i, id_col)
+    out = _copies(whole, m).unionByName(state).drop(*gone.values())
+    rest = [c for c in df.columns if c not in base.columns]
+    out = out.join(df.select(id_col, *rest), id_col) if rest else out
+    return out.select(*df.columns, F.col("__copy").alias("imp"))
 
 
 def impute_mice_rf(df: DataFrame, id_col: str, cols: Sequence[str], m: int = 1, maxit: int = 30, seed: int = 999,
                    trees: int = 10, depth: int = 5) -> DataFrame:
-    """Chained equations with random forests: donors come from the leaves a row falls into."""
-
-    def step(rows, id_col, c, others, levels, draw_seed, hot):
-        xs = _predictors(rows, others, levels)
-        y = (level_ordinal(c, levels[c]) - 1).cast("double") if c in levels else F.col(c).cast("double")
-        flat = rows.select(id_col, c, y.alias("label"), *[x.alias(f"x{i}") for i, x in enumerate(xs)])
-        data = VectorAssembler(inputCols=[f"x{i}" for i in range(len(xs))], outputCol="features").transform(flat)
-        forest = (RandomForestClassifier if c in levels else RandomForestRegressor)(
-            numTrees=trees, maxDepth=depth, seed=draw_seed, leafCol="leaf")
-        model = forest.fit(data.filter(F.col(c).isNotNull()).select("label", "features"))
-        scored = model.transform(data.select(id_col, c, "features")).select(id_col, c, vector_to_array("leaf").alias("__leaf"))
-        return _leaf_donor(scored, id_col, c, trees, depth, draw_seed, hot)
-
-    return _chained(df, id_col, cols, m, maxit, seed, step)
+    """Chained equations with random forests: donors come from the leaves a row falls into (see `forest`). Ids are unique."""
+    base = stable(df.select(id_col, *cols))
+    cols, incomplete, levels = _columns(base, cols)
+    copies = []
+    for k in range(1, m + 1):
+        done = df
+        if incomplete:
+            filled = impute_forest(base, id_col, cols, incomplete, levels, maxit, seed + 7919 * (k - 1), trees, depth)
+            done = df.drop(*incomplete).join(filled, id_col)
+        copies.append(done.select(*df.columns).withColumn("imp", F.lit(k)))
+    return reduce(DataFrame.unionByName, copies)

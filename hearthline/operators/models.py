@@ -274,30 +274,59 @@ def tobit(formula: Formula, df: DataFrame, lower: float = 1.0, name: str = "tobi
 # --- moments and the one-latent model -------------------------------------------------------
 
 
+NARROW = 12  # columns up to which products are summed by expressions; wider rows are multiplied as blocks
+
+
+def cross_products(df: DataFrame, xs: Sequence[Column], center: np.ndarray, by: Column | None = None) -> dict[int, np.ndarray]:
+    """For each value of the whole number `by` (0 without it) the sums of products of (1, x - center) over rows without a missing x."""
+    p = len(xs) + 1
+    names = [f"v{i}" for i in range(1, p)]
+    key = (F.lit(0) if by is None else by).cast("int").alias("k")
+    rows = df.select(key, *[(x.cast("double") - F.lit(float(c))).alias(n) for x, c, n in zip(xs, center, names)]).na.drop("any")
+    out: dict[int, np.ndarray] = {}
+    if p - 1 <= NARROW:
+        z = [F.lit(1.0), *[F.col(n) for n in names]]
+        places = [(i, j) for i in range(p) for j in range(i + 1)]
+        for r in rows.groupBy("k").agg(*[F.sum(z[i] * z[j]).alias(f"s{i}_{j}") for i, j in places]).collect():
+            m = out[r["k"]] = np.zeros((p, p))
+            for i, j in places:
+                m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+        return out
+
+    def part(batches):
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for k, own in pdf.groupby("k"):
+                x = np.column_stack([np.ones(len(own)), np.vstack(own["x"].to_numpy())])
+                sums[k] = sums.get(k, 0) + x.T @ x
+        for k, m in sums.items():
+            yield pd.DataFrame({"k": np.full(p * p, k, "int32"), "i": np.arange(p * p, dtype="int32"), "v": m.ravel()})
+
+    block = rows.select("k", F.array(*names).alias("x")).mapInPandas(part, "k int, i int, v double")
+    for r in block.groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(r["k"], np.zeros(p * p))[r["i"]] = r["v"]
+    return {k: m.reshape(p, p) for k, m in out.items()}
+
+
 def moment_matrix(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """n, means and covariance (divisor n) of complete rows, for any number of columns.
 
-    One pass for the means, one for the products of what is centred at them: each partition multiplies its rows as a block and
-    sends one block of sums, which Spark adds up.
+    Few columns take one pass of covariances. Many take one for the means and one for the products of what is centred at
+    them, in blocks.
     """
     p = len(cols)
     rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]).na.drop("any")
-    first = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in range(p)]).first()
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)] if p <= NARROW else []
+    first = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in range(p)], *[F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
     n, means = first["n"], np.array([first[f"m{i}"] for i in range(p)], float)
     if not n:
         return 0, means, np.full((p, p), math.nan)
-
-    def part(batches):
-        total = np.zeros((p, p))
-        for pdf in batches:
-            if len(pdf):
-                x = np.vstack(pdf["x"].to_numpy()) - means
-                total += x.T @ x
-        yield pd.DataFrame({"k": np.arange(p * p, dtype="int32"), "v": total.ravel()})
-
-    block = rows.select(F.array(*[f"v{i}" for i in range(p)]).alias("x")).mapInPandas(part, "k int, v double")
-    sums = block.groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
-    return n, means, np.array([r.v for r in sums]).reshape(p, p) / n
+    if p <= NARROW:
+        s = np.zeros((p, p))
+        for i, j in pairs:
+            s[i, j] = s[j, i] = first[f"c{i}_{j}"]
+        return n, means, s
+    return n, means, cross_products(rows, [F.col(f"v{i}") for i in range(p)], means)[0][1:, 1:] / n
 
 
 def mimic_fit(df: DataFrame, indicators: Sequence[str], predictors: Sequence[str], name: str = "mimic",

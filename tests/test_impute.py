@@ -42,25 +42,33 @@ def test_chained_imputation(spark, holed, method, limit):
     assert {r.imp for r in I.complete(out, 1).withColumn("imp", F.lit(1)).collect()} == {1}
 
 
-@pytest.mark.parametrize("hot", [[], None])
-def test_donor_is_among_the_nearest(spark, hot):
-    rng = np.random.default_rng(1)
-    rows = [(i, None if i % 3 == 0 else float(i), float(round(rng.normal(), 1))) for i in range(200)]
-    df = spark.createDataFrame(rows, "id int, v double, __hat double")
-    if hot is None:
-        spark.conf.set("spark.hearthline.hotRows", "20")
-        from hearthline.operators.skew import hot_groups
-
-        hot = hot_groups(df, [])
-        assert hot
-    got = {r.id: r.v for r in I._nearest_donor(df, "id", "v", 5, 3, hot).collect()}
-    spark.conf.unset("spark.hearthline.hotRows")
-    hats = {r[0]: r[2] for r in rows}
-    for i, v, hat in rows:
-        if v is None:
-            fifth = sorted(abs(hats[j] - hat) for j, w, _ in rows if w is not None)[4]
-            assert abs(hats[int(got[i])] - hat) <= fifth + 1e-12
-    assert len(got) == sum(r[1] is None for r in rows)
+@pytest.mark.parametrize("parts, n, step", [(1, 200, 0.1), (4, 200, 0.1), (9, 60, 0.1), (40, 30, 0.1), (5, 300, 10.0), (6, 400, 0.001)])
+def test_donors_are_the_nearest(spark, parts, n, step):
+    """Whatever the ranges, also such that hold fewer than five donors or none, and with many equal predictions."""
+    rng = np.random.default_rng(parts)
+    rows = [(k, i, None if rng.random() < (0.8 if n < 100 else 0.3) else float(1000 * k + i), float(np.round(rng.normal() / step) * step)) for k in (1, 2) for i in range(n)]
+    rows += [(k, n, 1000.0 * k + n, 0.0) for k in (1, 2)]
+    df = spark.createDataFrame(rows, "__copy int, id long, v double, __hat double").selectExpr(
+        "*", "xxhash64(id, 5) AS __tie", "pmod(xxhash64(id, 6), 1 << 20) AS __turn", "v IS NOT NULL OR id % 2 = 0 AS __own", "v IS NOT NULL AS __known")
+    got = {(r["__copy"], r.id): r.v for r in I.nearest_match(df, "v", 5, parts).collect()}
+    hats = {(k, i): h for k, i, _, h in rows}
+    assert set(got) == {(k, i) for k, i, v, _ in rows if v is not None or i % 2 == 0}
+    for k, i, v, hat in rows:
+        if v is not None:
+            assert got[k, i] == v
+        elif (k, i) in got:
+            gaps = sorted(abs(hats[k, j] - hat) for q, j, w, _ in rows if q == k and w is not None)
+            donor = int(got[k, i]) - 1000 * k
+            assert 0 <= donor <= n and abs(hats[k, donor] - hat) <= gaps[min(4, len(gaps) - 1)] + 1e-12
+
+
+def test_all_near_donors_are_drawn(spark):
+    """Of five equally far donors and many takers each is taken about as often."""
+    rows = [(1, i, None if i >= 5 else float(i), 0.0) for i in range(1005)]
+    df = spark.createDataFrame(rows, "__copy int, id long, v double, __hat double").selectExpr(
+        "*", "xxhash64(id, 5) AS __tie", "pmod(xxhash64(id, 6), 1 << 20) AS __turn", "true AS __own", "v IS NOT NULL AS __known")
+    taken = np.bincount([int(r.v) for r in I.nearest_match(df, "v", 5, 3).collect() if r.id >= 5], minlength=5)
+    assert taken.sum() == 1000 and taken.min() > 140
 
 
 def test_simple_fills(spark):
@@ -77,20 +85,115 @@ def test_column_without_any_value_stays_missing(spark):
     assert len(out) == 60 and all(r["x"] is not None and r["y"] is None for r in out)
 
 
-@pytest.mark.parametrize("name, m, maxit", [("impute_pmm", 5, 5), ("impute_rf", 1, 30)])
-def test_queries_run_all_rounds(spark, monkeypatch, name, m, maxit):
+def test_queries_run_all_rounds(spark, monkeypatch):
     from hearthline.catalog import models
 
-    seen = []
-    monkeypatch.setattr(I, "_chained", lambda df, id_col, cols, m, maxit, *_: seen.append((m, maxit)) or df.withColumn("imp", F.lit(1)))
-    getattr(models, name)(spark, "/root/testdata/sf0.001")
-    assert seen == [(m, maxit)]
+    rounds = []
+    monkeypatch.setattr(I, "_pmm_step", lambda state, *_: rounds.append(state.select("__copy").distinct().count()) or state)
+    models.impute_pmm(spark, "/root/testdata/sf0.001")
+    assert rounds == [5] * 5 * 3
+    monkeypatch.setattr(I, "impute_forest", lambda base, id_col, cols, incomplete, levels, maxit, *_: rounds.append(maxit) or base.select(id_col, *incomplete))
+    models.impute_rf(spark, "/root/testdata/sf0.001")
+    assert rounds[15:] == [30]
 
 
 def test_a_step_writes_only_rows_with_holes(spark, holed, monkeypatch):
     written = []
     keep = I.stable
     monkeypatch.setattr(I, "stable", lambda df: written.append(keep(df)) or written[-1])
-    out = I.impute_mice_pmm(holed, "id", ["x", "y", "g"], m=1, maxit=1)
+    out = I.impute_mice_pmm(holed, "id", ["x", "y", "g"], m=2, maxit=1)
     open_rows = holed.filter("y is null or g is null").count()
-    assert [w.count() for w in written] == [400, open_rows, open_rows, open_rows] and out.count() == 400
+    assert [w.count() for w in written] == [400, *[2 * open_rows] * 3] and out.count() == 800
+
+
+def test_more_terms_than_are_summed_by_expressions(spark):
+    """Products of wide rows are summed in blocks, to the same matrix."""
+    from hearthline.operators import models
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 14))
+    df = spark.createDataFrame([(int(i % 3), *map(float, r)) for i, r in enumerate(x)], "k int, " + ", ".join(f"x{i} double" for i in range(14)))
+    for p in (5, 14):
+        center = rng.normal(size=p)
+        got = models.cross_products(df, [F.col(f"x{i}") for i in range(p)], center, F.col("k"))
+        for k in range(3):
+            z = np.column_stack([np.ones(100), x[k::3, :p] - center])
+            assert np.allclose(got[k], z.T @ z)
+        n, means, s = models.moment_matrix(df, [f"x{i}" for i in range(p)])
+        assert n == 300 and np.allclose(means, x[:, :p].mean(0)) and np.allclose(s, np.cov(x[:, :p].T, bias=True))
+
+
+# --- the forest -----------------------------------------------------------------------------
+
+
+def plan_of(widths, levels, trees=3, depth=3, target=0):
+    from hearthline.operators import forest as W
+
+    cols = [W.Column_(f"c{i}", w, [str(j) for j in range(w)] if lv else None, [] if lv else list(range(1, w))) for i, (w, lv) in enumerate(zip(widths, levels))]
+    return W.Plan(cols, [target], [np.zeros(1, np.int64)], trees, depth)
+
+
+@pytest.mark.parametrize("labels", [False, True])
+def test_splits_are_the_best_there_are(labels):
+    """One tree over one number and one label, against a search over all cuts and, for two classes or a number, all subsets of levels."""
+    from itertools import combinations
+
+    from hearthline.operators import forest as W
+
+    rng = np.random.default_rng(4)
+    plan = plan_of([2 if labels else 1, 6, 4], [labels, False, True], trees=1, depth=1)
+    n = 120
+    bins = np.array([np.zeros(n), rng.integers(0, 6, n), rng.integers(0, 4, n)]).astype(np.uint16)
+    y = (rng.random(n) < 0.2 + 0.15 * bins[2]).astype(float) if labels else bins[1] + rng.normal(size=n)
+    own = W.Block(bins, y[None], np.ones((1, n), bool), np.arange(n, dtype=np.int32)[None])
+    w = W._weights(7, 0, 0, n)
+    tree = W.Trees.empty(plan)
+    W.split(tree, W.histogram(0, own, bins, plan, 0, tree, 0, 7), plan, 0, 0, 7)
+
+    def lost(rows):
+        s, v = w[rows].sum(), y[rows]
+        if not s:
+            return 0
+        mean = (w[rows] * v).sum() / s
+        return 2 * s * mean * (1 - mean) if labels else (w[rows] * (v - mean) ** 2).sum()
+
+    tried = W._tried(plan, 0, 7, 0)[0, 0]
+    masks = {1: [range(k) for k in range(1, 6)], 2: [s for k in (1, 2, 3) for s in combinations(range(4), k)]}
+    best = min(lost(np.isin(bins[c], m)) + lost(~np.isin(bins[c], m)) for c in tried for m in map(list, masks[c]))
+    left = tree.left[0, 0][bins[tree.by[0, 0]]]
+    assert lost(left) + lost(~left) == pytest.approx(best)
+
+
+def test_donors_share_a_leaf_or_the_next_node_up():
+    from hearthline.operators import forest as W
+
+    plan = plan_of([1, 4], [False, False], trees=2, depth=2)
+    trees = W.Trees.empty(plan)
+    for t, first in enumerate((2, 1)):
+        trees.by[t, 0], trees.left[t, 0, :first] = 1, True
+    bins = np.array([[0] * 8, [0, 0, 1, 2, 3, 3, 1, 0]], np.uint16)
+    known = np.array([[1, 1, 0, 1, 1, 0, 0, 0]], bool)
+    own = W.Block(bins, np.arange(8.0)[None], known, np.arange(8, dtype=np.int32)[None])
+    draws = np.array([W.drawn(own, bins, plan, 0, trees, 0, seed) for seed in range(4000)])
+    # rows 2 and 6 have bin 1: with 0 and 1 in the first tree, with 3 and 4 in the second; 5 has 3 and 4 in both; 7 has 0 and 1
+    assert [set(d) for d in draws.T] == [{0, 1, 3, 4}, {3, 4}, {0, 1, 3, 4}, {0, 1}]
+    assert np.abs(np.bincount(draws[:, 0], minlength=5)[[0, 1, 3, 4]] - 1000).max() < 120
+    lone = W.Block(bins, own.value, np.array([[0, 0, 0, 1, 1, 0, 0, 0]], bool), own.donor)
+    assert set(W.drawn(lone, bins, plan, 0, trees, 0, 1)) <= {3, 4}
+    none = W.Block(bins, own.value, np.zeros((1, 8), bool), own.donor)
+    assert set(W.drawn(none, bins, plan, 0, trees, 0, 1)) == {-1}
+
+
+@pytest.mark.parametrize("block_rows", [7, 100])
+def test_forest_over_many_blocks(spark, monkeypatch, block_rows):
+    """Many small blocks, some of them without a known row: all holes are filled with values of the column, ids and types stay."""
+    from hearthline.operators import forest as W
+
+    monkeypatch.setattr(W, "BLOCK_ROWS", block_rows)
+    rows = [(f"id{i}", float(i % 10), None if i % 3 else (i % 10) * 100, None if i % 50 else i % 100 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, x double, y int, b boolean")
+    out = {r.id: r for r in I.impute_mice_rf(df, "id", ["x", "y", "b"], maxit=2).collect()}
+    assert len(out) == 400 and {type(r.y) for r in out.values()} == {int} and {type(r.b) for r in out.values()} == {bool}
+    assert all(out[i].y == y for i, _, y, _ in rows if y is not None) and all(out[i].b == b for i, _, _, b in rows if b is not None)
+    near = np.mean([abs(out[i].y - 100 * x) for i, x, y, _ in rows if y is None])
+    assert block_rows == 7 or near < 250  # 330 if drawn at random; two known rows in a block are hardly better
