@@ -115,6 +115,7 @@ def study_life_course(spark, d):
     points = [(f"qty{i}", f"state{i}") for i in range(1, 7)]
     block = line_block(spark, d)
     states = {f"state{i}": F.when(F.col(f"disc{i}") > 0.05, "out").when(F.col(f"disc{i}") > 0.02, "in").otherwise("AG") for i in range(1, 7)}
-    people = life_course.yearly_sequences(block.withColumns(states), "l_orderkey", points, 60, window=10)
+    # the sequences are read many times: written once
+    people = stable(life_course.yearly_sequences(block.withColumns(states), "l_orderkey", points, 60, window=10))
     clusters = life_course.clustered_life_courses(people, "l_orderkey", 3)
     return life_course.cluster_profile(people, clusters, "l_orderkey")

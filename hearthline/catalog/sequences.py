@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hearthline.catalog import query, table
 from hearthline.catalog.joins import SPELLS, order_spells
 from hearthline.catalog.scalars import BLOCK, line_block
-from hearthline.operators import sequences as Q, spells as SP
+from hearthline.operators import sequences as Q, spells as SP, tiles as W
 from hearthline.session import stable
 
 LETTERS = "abcdef"
@@ -145,22 +145,21 @@ def om_distance(spark, d):
     return found.select(F.array_join("sequence", "-").alias("sequence"), F.element_at("reference", 1).alias("steady_in"), "distance")
 
 
+def tiled(people):
+    """The distances between all sequences of the people."""
+    return W.tiled_distances(people, "seq", Q.substitution_costs(people, "seq"))
+
+
 @query()
 def om_distance_all(spark, d):
-    people = stable(daily(spark, d, None))
-    found = Q.om_distance(people, "seq", Q.all_sequences(people, "seq"))
+    found = W.distance_table(tiled(stable(daily(spark, d, None))))
     return found.select(F.array_join("sequence", "-").alias("sequence"), F.array_join("reference", "-").alias("reference"), "distance")
 
 
-def full_features(people):
-    """Rows of the person-by-person matrix of distances."""
-    return Q.distance_features(people, "seq", Q.all_sequences(people, "seq"))
-
-
 @query()
 def om_kmeans(spark, d):
     people = stable(daily(spark, d, None))
-    clustered = Q.kmeans_on_distances(full_features(people), k=3)
+    clustered = W.kmeans_on_tiles(tiled(people), k=3)
     labelled = Q.label_clusters(Q.assign_clusters(people, "seq", clustered), {0: "first", 1: "second", 2: "third"})
     return labelled.select("user_id", "cluster", "label")
 
@@ -174,10 +173,10 @@ def choose_k(spark, d):
 
 @query()
 def choose_k_all(spark, d):
-    return Q.choose_k(full_features(stable(daily(spark, d, None))))
+    return W.choose_k_on_tiles(tiled(stable(daily(spark, d, None))))
 
 
 @query()
 def cluster_stability(spark, d):
     people = stable(daily(spark, d, None))
-    return Q.cluster_stability(people, "user_id", "seq", full_features(people))
+    return W.stability_on_tiles(tiled(people), people, ["user_id"])

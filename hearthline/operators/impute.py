@@ -23,7 +23,7 @@ from hearthline.operators.forest import impute_forest
 from hearthline.operators.household import group_median
 from hearthline.operators.models import cross_products, factor_levels
 from hearthline.operators.skew import hot_groups, lookup_join, running_total, shuffle_partitions
-from hearthline.session import stable
+from hearthline.session import stable, stored
 
 # --- simple fills ---------------------------------------------------------------------------
 
@@ -242,7 +242,7 @@ def _pmm_step(state: DataFrame, whole: DataFrame, c: str, design: _Design, fixed
     rows = made(state, F.when(F.col(gone), other).otherwise(fitted), F.lit(True), ~F.col(gone))
     rows = rows.unionByName(made(_copies(whole, m), fitted, F.lit(False), F.lit(True)).select(
         *[F.col(x) if x in ("__copy", c) or x.startswith(("__hat", "__tie", "__turn", "__own", "__known")) else F.lit(None).cast(rows.schema[x].dataType).alias(x) for x in rows.columns]))
-    return stable(nearest_match(rows, c, donors, parts).select(*state.columns))
+    return stored(nearest_match(rows, c, donors, parts).select(*state.columns))
 
 
 def _copies(rows: DataFrame, m: int) -> DataFrame:
@@ -267,7 +267,7 @@ def impute_mice_pmm(df: DataFrame, id_col: str, cols: Sequence[str], m: int = 5,
         for i, c in enumerate(incomplete):
             start = _draw(base.filter(F.col(c).isNotNull()), state.filter(F.col(c).isNull()), id_col, c, seed + i, hot)
             state = state.join(start.withColumnRenamed(c, "__new"), [id_col, "__copy"], "left").withColumn(c, F.coalesce(c, "__new")).drop("__new")
-        state = stable(state)
+        state = stored(state)
         design = _Design.of_columns(cols, levels)
         middle = base.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(design.terms)]).first()
         center = np.array([v or 0.0 for v in middle], float)

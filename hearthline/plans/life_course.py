@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.operators import sequences as Q, spells as SP
+from hearthline.operators import sequences as Q, spells as SP, tiles as W
 
 
 def yearly_sequences(people: DataFrame, id_col: str, points: Sequence[tuple[str, str]], end_year: int, length: int = 100,
@@ -22,9 +22,10 @@ def clustered_life_courses(people: DataFrame, id_col: str, k: int, labels: Mappi
     """(id, cluster[, label]) from a table (id, seq), by distances to `references`: if none are given, all sequences,
     each by the number of people that hold it."""
     if references is None:
-        references = Q.all_sequences(people, "seq")
-    features = Q.distance_features(people, "seq", references)
-    rows = Q.assign_clusters(people, "seq", Q.kmeans_on_distances(features, k, seed=seed, max_iter=max_iter))
+        found = W.kmeans_on_tiles(W.tiled_distances(people, "seq", Q.substitution_costs(people, "seq")), k, seed=seed, max_iter=max_iter)
+    else:
+        found = Q.kmeans_on_distances(Q.distance_features(people, "seq", references), k, seed=seed, max_iter=max_iter)
+    rows = Q.assign_clusters(people, "seq", found)
     rows = rows if labels is None else Q.label_clusters(rows, labels)
     return rows.drop("seq")
 

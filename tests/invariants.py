@@ -8,7 +8,8 @@ import pytest
 
 from hearthline.catalog.reports import holed
 from hearthline.catalog.sequences import daily
-from hearthline.operators import models as L, sequences as Q
+from hearthline.operators import models as L, sequences as Q, tiles as W
+from test_tiles import matrix, plain_lloyd
 
 
 def study_life_course(spark, con, folder, df):
@@ -136,6 +137,12 @@ def om_kmeans(spark, con, folder, df):
     rows = df.toPandas()
     assert rows["user_id"].is_unique and set(rows["cluster"]) == {0, 1, 2} and set(rows["user_id"]) == {r.user_id for r in daily(spark, folder).collect()}
     assert (rows["cluster"].map({0: "first", 1: "second", 2: "third"}) == rows["label"]).all()
+    people = daily(spark, folder, None)
+    names, n, d = matrix(W.tiled_distances(people, "seq", Q.substitution_costs(people, "seq")))
+    best, _ = min((plain_lloyd(d * np.sqrt(n), n, 3, 1 + i) for i in range(3)), key=lambda r: r[1])
+    want = dict(zip(names, best.tolist()))
+    own = {r.user_id: tuple("*" if s is None else s for s in r.seq) for r in people.collect()}
+    assert all(want[own[u]] == c for u, c in zip(rows["user_id"], rows["cluster"]))
 
 
 def choose_k(spark, con, folder, df):

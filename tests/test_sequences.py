@@ -121,22 +121,22 @@ def test_spell_fixes(spark):
     assert [tuple(r) for r in SP.normalise_spells(df, "s", "e", 2014).collect()] == [(1990, 2000), (1990, 2014), (1990, 1995)]
 
 
-def test_order_of_states_makes_features(spark, monkeypatch):
-    """Sequences of the same states in another order differ in the features that the queries cluster by."""
+def test_order_of_states_makes_distances(spark, monkeypatch):
+    """Sequences of the same states in another order differ in the distances that the queries cluster by."""
     from hearthline.catalog import sequences as C
+    from hearthline.operators import tiles as W
 
     df = spark.createDataFrame([(1, list("aabb")), (2, list("bbaa")), (3, list("abab")), (4, list("aabb"))], "user_id long, seq array<string>")
     seen = []
-    fit = Q.kmeans_on_distances
-    monkeypatch.setattr(Q, "kmeans_on_distances", lambda features, *a, **b: seen.append(features) or fit(features, *a, **b))
+    make = W.tiled_distances
+    monkeypatch.setattr(W, "tiled_distances", lambda *a, **b: seen.append(make(*a, **b)) or seen[-1])
     monkeypatch.setattr(C, "daily", lambda spark, d, length=C.DAYS: df)
     assert len(C.om_kmeans(spark, "").collect()) == 4
-    assert C.cluster_stability(spark, "").count() == 3
     assert len(life_course.clustered_life_courses(df, "user_id", 2).collect()) == 4
-    assert len(seen) == 3
-    for features in seen:
-        got = {"".join(r.seq): tuple(r.features) for r in features.collect()}
-        assert len(got) == len(set(got.values())) == 3
+    assert len(seen) == 2
+    for t in seen:
+        rows = W.distance_table(t).collect()
+        assert len(rows) == 9 and all((r.distance > 0) == (r.sequence != r.reference) for r in rows)
     steady = {tuple(r.features) for r in Q.distance_features(df, "seq", Q.steady_sequences(df, "seq")).collect()}
     assert len(steady) == 1
 
