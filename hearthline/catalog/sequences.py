@@ -73,7 +73,6 @@ def spell_in_window(spark, d):
 # --- sequences of daily states --------------------------------------------------------------
 
 DAYS = 25
-END = "2024-01-30"  # the last day of the test tables, for the SQL
 
 
 def daily(spark, d, length=DAYS):
@@ -91,9 +90,10 @@ def daily(spark, d, length=DAYS):
 
 
 DAILY = f"""WITH days AS (SELECT user_id, CAST(ts AS DATE) AS day, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY 1, 2),
-u AS (SELECT DISTINCT user_id FROM days WHERE DATE '{END}' - day BETWEEN 0 AND {DAYS - 1}),
+b AS (SELECT max(day) AS last FROM days),
+u AS (SELECT DISTINCT user_id, last FROM days, b WHERE last - day BETWEEN 0 AND {DAYS - 1}),
 seq AS (SELECT u.user_id, p.pos, coalesce(state, '*') AS state FROM u CROSS JOIN (SELECT unnest(range(1, {DAYS + 1})) AS pos) p
-        LEFT JOIN days ON days.user_id = u.user_id AND {DAYS} - (DATE '{END}' - day) = p.pos) """
+        LEFT JOIN days ON days.user_id = u.user_id AND {DAYS} - (last - day) = p.pos) """
 
 
 WHOLE = """WITH days AS (SELECT user_id, CAST(ts AS DATE) AS day, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY 1, 2),

@@ -1,7 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hearthline.catalog import load_all
 from hearthline.operators import sequences as Q, spells as SP
 from hearthline.plans import life_course
 
@@ -159,6 +161,10 @@ def test_days_follow_the_table(spark, tmp_path):
     assert got == {7: "-".join(["*"] * 23 + ["view", "buy"])}
     whole = {r.user_id: r.seq.split("-") for r in C.states_to_sequence_all(spark, str(tmp_path)).collect()}
     assert whole == {7: ["*"] * 90 + ["view", "buy"], 8: ["cart"] + ["*"] * 91}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("states_to_sequence", "states_to_sequence_all"):  # and so does the SQL
+        assert dict(con.sql(load_all()[1][name]).fetchall()) == {r.user_id: r.seq for r in getattr(C, name)(spark, str(tmp_path)).collect()}
 
 
 def test_line_number_outside_the_slots_is_an_error(spark, tmp_path):
