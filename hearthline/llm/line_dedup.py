@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .store import col, kept
-from .words import Splitter, buffers, mix, slices
+from .words import Splitter, buffers, mix, slices, unpacked
 
 CELLS = 1 << 20  # of the table of word frequencies; its size doesn't grow with the corpus
 CHUNKS = 64
 PARTS = 64
-OPEN_BYTES = 32 << 20  # words of open lines, counted, up to which all lines are held against them in one pass
 HOT = 1024  # words counted more often are looked up together with a second word
 KEEP = 3  # earlier candidates that an entry passes on, those of the nearest bit patterns; just one if that is close
 LONG = 192  # words from which a line's entries have a pattern of WIDE bits; 128 bits say little about longer lines
@@ -139,7 +139,7 @@ def required(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 # what an entry holds, in this order, by byte planes
-FIELDS = [("key", np.uint32), ("name", np.uint64), ("size", np.uint32), ("at", np.uint8), ("before", np.uint64), ("doc", np.int64), ("line", np.uint32), ("bits0", np.uint64), ("bits1", np.uint64)]
+FIELDS = [("key", np.uint32), ("name", np.uint64), ("size", np.uint32), ("at", np.uint8), ("before", np.uint64), ("between", np.uint64), ("doc", np.int64), ("line", np.uint32), ("bits0", np.uint64), ("bits1", np.uint64)]
 
 
 def encoded(values: np.ndarray) -> bytes:
@@ -151,19 +151,27 @@ def decoded(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def entries(lines: Lines, doc: np.ndarray, counts: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
-    """The index entries of lines: one for each word of the prefix, the rarest words first.
+@dataclass
+class Keys:
+    """The index keys of some lines, one for each entry."""
+
+    key: np.ndarray
+    line: np.ndarray
+    place: np.ndarray  # of the entry's (first) word in its line, the rarest words first
+    before: np.ndarray  # the word before it that has entries, 0 if there is none
+    between: np.ndarray  # of an entry of two words that don't follow each other: the word before the second, else 0
+
+
+def keys(lines: Lines, counts: np.ndarray, threshold: float) -> Keys:
+    """One key for each word of the prefix, the rarest words first.
 
     Two lines that match share a word of both prefixes. Words of a single line lead nowhere. A word counted more than
-    HOT times goes with each of the following words up to one place behind the prefix, one of which the lines share as well.
-    `before` sums up the words with entries of their own that come earlier: lines for which it is the same, but not empty, meet
-    under those. `wide` has the patterns of the entries of LONG lines only.
+    HOT times goes with each of the following words up to one place behind the prefix, one of which the lines share as well;
+    where a single shared word is enough for a match, it has a key of its own, too.
+    Two lines that meet under a key and have the same word before it, or the same word between, also meet under an earlier key:
+    that word's own, that word with the second one, or the first one with that word.
     """
-    first, _ = lines.names()
     size = np.diff(lines.ptr)
-    bit = (mix(lines.token ^ STRONG) >> np.uint64(57)).astype(np.uint64)
-    shifted = np.uint64(1) << (bit & np.uint64(63))
-    low, high = (np.bitwise_xor.reduceat(np.where(bit < 64 if k == 0 else bit >= 64, shifted, np.uint64(0)), lines.ptr[:-1]) for k in (0, 1))
     count = np.minimum(counts[(lines.token >> np.uint64(24)).astype(np.int64)], (1 << 24) - 1)
     place = np.arange(len(lines.token)) - np.repeat(lines.ptr[:-1], size)
     if size.max() < 1 << 20:
@@ -172,22 +180,38 @@ def entries(lines: Lines, doc: np.ndarray, counts: np.ndarray, threshold: float)
     else:
         order = np.lexsort((place, count, lines.line))
     token, count = lines.token[order], count[order]
-    prefix = size - required(size, threshold) + 1
-    own = np.flatnonzero((place < np.repeat(prefix, size)) & (count > 1) & (np.repeat(size, size) > 1))
-    cold = own[count[own] <= HOT]
-    at, key = [cold], [mix(token[cold])]
-    hot = own[count[own] > HOT]
+    least = required(size, threshold)
+    prefix = size - least + 1
+    # a line of one word matches others up to 1 / threshold words
+    own = np.flatnonzero((place < np.repeat(prefix, size)) & (count > 1) & (np.repeat(size, size) > (1 if threshold > 0.5 else 0)))
+    sign = mix(token ^ STRONG) | np.uint64(1)
+    previous = np.zeros(len(token), np.uint64)
+    near = lines.line[own[1:]] == lines.line[own[:-1]]
+    previous[own[1:][near]] = sign[own[:-1][near]]
+    cold, hot = own[count[own] <= HOT], own[count[own] > HOT]
+    single = hot[least[lines.line[hot]] <= 1]
+    at, key, before, between = [cold, single], [mix(token[cold]), mix(token[single])], [previous[cold], np.zeros(len(single), np.uint64)], [np.zeros(len(cold) + len(single), np.uint64)]
     step = 1
     while len(hot):
         hot = hot[place[hot] + step <= np.minimum(prefix, size - 1)[lines.line[hot]]]
         at.append(hot)
         key.append(mix(token[hot] * STRONG + token[hot + step]))
+        before.append(previous[hot])
+        between.append(sign[hot + step - 1] if step > 1 else np.zeros(len(hot), np.uint64))
         step += 1
-    at, key = np.concatenate(at), np.concatenate(key)
-    i = lines.line[at]
-    alone = np.zeros(len(token) + 1, np.uint64)
-    alone[cold + 1] = mix(token[cold] ^ STRONG)
-    alone = np.cumsum(alone, dtype=np.uint64)
+    at = np.concatenate(at)
+    return Keys((np.concatenate(key) >> np.uint64(32)).astype(np.uint32), lines.line[at], place[at], np.concatenate(before), np.concatenate(between))
+
+
+def entries(lines: Lines, doc: np.ndarray, counts: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+    """The index entries of lines, one for each key; `wide` has the patterns of the entries of LONG lines only."""
+    first, _ = lines.names()
+    size = np.diff(lines.ptr)
+    bit = (mix(lines.token ^ STRONG) >> np.uint64(57)).astype(np.uint64)
+    shifted = np.uint64(1) << (bit & np.uint64(63))
+    low, high = (np.bitwise_xor.reduceat(np.where(bit < 64 if k == 0 else bit >= 64, shifted, np.uint64(0)), lines.ptr[:-1]) for k in (0, 1))
+    own = keys(lines, counts, threshold)
+    i = own.line
     long = np.flatnonzero(size >= LONG)
     wide = np.zeros((len(long), WIDE // 64), np.uint64)
     for k, j in enumerate(long):
@@ -195,8 +219,8 @@ def entries(lines: Lines, doc: np.ndarray, counts: np.ndarray, threshold: float)
         odd = np.flatnonzero(np.bincount(bit, minlength=WIDE) & 1)
         np.bitwise_or.at(wide[k], odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
     return {
-        "wide": wide[np.searchsorted(long, i[size[i] >= LONG])], "before": alone[at] - alone[lines.ptr[i]],
-        "key": (key >> np.uint64(32)).astype(np.uint32), "name": first[i], "size": size[i].astype(np.uint32), "at": np.minimum(place[at], 255).astype(np.uint8),
+        "wide": wide[np.searchsorted(long, i[size[i] >= LONG])], "before": own.before, "between": own.between,
+        "key": own.key, "name": first[i], "size": size[i].astype(np.uint32), "at": np.minimum(own.place, 255).astype(np.uint8),
         "doc": doc[lines.row[i]], "line": lines.number[i].astype(np.uint32), "bits0": low[i], "bits1": high[i],
     }
 
@@ -241,10 +265,9 @@ def indexed(rows: DataFrame, counts: np.ndarray, threshold: float, buckets: int)
     return rows.select("doc_id", "text").mapInArrow(index, "bucket int, " + ", ".join(f"{k} binary" for k, _ in FIELDS) + ", wide binary")
 
 
-def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.ndarray | None = None) -> DataFrame:
+def candidates(index: DataFrame, threshold: float, keep: int) -> DataFrame:
     """later, earlier (names of lines), apart (differing bits) and more (whether some were held back): pairs that pass the length and
-    positional filters and whose bit patterns allow the overlap, at most `keep` for each entry; `only` names the later lines wanted."""
-    shared = None if only is None else index.sparkSession.sparkContext.broadcast(only > 0)
+    positional filters and whose bit patterns allow the overlap, each under the first key that they share, at most `keep` for each entry."""
 
     def search(table: pa.Table) -> pa.Table:
         x = {k: np.concatenate([decoded(v, kind) for v in table[k].to_pylist()]) for k, kind in FIELDS}
@@ -263,10 +286,9 @@ def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.nd
             order = np.concatenate([order[count == 1], order[often[first]]])
         order = order[np.argsort(high[order] | x["size"][order])]
         key, size, at = x["key"][order], x["size"][order].astype(np.int64), x["at"][order].astype(np.int64)
-        doc, line, name, low, high, before = (x[k][order] for k in ("doc", "line", "name", "bits0", "bits1", "before"))
+        doc, line, name, low, high, before, between = (x[k][order] for k in ("doc", "line", "name", "bits0", "bits1", "before", "between"))
         long = long[order]
         del x
-        wanted = np.ones(len(key), bool) if shared is None else shared.value[(mix(name) >> np.uint64(44)).astype(np.int64)]
         found: list[tuple[np.ndarray, ...]] = []
         held, room = 0, PAIRS
         left, k = np.arange(len(key)), 0
@@ -282,7 +304,9 @@ def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.nd
             need = np.ceil((size[left] + size[b]) * (threshold / (1 + threshold)) - 1e-9).astype(np.int64)
             most = size[left] + size[b] - 2 * need
             good = (at[left] + at[b] <= most) | (at[left] == 255) | (at[b] == 255)
+            # under this key for the first time
             good &= (before[left] != before[b]) | (before[b] == 0)
+            good &= (between[left] != between[b]) | (between[b] == 0)
             a, b, most = left[good], b[good], most[good]
             apart = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
             good = (apart <= most) & (name[a] != name[b])
@@ -294,10 +318,9 @@ def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.nd
             a, b, apart, most = a[good], b[good], apart[good], most[good]
             swap = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & ((line[a] < line[b]) | ((line[a] == line[b]) & (name[a] < name[b]))))
             late, early = np.where(swap, b, a), np.where(swap, a, b)
-            own = wanted[late]
-            found.append(tuple(v[own].astype(np.int32) for v in (late, early, apart, most)))
+            found.append(tuple(v.astype(np.int32) for v in (late, early, apart, most)))
             held += len(found[-1][0])
-            if keep is not None and held > room:
+            if held > room:
                 # one more than can be passed on is enough to know that some are held back
                 best, number = nearest_first(found)
                 found = [tuple(v[number <= keep] for v in best)]
@@ -310,7 +333,7 @@ def candidates(index: DataFrame, threshold: float, keep: int | None, only: np.nd
         count = np.diff(np.append(start, len(late)))
         # half of the bits that may differ differ: next to certainly a match
         close = np.repeat(2 * d[start] <= most[start], count)
-        limit = np.full(len(late), len(late)) if keep is None else np.where(close, 1, keep)
+        limit = np.where(close, 1, keep)
         sure, more = number < limit, np.repeat(count, count) > limit
         return pa.table({"later": name[late[sure]].view(np.int64), "earlier": name[early[sure]].view(np.int64), "apart": d[sure].astype(np.int32), "more": more[sure]})
 
@@ -351,8 +374,8 @@ def sets_of(rows: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(gather, "name long, words binary").groupBy("name").agg(F.first("words").alias("words"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose Jaccard similarity reaches the threshold."""
+def verified(pairs: DataFrame, threshold: float) -> DataFrame:
+    """later and earlier of the pairs whose packed words `a` and `b` have a Jaccard similarity of `threshold` or more."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,45 +386,84 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 good.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
             yield batch.filter(pa.array(good, pa.bool_())).select(["later", "earlier"])
 
+    return pairs.select("later", "earlier", "a", "b").mapInArrow(verify, "later long, earlier long")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose Jaccard similarity reaches the threshold."""
     both = pairs.join(sets.select(F.col("name").alias("earlier"), F.col("words").alias("a")), "earlier").join(sets.select(F.col("name").alias("later"), F.col("words").alias("b")), "later")
-    return both.select("later", "earlier", "a", "b").mapInArrow(verify, "later long, earlier long")
-
-
-def earlier_matches(rows: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Of the given lines (name, words, place, number; few enough to broadcast) the names of those that an earlier line matches."""
-    own = lines.collect()
-    words: dict[int, list[int]] = {}
-    for j, r in enumerate(own):
-        for w in np.frombuffer(r.words, np.uint64).tolist():
-            words.setdefault(w, []).append(j)
-    cells = np.zeros(CELLS, bool)
-    cells[np.array(list(words), np.uint64) >> np.uint64(24)] = True
-    shared = rows.sparkSession.sparkContext.broadcast((words, cells, [(r.name, len(r.words) // 8, (r.place, r.number, r.name % (1 << 64))) for r in own]))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, found = Splitter(), set()
-        words, cells, own = shared.value
+    return verified(both, threshold)
+
+
+def keyed(rows: DataFrame, counts: np.ndarray, threshold: float, wanted: np.ndarray | None = None) -> DataFrame:
+    """key, name, size, words, before and between of the entries of lines, given by their texts (`text`) or by their `words`;
+    `wanted` is a table in which the cells of the wanted keys are not 0."""
+    by = rows.columns[0]
+    shared = rows.sparkSession.sparkContext.broadcast((np.minimum(counts, (1 << 32) - 1).astype(np.uint32), None if wanted is None else wanted > 0))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, seen, sent = Splitter(), set(), []
+        table, cells = shared.value
+        table = table.astype(np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
-                doc = np.asarray(part.column("doc_id").fill_null(LAST))
-                for lines in lines_of(part.column("text"), splitter):
-                    size = np.diff(lines.ptr)
-                    held = lines.sums(cells[(lines.token >> np.uint64(24)).astype(np.int64)].astype(np.int64))
-                    near = np.flatnonzero(held >= required(size, threshold))
-                    names = lines.names()[0] if len(near) else None
-                    for i in near:
-                        common: dict[int, int] = {}
-                        for w in lines.token[lines.ptr[i] : lines.ptr[i + 1]].tolist():
-                            for j in words.get(w, ()):
-                                common[j] = common.get(j, 0) + 1
-                        at = (int(doc[lines.row[i]]), int(lines.number[i]), int(names[i]))
-                        for j, c in common.items():
-                            name, n, place = own[j]
-                            if c >= threshold * (int(size[i]) + n - c) - 1e-9 and at < place and at[2] != place[2]:
-                                found.add(name)
-        yield pa.RecordBatch.from_pydict({"later": pa.array(list(found), pa.int64())})
-
-    return rows.select("doc_id", "text").mapInArrow(search, "later long").distinct()
+            for part in slices(batch, by) if by == "text" else [batch]:
+                for lines in lines_of(part.column(by), splitter) if by == "text" else sets_in(part.column(by)):
+                    own = keys(lines, table, threshold)
+                    names, size = lines.names()[0].view(np.int64), np.diff(lines.ptr)
+                    for j in np.flatnonzero(cells[own.key >> np.uint32(12)]) if cells is not None else range(len(own.key)):
+                        i, key = own.line[j], int(own.key[j])
+                        if (key, int(names[i])) in seen:
+                            continue
+                        if len(seen) < 1_000_000:  # others are found alike later
+                            seen.add((key, int(names[i])))
+                        sent.append((key, int(names[i]), int(size[i]), lines.token[lines.ptr[i] : lines.ptr[i + 1]].tobytes(), int(own.before[j].view(np.int64)), int(own.between[j].view(np.int64))))
+                        if len(sent) >= SENT_WORDS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*sent), ARROW_KEYED)], schema=ARROW_KEYED)
+                            sent.clear()
+        if sent:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*sent), ARROW_KEYED)], schema=ARROW_KEYED)
+
+    return rows.select(by).mapInArrow(index, "key long, name long, size int, words binary, before long, between long")
+
+
+SENT_WORDS = 4096
+ARROW_KEYED = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("size", pa.int32()), ("words", pa.binary()), ("before", pa.int64()), ("between", pa.int64())])
+
+
+def sets_in(words: pa.Array) -> Iterator[Lines]:
+    """Lines given by their packed words."""
+    token, ptr = unpacked(words, np.uint64)
+    if len(words):
+        n = len(ptr) - 1
+        yield Lines(np.arange(n), np.zeros(n, np.int64), ptr, token, np.repeat(np.arange(n), np.diff(ptr)))
+
+
+def key_table(own: DataFrame) -> np.ndarray:
+    """A table in which the cells of the given 32-bit keys are not 0."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            counts += np.bincount(np.asarray(batch.column(0)) >> 12, minlength=CELLS)
+        yield chunks_of(counts)
+
+    return table_of(own.select("key").mapInArrow(count, "chunk int, part int, counts binary"))
+
+
+def earlier_matches(rows: DataFrame, lines: DataFrame, first: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """Of the given lines (name, words) those that an earlier line matches: all lines that share a key with one of them come with
+    their words, and each pair is verified where it is joined."""
+    place = [F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), F.col("number"), F.col("name").bitwiseXOR(F.lit(-(1 << 63))).alias("tie")]
+    at = first.select("name", F.struct(*place).alias("at"))
+    own = kept(keyed(lines.select("words"), counts, threshold).join(at, "name"), "open-keys")
+    others = keyed(rows.select("text"), counts, threshold, key_table(own)).dropDuplicates(["key", "name"]).join(at, "name")
+    a, b = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "size", "words", "before", "between", "at")]) for x, s in ((others, "a"), (own, "b")))
+    fits = (F.col("at_a") < F.col("at_b")) & (F.col("name_a") != F.col("name_b"))
+    fits &= (F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - 1e-9)
+    for c in ("before", "between"):
+        fits &= (F.col(f"{c}_a") != F.col(f"{c}_b")) | (F.col(f"{c}_b") == 0)
+    pairs = a.join(b, "key").where(fits).select(F.col("name_b").alias("later"), F.col("name_a").alias("earlier"), F.col("words_a").alias("a"), F.col("words_b").alias("b"))
+    return verified(pairs, threshold).select("later").distinct()
 
 
 def repeated_lines(rows: DataFrame, first: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
@@ -419,15 +481,9 @@ def repeated_lines(rows: DataFrame, first: DataFrame, counts: np.ndarray, thresh
     done = done.unionByName(more)
     # lines of which candidates were held back, while none of those passed on matches
     open_ = pairs.where("more").select("later").distinct().join(done, "later", "left_anti").withColumnRenamed("later", "name")
-    open_ = kept(open_.join(sets, "name").join(first, "name").select("name", "words", F.coalesce("doc_id", F.lit(int(LAST))).alias("place"), "number"), "open-lines")
-    left = open_.agg(F.sum(F.length("words"))).first()[0] or 0
-    if left > OPEN_BYTES:  # search for all their candidates
-        names = open_.select(F.col("name").alias("later")).distinct()
-        every = kept(candidates(index, threshold, None, name_table(names)).join(names, "later", "left_semi").select("later", "earlier"), "line-candidates")
-        sets = sets_of(rows, every.select("later").unionByName(every.select(F.col("earlier").alias("later"))).distinct())
-        done = done.unionByName(kept(similar(every, sets, threshold).select("later").distinct(), "line-matches"))
-    elif left:
-        done = done.unionByName(kept(earlier_matches(rows, open_, threshold), "line-matches"))
+    open_ = kept(open_.join(sets, "name").select("name", "words"), "open-lines")
+    if not open_.isEmpty():
+        done = done.unionByName(kept(earlier_matches(rows, open_, first, counts, threshold), "line-matches"))
     return done.select(F.col("later").alias("name"))
 
 
@@ -437,6 +493,13 @@ def first_lines(named: DataFrame) -> DataFrame:
     return named.groupBy("name", "more").agg(F.min(place).alias("at")).select("name", "at.doc_id", "at.text_hash", "at.number")
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """`name`, with underscores behind it as long as a column is called so."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """The rows of `docs`, all columns, without the lines that match an earlier one; hl_lines and hl_removed count lines with words before and those gone.
 
@@ -448,17 +511,21 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     Equal sets are one line from the start. Words are ordered by rarity (counts over the whole corpus in a table of fixed size; any order gives
     exact results), each line enters the index under the words of its prefix, and length and positional filters and a
     128-bit pattern of the sets leave the candidates. Index buckets are hash ranges, hot words are split by a second word, and an entry hands
-    on only its nearest earlier candidates, in most cases enough; the few lines that these leave open are held against all others.
+    on only its nearest earlier candidates, in most cases enough; the few lines that these leave open are joined with all that share a key with them.
+
+    A column of `docs` named hl_lines or hl_removed, in whatever case, gives way to the new one; any other name may stand in `docs`.
     """
+    docs = docs.select(*[col(c) for c in docs.columns if c.lower() not in ("hl_lines", "hl_removed") or c in (doc_id, text)])
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"), F.xxhash64(col(text)).alias("text_hash"))
     found = census(rows)
     counts = table_of(found.where("chunk is not null").select("chunk", "part", "counts"))
     first = kept(first_lines(found.where("name is not null")), "first-lines")
     first = first.join(repeated_lines(rows, first, counts, threshold), "name", "left_anti")
     staying = first.groupBy("doc_id", "text_hash").agg(F.collect_list("number").alias("hl_numbers"))
-    staying = staying.select(F.col("doc_id").alias("hl_of"), F.col("text_hash").alias("hl_hash"), "hl_numbers")
-    joined = docs.join(staying, col(doc_id).cast("long").eqNullSafe(F.col("hl_of")) & (F.xxhash64(col(text)) == F.col("hl_hash")), "left")
-    joined = joined.select(*[col(c) for c in docs.columns], "hl_numbers")
+    of, digest, numbers = (unused(c, docs.columns) for c in ("hl_of", "hl_hash", "hl_numbers"))
+    staying = staying.select(F.col("doc_id").alias(of), F.col("text_hash").alias(digest), F.col("hl_numbers").alias(numbers))
+    joined = docs.join(staying, col(doc_id).cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(col(text)) == F.col(digest)), "left")
+    joined = joined.select(*[col(c) for c in docs.columns], numbers)
     at, names = docs.columns.index(text), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,5 +540,5 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(names)])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(gone, pa.int64())], [*names, "hl_lines", "hl_removed"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(cut, f"{schema}, hl_lines long, hl_removed long")
+    schema = StructType([*docs.schema.fields, StructField("hl_lines", LongType()), StructField("hl_removed", LongType())])
+    return joined.mapInArrow(cut, schema)

@@ -142,11 +142,10 @@ def test_lines_of_odd_documents(odd_documents, no_documents):
     assert line_dedup.dedup_lines(no_documents).count() == 0
 
 
-@pytest.mark.parametrize("hot,keep,left", [(1024, 32, 1 << 25), (2, 1, 1 << 25), (2, 1, 0)])
-def test_lines_against_all_pairs(spark, monkeypatch, hot, keep, left):
+@pytest.mark.parametrize("hot,keep,threshold", [(1024, 32, 0.8), (2, 1, 0.8), (2, 1, 0.4), (2, 1, 0.5), (20, 2, 0.5)])
+def test_lines_against_all_pairs(spark, monkeypatch, hot, keep, threshold):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "KEEP", keep)
-    monkeypatch.setattr(line_dedup, "OPEN_BYTES", left)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(40)]
     rows = []
@@ -156,4 +155,34 @@ def test_lines_against_all_pairs(spark, monkeypatch, hot, keep, left):
     long = [f"v{i}" for i in range(400)]
     rows += [(100 + i, " ".join(rng.sample(long, 330 + 7 * i))) for i in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("numbers", F.lit(1))
-    assert cut(line_dedup.dedup_lines(df)) == without_repeats(rows)
+    assert cut(line_dedup.dedup_lines(df, threshold=threshold)) == without_repeats(rows, threshold)
+
+
+def test_one_word_matches_two_at_half(spark):
+    df = spark.createDataFrame([(1, "alpha"), (2, "alpha beta"), (3, "gamma")], "doc_id long, text string")
+    assert [r.text for r in line_dedup.dedup_lines(df, threshold=0.5).orderBy("doc_id").collect()] == ["alpha", "", "gamma"]
+
+
+def test_lines_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 7, "x", "y"), (2, "a b c d e", 8, "z", None)], "doc_id long, text string, HL_lines int, hl_numbers string, hl_of string")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "hl_numbers", "hl_of", "hl_lines", "hl_removed"]
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "a b c d e", "x", "y", 1, 0), (2, "", "z", None, 1, 1)]
+
+
+def test_pair_met_under_few_keys():
+    """Two long near copies of hot words come under few of their many shared keys for the first time."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.choice(1 << 44, 240, replace=False).astype(np.uint64)
+    other = base.copy()
+    other[[3, 90, 200]] = rng.choice(1 << 44, 3, replace=False).astype(np.uint64)
+    sets = [np.sort(base), np.sort(other)]
+    ptr = np.array([0, 240, 480])
+    lines = line_dedup.Lines(np.arange(2), np.zeros(2, np.int64), ptr, np.concatenate(sets), np.repeat([0, 1], 240))
+    own = line_dedup.keys(lines, np.full(line_dedup.CELLS, 5000, np.int64), 0.8)
+    at = [{int(own.key[j]): (own.before[j], own.between[j]) for j in np.flatnonzero(own.line == i)} for i in (0, 1)]
+    shared = at[0].keys() & at[1].keys()
+    first = [k for k in shared if all(x != y or not y for x, y in zip(at[0][k], at[1][k]))]
+    assert len(shared) > 500 and 1 <= len(first) <= 16
