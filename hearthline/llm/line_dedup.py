@@ -19,7 +19,7 @@ CELLS = 1 << 20  # of the table of word frequencies; its size doesn't grow with
 CHUNKS = 64
 PARTS = 64
 HOT = 1024  # words counted more often are looked up together with a second word
-KEEP = 3  # earlier candidates that an entry passes on, those of the nearest bit patterns; just one if that is close
+KEEP = 24  # earlier candidates that an entry passes on, those of the nearest bit patterns; just one if that is close
 LONG = 192  # words from which a line's entries have a pattern of WIDE bits; 128 bits say little about longer lines
 WIDE = 1024
 PAIRS = 500_000  # pairs that a task holds before it drops those that no line passes on
