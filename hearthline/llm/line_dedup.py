@@ -43,6 +43,12 @@ class Lines:
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.ptr[:-1]) if len(self.row) else np.zeros(0, values.dtype)
 
+    def only(self, which: np.ndarray) -> Lines:
+        size = np.diff(self.ptr)
+        kept_words = np.zeros(len(self.row), bool)
+        kept_words[which] = True
+        return Lines(self.row[which], self.number[which], np.append(0, np.cumsum(size[which])), self.token[kept_words[self.line]], np.repeat(np.arange(len(which)), size[which]))
+
     def names(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits that name each line's set."""
         return self.sums(mix(self.token)), self.sums(mix(self.token + STRONG))
@@ -395,11 +401,11 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return verified(both, threshold)
 
 
-def keyed(rows: DataFrame, counts: np.ndarray, threshold: float, wanted: np.ndarray | None = None) -> DataFrame:
+def keyed(rows: DataFrame, counts: np.ndarray, threshold: float, wanted: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """key, name, size, words, before and between of the entries of lines, given by their texts (`text`) or by their `words`;
-    `wanted` is a table in which the cells of the wanted keys are not 0."""
+    `wanted` are tables in which the cells of the wanted lines' keys and words are not 0."""
     by = rows.columns[0]
-    shared = rows.sparkSession.sparkContext.broadcast((np.minimum(counts, (1 << 32) - 1).astype(np.uint32), None if wanted is None else wanted > 0))
+    shared = rows.sparkSession.sparkContext.broadcast((np.minimum(counts, (1 << 32) - 1).astype(np.uint32), None if wanted is None else [x > 0 for x in wanted]))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, seen, sent = Splitter(), set(), []
@@ -408,9 +414,14 @@ def keyed(rows: DataFrame, counts: np.ndarray, threshold: float, wanted: np.ndar
         for batch in batches:
             for part in slices(batch, by) if by == "text" else [batch]:
                 for lines in lines_of(part.column(by), splitter) if by == "text" else sets_in(part.column(by)):
+                    if cells is not None:  # a match holds enough of the words
+                        held = lines.sums(cells[1][(lines.token >> np.uint64(24)).astype(np.int64)].astype(np.int64))
+                        lines = lines.only(np.flatnonzero(held >= required(np.diff(lines.ptr), threshold)))
+                    if not len(lines.row):
+                        continue
                     own = keys(lines, table, threshold)
                     names, size = lines.names()[0].view(np.int64), np.diff(lines.ptr)
-                    for j in np.flatnonzero(cells[own.key >> np.uint32(12)]) if cells is not None else range(len(own.key)):
+                    for j in np.flatnonzero(cells[0][own.key >> np.uint32(12)]) if cells is not None else range(len(own.key)):
                         i, key = own.line[j], int(own.key[j])
                         if (key, int(names[i])) in seen:
                             continue
@@ -438,16 +449,23 @@ def sets_in(words: pa.Array) -> Iterator[Lines]:
         yield Lines(np.arange(n), np.zeros(n, np.int64), ptr, token, np.repeat(np.arange(n), np.diff(ptr)))
 
 
-def key_table(own: DataFrame) -> np.ndarray:
-    """A table in which the cells of the given 32-bit keys are not 0."""
+def wanted_cells(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tables in which the cells of the keys and of the words of the given entries are not 0."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
             counts += np.bincount(np.asarray(batch.column(0)) >> 12, minlength=CELLS)
         yield chunks_of(counts)
 
-    return table_of(own.select("key").mapInArrow(count, "chunk int, part int, counts binary"))
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            counts += np.bincount((unpacked(batch.column(0), np.uint64)[0] >> np.uint64(24)).astype(np.int64), minlength=CELLS)
+        yield chunks_of(counts)
+
+    found = [own.select(c).mapInArrow(f, "chunk int, part int, counts binary") for c, f in (("key", count_keys), ("words", count_words))]
+    return table_of(found[0]), table_of(found[1])
 
 
 def earlier_matches(rows: DataFrame, lines: DataFrame, first: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
@@ -456,7 +474,7 @@ def earlier_matches(rows: DataFrame, lines: DataFrame, first: DataFrame, counts:
     place = [F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), F.col("number"), F.col("name").bitwiseXOR(F.lit(-(1 << 63))).alias("tie")]
     at = first.select("name", F.struct(*place).alias("at"))
     own = kept(keyed(lines.select("words"), counts, threshold).join(at, "name"), "open-keys")
-    others = keyed(rows.select("text"), counts, threshold, key_table(own)).dropDuplicates(["key", "name"]).join(at, "name")
+    others = keyed(rows.select("text"), counts, threshold, wanted_cells(own)).dropDuplicates(["key", "name"]).join(at, "name")
     a, b = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "size", "words", "before", "between", "at")]) for x, s in ((others, "a"), (own, "b")))
     fits = (F.col("at_a") < F.col("at_b")) & (F.col("name_a") != F.col("name_b"))
     fits &= (F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - 1e-9)
