@@ -77,7 +77,7 @@ def near_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_i
     """query_id, rank, vec_id and score: for every row with `is_query`, about the k rows of other ids with the largest inner product, ties to the smaller id.
 
     Rows with a null id, or a vector that is null, all zero or holds a null or non-finite component, take no part; rows alike
-    in id and vector count once; vectors of different lengths never meet. Scores are inner products of the original
+    in id and vector are one query, but each of them is a candidate of other ids; vectors of different lengths never meet. Scores are inner products of the original
     vectors in double precision.
 
     Every row is indexed: the table is dealt into blocks by a hash, each with sorted arrays of 64 random projections; nothing is
@@ -88,7 +88,7 @@ def near_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_i
     """
     rows = vectors.select(col(vec_id).cast("long").alias("id"), F.transform(col(vector), lambda v: v.cast("double")).alias("vec"), is_query.alias("query"))
     usable = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
-    rows = rows.where(F.col("id").isNotNull() & F.coalesce(usable, F.lit(False))).groupBy("id", "vec").agg(F.max("query").alias("query"))
+    rows = rows.where(F.col("id").isNotNull() & F.coalesce(usable, F.lit(False))).groupBy("id", "vec").agg(F.max("query").alias("query"), F.count("*").alias("copies"))
 
     def pack(batches):
         for batch in batches:
@@ -97,20 +97,21 @@ def near_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_i
             flat, at = np.asarray(lists.flatten()), np.cumsum(np.append(0, sizes))
             with np.errstate(over="ignore"):
                 norms = np.sqrt(np.add.reduceat(flat * flat, at[:-1])) if len(sizes) else np.zeros(0)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "query": batch.column("query"), "size": pa.array(sizes, pa.int32()), "norm": norms, "vec": pa.array([flat[a:b].astype("<f8").tobytes() for a, b in zip(at, at[1:])], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "query": batch.column("query"), "copies": batch.column("copies"), "size": pa.array(sizes, pa.int32()), "norm": norms, "vec": pa.array([flat[a:b].astype("<f8").tobytes() for a, b in zip(at, at[1:])], pa.binary())})
 
-    rows = kept(rows.mapInArrow(pack, "id long, query boolean, size int, norm double, vec binary"), "vectors")
+    rows = kept(rows.mapInArrow(pack, "id long, query boolean, copies long, size int, norm double, vec binary"), "vectors")
     sizes = rows.groupBy("size").agg(F.count("*").alias("n"), F.count(F.when(F.col("query"), 1)).alias("queries"), F.max("norm").alias("top"))
     sizes = sizes.select("size", F.ceil(F.col("n") / block_rows).alias("blocks"), F.ceil(F.greatest(F.col("queries"), F.lit(1)) / chunk_rows).alias("chunks"), "top")
     rows = rows.join(F.broadcast(sizes), "size")  # one row for each length of vectors
     spread = lambda n: F.explode(F.expr(f"sequence(0, cast({n} as int) - 1)"))
-    data = rows.select(F.col("size").alias("of"), F.pmod(F.xxhash64("id", "vec"), "blocks").cast("int").alias("part"), spread("chunks").alias("turn"), "id", "vec", "top")
+    data = rows.select(F.col("size").alias("of"), F.pmod(F.xxhash64("id", "vec"), "blocks").cast("int").alias("part"), spread("chunks").alias("turn"), "id", "vec", "top", F.least("copies", F.lit(k)).alias("copies"))
     queries = rows.where("query").select("size", spread("blocks").alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "chunks").cast("int").alias("chunk"), F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
 
     def found(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [[], [], [], []]
+        out = [[], [], [], [], []]
         if len(left) and len(right):
             size, top = int(key[0]), float(left["top"].iloc[0])
+            copies = left["copies"].to_numpy()
             ids, x = left["id"].to_numpy(), unpacked(pa.array(left["vec"], pa.binary()), "<f8")[0].reshape(len(left), size)
             scaled = x / top
             index = Windows(np.column_stack([scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(1)))]), seed)
@@ -129,10 +130,12 @@ def near_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_i
                     out[1] += [data] * len(best)
                     out[2].append(ids[near][best])
                     out[3].append(score[best])
+                    out[4].append(copies[near][best])
         join = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
-        return pd.DataFrame({"query_id": np.array(out[0], np.int64), "query_vec": out[1], "vec_id": join(out[2], np.int64), "score": join(out[3], float)})
+        return pd.DataFrame({"query_id": np.array(out[0], np.int64), "query_vec": out[1], "vec_id": join(out[2], np.int64), "score": join(out[3], float), "copies": join(out[4], np.int64)})
 
     met = data.groupBy("of", "part", "turn").cogroup(queries.groupBy("size", "block", "chunk"))
-    best = met.applyInPandas(found, "query_id long, query_vec binary, vec_id long, score double")
+    best = met.applyInPandas(found, "query_id long, query_vec binary, vec_id long, score double, copies long")
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     order = Window.partitionBy("query_id", "query_vec").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -116,3 +116,10 @@ def test_approximate_search_odd_rows(spark):
     assert collision_ann.near_topk(df.limit(0), F.lit(True), 20).count() == 0
     blocks = collision_ann.near_topk(df, F.col("vec_id") == 0, 1, block_rows=1, chunk_rows=1)
     assert [tuple(r) for r in blocks.collect()] == [(0, 1, 1, 2.0)]
+
+
+def test_approximate_search_repeated_candidates(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 9.0])], "vec_id long, embedding array<double>")
+    got = lambda k: sorted(map(tuple, collision_ann.near_topk(df, F.col("vec_id") == 0, k).collect()))
+    assert got(20) == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 1, 1.0), (0, 4, 2, 0.5)]
+    assert got(2) == [(0, 1, 1, 1.0), (0, 2, 1, 1.0)]
