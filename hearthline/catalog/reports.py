@@ -59,6 +59,30 @@ def cross_tab_p(spark, d):
     return rounded(test.select("statistic", "df", "n", F.round("min_expected", 4).alias("min_expected")), "statistic")
 
 
+_WAYS = "lgamma(n + 1) - lgamma({0} + 1) - lgamma(n - {0} + 1)"
+
+
+@query(sql="WITH RECURSIVE pairs AS (SELECT r_name AS r, s_acctbal < 0 AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+       + CHI + f"""
+, x AS (SELECT sum((o - e) * (o - e) / e) AS x, min(e) AS low FROM full_),
+l AS (SELECT row_number() OVER (ORDER BY r) AS i, count(*) AS n, sum(c::INT) AS k FROM pairs GROUP BY r),
+w AS (SELECT i, n, k, unnest(range(0, n + 1)) AS v FROM l, x WHERE low < 5),
+t AS (SELECT 0::BIGINT AS i, 0::HUGEINT AS s, 0.0::DOUBLE AS lw UNION ALL
+      SELECT t.i + 1, t.s + v, t.lw + {_WAYS.format('v')} FROM t JOIN w ON w.i = t.i + 1 WHERE t.s + v <= (SELECT sum(k) FROM l)),
+done AS (SELECT lw FROM t WHERE i = (SELECT max(i) FROM l) AND s = (SELECT sum(k) FROM l)),
+seen AS (SELECT sum({_WAYS.format('k')}) AS lw FROM l)
+SELECT round(x, 6) AS statistic, CAST((SELECT sum(n) FROM l) AS BIGINT) AS n, round(low, 4) AS min_expected,
+       round(CASE WHEN (SELECT count(*) FROM cs) < 2 THEN NULL WHEN low < 5 THEN (SELECT sum(exp(d.lw - q.top) ) FILTER (d.lw <= s.lw + 1e-7) / sum(exp(d.lw - q.top)) FROM done d, seen s, (SELECT max(lw) AS top FROM done) q)
+                  ELSE exp(-x / 2) * (1 + x / 2) END, 6) AS p,
+       CASE WHEN (SELECT count(*) FROM cs) < 2 THEN NULL WHEN low < 5 THEN 'exact' ELSE 'chi-squared' END AS test FROM x""")
+def cross_tab_exact(spark, d):
+    """Suppliers in debt by region: with few suppliers the exact test of a 5×2 table, with many χ²."""
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
+        table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("debt", F.col("s_acctbal") < 0)
+    test = rounded(TB.cross_tab_p(rows, "r_name", "debt"), "statistic", "p")
+    return test.select("statistic", "n", F.round("min_expected", 4).alias("min_expected"), "p", "test")
+
+
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 # with 12 degrees of freedom the tail probability of x is exp(-x/2) (1 + x/2 + (x/2)^2/2! + ... + (x/2)^5/5!)
 _TAIL = "exp(-x / 2) * (1 + x / 2 + power(x / 2, 2) / 2 + power(x / 2, 3) / 6 + power(x / 2, 4) / 24 + power(x / 2, 5) / 120)"

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -176,6 +177,146 @@ def logit(formula: Formula, df: DataFrame, name: str = "logit") -> Fit:
     return Fit(name, formula, [INTERCEPT, *names], [model.intercept, *model.coefficients], [errors[-1], *errors[:-1]], stats)
 
 
+def _code_parts(rows: DataFrame, name: str, outcomes: Sequence[str]) -> tuple[list[tuple[str, Column]], dict[str, list[str]]]:
+    """All number columns that a predictor may stand for, and which of them each model's rows ask for."""
+    kind = rows.schema[name].dataType
+    if not isinstance(kind, T.StringType):
+        label = f"{name}TRUE" if isinstance(kind, T.BooleanType) else name
+        return [(label, F.col(name).cast("double"))], {o: [label] for o in outcomes}
+    seen = rows.groupBy(F.col(name).alias("l")).agg(*[F.count(o).alias(o) for o in outcomes]).collect()  # the levels are terms
+    levels = sorted(r["l"] for r in seen)
+    held = {o: sorted(r["l"] for r in seen if r[o])[1:] for o in outcomes}
+    return [(name + v, (F.col(name) == v).cast("double")) for v in levels], {o: [name + v for v in held[o]] for o in outcomes}
+
+
+def _products(terms: Sequence[str], parts: Mapping[str, Sequence]) -> list:
+    """Names (or names with columns) of the terms, an interaction being all products of its parts."""
+    made = []
+    for term in terms:
+        own = [("", F.lit(1.0))]
+        for part in term.split(":"):
+            own = [(f"{a}:{b}".lstrip(":"), x * y) for a, x in own for b, y in parts[part]]
+        made += own
+    return made
+
+
+def _logit_sums(rows: DataFrame, betas: Mapping[int, np.ndarray], used: Mapping[int, Sequence[int]]) -> dict[int, tuple]:
+    """{model: (n, log-likelihood, gradient, information)} in one pass for all models still open; x has the intercept first."""
+
+    def part(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            wide = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(size, -1)
+            every_x, every_y = np.column_stack([np.ones(size), wide("x")]), wide("y")
+            every_w = batch.column("w").to_numpy(zero_copy_only=False)
+            for m, beta in betas.items():
+                at = every_y[:, m] >= 0
+                if not at.any():
+                    continue
+                x, y, w = every_x[at][:, used[m]], every_y[at, m], every_w[at]
+                eta = x @ beta
+                mu = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+                ll = (w * (y * eta - np.logaddexp(0, eta))).sum()
+                block = np.concatenate([[w.sum(), ll], x.T @ (w * (y - mu)), ((x * (w * mu * (1 - mu))[:, None]).T @ x).ravel()])
+                sums[m] = sums.get(m, 0) + block
+        for m, block in sums.items():
+            yield pa.RecordBatch.from_pydict({
+                "m": pa.array([m] * len(block), pa.int32()), "i": pa.array(range(len(block)), pa.int32()), "v": pa.array(block)})
+
+    flat: dict[int, dict[int, float]] = {}
+    for r in rows.mapInArrow(part, "m int, i int, v double").groupBy("m", "i").agg(F.sum("v").alias("v")).collect():
+        flat.setdefault(r["m"], {})[r["i"]] = r["v"]
+    out = {}
+    for m, values in flat.items():
+        p, v = len(used[m]), np.array([values[i] for i in range(len(values))])
+        out[m] = v[0], v[1], v[2 : p + 2], v[p + 2 :].reshape(p, p)
+    return out
+
+
+def logits(df: DataFrame, terms: Sequence[str], models: Mapping[str, tuple[Column | None, Column]], max_iter: int = 50,
+           tol: float = 1e-9) -> list[Fit]:
+    """Logistic models with the same terms, {name: (condition of its rows, or None for all; outcome)}, fitted together.
+
+    Parts may overlap. A round of Newton steps, halved where a likelihood would fall, is one pass for all models that have not
+    converged, so the number of jobs does not grow with that of models. As in `logit` a model's rows are those without a missing
+    predictor, outcome or condition, and a label is coded against the first level among them. Where labels alone predict, equal
+    rows are counted first. A term that those before it
+    determine has no estimate. A model without rows has no estimates at all.
+    """
+    names = list(models)
+    outcomes = [f"__y{i}" for i in range(len(names))]
+    columns = list(dict.fromkeys(c for t in terms for c in t.split(":")))
+    answer = {o: (F.when(cond, y.cast("double")) if cond is not None else y.cast("double")) for o, (cond, y) in zip(outcomes, models.values())}
+    rows = df.withColumns(answer).select(*columns, *outcomes).na.drop("all", subset=outcomes)
+    rows = rows.na.drop("any", subset=columns) if columns else rows
+    parts = {c: _code_parts(rows, c, outcomes) for c in columns}
+    design_columns = _products(terms, {c: p for c, (p, _) in parts.items()})
+    places = {n: i + 1 for i, (n, _) in enumerate(design_columns)}
+    own = {m: [n for n, _ in _products(terms, {c: [(v, F.lit(1.0)) for v in held[o]] for c, (_, held) in parts.items()})]
+           for m, o in enumerate(outcomes)}
+    if all(isinstance(rows.schema[c].dataType, (T.StringType, T.BooleanType)) for c in columns):
+        rows = rows.groupBy(*columns, *outcomes).agg(F.count(F.lit(1)).cast("double").alias("__w"))  # equal rows once, with their number
+    else:
+        rows = rows.withColumn("__w", F.lit(1.0))
+    blocks = _kept(rows.select(
+        F.col("__w").alias("w"), F.array(*[c for _, c in design_columns]).cast("array<double>").alias("x"), F.array(*[F.coalesce(F.col(o), F.lit(-1.0)) for o in outcomes]).alias("y")))
+    try:
+        used = {m: [0, *[places[n] for n in own[m]]] for m in own}
+        state = _logit_sums(blocks, {m: np.zeros(len(used[m])) for m in used}, used)
+        kept = {}
+        for m, (_, _, _, h) in state.items():  # at zero the information is a quarter of the products of the design
+            kept[m] = _independent(h)
+            state[m] = (state[m][0], state[m][1], state[m][2][kept[m]], h[np.ix_(kept[m], kept[m])])
+            used[m] = [used[m][i] for i in kept[m]]
+        start = {m: (s[0], s[2][0] + s[0] / 2) for m, s in state.items()}  # n and how many answered yes
+        beta = {m: np.zeros(len(used[m])) for m in state}
+        step = {m: np.linalg.lstsq(s[3], s[2], rcond=None)[0] for m, s in state.items()}
+        converged = dict.fromkeys(state, False)
+        open_models = set(state)
+        for _ in range(max_iter):
+            tried = _logit_sums(blocks, {m: beta[m] + step[m] for m in open_models}, used)
+            for m, new in tried.items():
+                if not new[1] >= state[m][1] - 1e-12 * abs(state[m][1]):
+                    step[m] = step[m] / 2
+                    continue
+                beta[m], state[m] = beta[m] + step[m], new
+                step[m] = np.linalg.lstsq(new[3], new[2], rcond=None)[0]
+                converged[m] = bool(np.abs(step[m]).max() < tol * (1 + np.abs(beta[m]).max()))
+            open_models = {m for m in open_models if not converged[m]}
+            if not open_models:
+                break
+    finally:
+        blocks.unpersist()
+    fits = []
+    for m, name in enumerate(names):
+        formula, labels = Formula("outcome", tuple(terms)), [INTERCEPT, *own[m]]
+        estimate, errors = [None] * len(labels), [None] * len(labels)
+        if m not in state:
+            fits.append(Fit(name, formula, labels, estimate, errors, {"n": 0, "converged": 0.0}))
+            continue
+        n, ll, _, h = state[m]
+        for i, b, v in zip(kept[m], beta[m], np.diag(np.linalg.pinv(h))):
+            estimate[i], errors[i] = float(b), float(math.sqrt(max(v, 0.0)))
+        yes = start[m][1]
+        null = -2 * sum(k * math.log(k / n) for k in (yes, n - yes) if k > 0.25)
+        fits.append(Fit(name, formula, labels, estimate, errors, {
+            "n": int(n), "converged": float(converged[m]), "aic": -2 * ll + 2 * len(kept[m]), "deviance": -2 * ll, "null_deviance": null}))
+    return fits
+
+
+def _independent(s: np.ndarray) -> list[int]:
+    """Places of a matrix of products, each of which adds something to those before it; the first always stands."""
+    used = [0]
+    for i in range(1, len(s)):
+        rest = s[i, i] - s[i, used] @ np.linalg.solve(s[np.ix_(used, used)], s[used, i])
+        if rest > 1e-9 * s[i, i]:
+            used.append(i)
+    return used
+
+
 def log_ndtr_and_ratio(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log Φ(w) and φ(w)/Φ(w), stable far into the lower tail."""
     log_phi = -0.5 * w * w - 0.5 * math.log(2 * math.pi)
@@ -408,7 +549,11 @@ def model_table(spark: SparkSession, fits: Sequence[Fit], digits: int = 3) -> Da
 
 
 def subset_models(fit_one, formula: Formula, df: DataFrame, subsets: Mapping[str, Column]) -> list[Fit]:
-    """The same model on several parts of the table; parts may overlap."""
+    """The same model on several parts of the table; parts may overlap. Logistic models are fitted together."""
+    if fit_one is logit:
+        response = F.col(formula.response)
+        fits = logits(df, formula.terms, {name: (cond, response) for name, cond in subsets.items()})
+        return [replace(f, formula=formula) for f in fits]
     return [fit_one(formula, df.filter(cond), name=name) for name, cond in subsets.items()]
 
 
@@ -434,8 +579,4 @@ def coef_interval_data(spark: SparkSession, fits: Sequence[Fit], coefs: Sequence
 
 def sequential_logits(df: DataFrame, terms: Sequence[str], steps: Mapping[str, tuple[Column, Column]]) -> list[Fit]:
     """Going on to each next level among those who reached the one before: {step: (at risk, goes on)}."""
-    fits = []
-    for name, (at_risk, goes_on) in steps.items():
-        reached = with_outcome(df.filter(at_risk), r_ifelse(goes_on, True, False))
-        fits.append(logit(Formula("outcome", tuple(terms)), reached, name))
-    return fits
+    return logits(df, terms, {name: (at_risk, r_ifelse(goes_on, True, False)) for name, (at_risk, goes_on) in steps.items()})

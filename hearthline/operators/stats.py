@@ -12,9 +12,10 @@ from hearthline.operators.skew import hot_groups, running_total
 
 
 def chisq_from_counts(counts: DataFrame, a: str, b: str, n: str = "n", correct: bool = False) -> DataFrame:
-    """χ² of a table of counts: statistic, df, n, min_expected, p and the exact p of a 2×2 table.
+    """χ² of a table of counts: statistic, df, n, min_expected, p and, where a count below 5 is expected, the exact p.
 
-    Cells without rows need not be listed. Windows run over the counts, not over the data.
+    Cells without rows need not be listed. Windows run over the counts, not over the data. The exact p is missing for tables
+    of more than `EXACT_CELLS` filled cells or of too many ways to fill them (`tails.exact_table_p`): there χ² stands alone.
     """
     by_a, by_b = Window.partitionBy(a), Window.partitionBy(b)
     cells = counts.filter(F.col(n) > 0).select(
@@ -43,9 +44,25 @@ def chisq_from_counts(counts: DataFrame, a: str, b: str, n: str = "n", correct:
     )
     exact = tails.exact_2x2_p_col(F.col("one.o"), F.col("one.r"), F.col("one.c"), F.col("n"))
     known = F.when(F.col("df") > 0, F.col("df"))
-    return out.select(
+    tests = out.select(
         "statistic", "df", "n", "min_expected", tails.chi2_p_col(F.col("statistic"), known).alias("p"), exact.alias("p_exact")
     )
+    return _with_exact_table(tests, counts, a, b, n)
+
+
+EXACT_CELLS = 100  # filled cells up to which a table is gathered into one row for the exact test
+
+
+def _with_exact_table(tests: DataFrame, counts: DataFrame, a: str, b: str, n: str) -> DataFrame:
+    """Fills `p_exact` of tables larger than 2×2 with a small expected count; no more than EXACT_CELLS cells meet in a row."""
+    filled = counts.filter(F.col(n) > 0)
+    few = filled.agg(F.count(F.lit(1)).alias("n")).scalar() <= EXACT_CELLS
+    cells = filled.filter(few).agg(F.collect_list(F.struct(
+        F.col(a).cast("string").alias("i"), F.col(b).cast("string").alias("j"), F.col(n).cast("long").alias("n"))).alias("cells"))
+    both = tests.join(F.broadcast(cells), F.lit(True))  # one row each
+    wanted = F.col("p_exact").isNull() & (F.col("df") > 1) & (F.col("min_expected") < 5) & (F.size("cells") > 0)
+    exact = tails.exact_table_p_col(F.when(wanted, F.col("cells")))
+    return both.select(*[c for c in tests.columns if c != "p_exact"], F.coalesce("p_exact", exact).alias("p_exact"))
 
 
 def chisq_test(df: DataFrame, a: str, b: str, correct: bool = True) -> DataFrame:

@@ -91,10 +91,13 @@ def _cell(n: Column, share: Column) -> Column:
 
 
 def cross_tab_p(df: DataFrame, row: str, col: str, missing: str = "ifany") -> DataFrame:
-    """Test behind a cross-tab: χ², or the exact test of a 2×2 table with an expected count below 5."""
+    """Test behind a cross-tab: χ², or the exact test where a count below 5 is expected. `test` names the one whose p it is;
+    a table too large for the exact test keeps that of χ², marked as `chi-squared, small counts`. A single line has no test."""
     test = chisq_from_counts(_counted(df, row, col, missing), "row", "col")
     p = F.coalesce("p_exact", "p")
-    return test.select("statistic", "df", "n", "min_expected", p.alias("p"), p_format(p).alias("p_text"))
+    kind = (F.when(p.isNull(), None).when(F.col("p_exact").isNotNull(), "exact").when(F.col("min_expected") < 5, "chi-squared, small counts")
+            .otherwise("chi-squared"))
+    return test.select("statistic", "df", "n", "min_expected", p.alias("p"), p_format(p).alias("p_text"), kind.alias("test"))
 
 
 def cross_tab_wide(df: DataFrame, row: str, col: str, levels: Sequence[str], percent: str = "row",

@@ -77,6 +77,41 @@ def test_logit(data):
     assert fit.se == pytest.approx(np.sqrt(np.diag(np.linalg.inv(h))), rel=1e-4)
 
 
+def test_logits_together(spark, data, monkeypatch):
+    """As many models at once as one at a time; parts overlap, one lacks a level, one has no rows, one answer is always yes."""
+    df = data[0]
+    parts = {"all": None, "no a": F.col("g") != "a", "low": F.col("x") < 0.4, "none": F.col("x") > 99}
+    calls, once = [], L._logit_sums
+    monkeypatch.setattr(L, "_logit_sums", lambda *a: calls.append(len(a[1])) or once(*a))
+    fits = L.logits(df, ["x", "g", "x:g"], {k: (c, F.col("z")) for k, c in parts.items()})
+    assert len(calls) < 15 and calls[0] == 4  # rounds, not rounds times models
+    for fit, cond in zip(fits[:3], list(parts.values())[:3]):
+        rows = df if cond is None else df.filter(cond)
+        alone = L.logit(Formula("outcome", ("x", "g", "x:g")), L.with_outcome(rows, F.col("z")))
+        want, got = dict(zip(alone.terms, zip(alone.estimate, alone.se))), dict(zip(fit.terms, zip(fit.estimate, fit.se)))
+        assert list(want) == list(got)
+        for term in want:
+            assert got[term] == pytest.approx(want[term], rel=1e-4, abs=1e-6)
+        assert fit.stats["n"] == alone.stats["n"] and fit.stats["converged"] == 1
+        for k in ("aic", "deviance", "null_deviance"):
+            assert fit.stats[k] == pytest.approx(alone.stats[k], rel=1e-8)
+    assert fits[3].stats["n"] == 0 and set(fits[3].estimate) == {None}
+
+
+def test_logits_odd_designs(spark, data):
+    df = data[0].withColumn("twice", F.col("x") * 2)
+    one, = L.logits(df, ["x", "twice"], {"m": (None, F.col("z"))})
+    alone = L.logit(Formula("outcome", ("x",)), L.with_outcome(df, F.col("z")))
+    assert one.estimate[2] is None and one.estimate[:2] == pytest.approx(alone.estimate, rel=1e-5)
+    bare, = L.logits(df, [], {"m": (F.col("x").isNotNull(), F.col("z"))})
+    share = float(np.mean(data[4]))
+    assert bare.estimate == pytest.approx([math.log(share / (1 - share))], rel=1e-8)
+    apart, = L.logits(df, ["x"], {"m": (None, F.col("x") > 0)})  # separable: estimates grow without end, and the fit says so or stops flat
+    assert apart.estimate[1] > 10
+    never, = L.logits(df, ["x"], {"m": (None, F.col("x") > 99)})
+    assert never.stats["null_deviance"] == 0 and never.estimate[0] < -10
+
+
 def test_tobit(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=2000)

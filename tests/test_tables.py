@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +90,49 @@ def test_exact_test_for_small_tables(spark):
     assert row.p == pytest.approx(0.4857142857, rel=1e-6) and row.min_expected == 2.0
 
 
+def all_tables(rows, cols):
+    """Every table with these margins, line by line."""
+    if not rows:
+        yield []
+        return
+    for line in itertools.product(*[range(min(rows[0], c) + 1) for c in cols]):
+        if sum(line) == rows[0]:
+            for rest in all_tables(rows[1:], [c - v for c, v in zip(cols, line)]):
+                yield [list(line), *rest]
+
+
+@pytest.mark.parametrize("table", [
+    [[3, 1], [1, 3]], [[1, 4], [6, 6], [6, 0]], [[3, 3, 0], [3, 2, 1], [0, 2, 0]], [[1, 3, 3], [4, 1, 2], [1, 1, 3]],
+    [[2, 0, 3, 3, 3], [3, 1, 0, 3, 0]], [[0, 0, 2], [2, 0, 1], [2, 0, 1], [2, 0, 2]], [[2, 0, 0], [0, 2, 0], [0, 0, 2]], [[0, 0], [3, 4]]])
+def test_exact_test_against_all_tables(table):
+    rows, cols = [sum(x) for x in table], [sum(x) for x in zip(*table)]
+    weight = lambda t: math.exp(-sum(math.lgamma(v + 1) for line in t for v in line))
+    seen, every = weight(table), [weight(t) for t in all_tables(rows, cols)]
+    want = sum(w for w in every if w <= seen * (1 + 1e-7)) / sum(every)
+    got = tails.exact_table_p(table)
+    assert got is None if 0 in rows else got == pytest.approx(want, abs=1e-8)
+
+
+def test_exact_test_published_and_bounded():
+    job = [[1, 2, 1, 0], [3, 3, 6, 1], [10, 10, 14, 9], [6, 7, 12, 11]]  # job satisfaction by income (Agresti 2002, p. 57)
+    assert tails.exact_table_p(job) == pytest.approx(0.7827, abs=5e-5)
+    assert tails.exact_table_p(job, paths=1000) is None
+    assert tails.exact_table_p([]) is None and tails.exact_table_p([[4, 5]]) is None
+
+
+def test_report_takes_the_exact_test_of_larger_tables(spark, monkeypatch):
+    small = expand(spark, {"a": (1, 4), "b": (6, 6), "c": (6, 0)})
+    row = TB.cross_tab_p(small, "r", "c").first()
+    assert row.test == "exact" and row.p == pytest.approx(0.019556564, abs=1e-8) and row.df == 2
+    row = TB.cross_tab_p(expand(spark, {"a": (10, 40), "b": (60, 60), "c": (60, 20)}), "r", "c").first()
+    assert row.test == "chi-squared"
+    monkeypatch.setattr(ST, "EXACT_CELLS", 3)  # too many cells: χ², and so it says
+    row = TB.cross_tab_p(small, "r", "c").first()
+    assert row.test == "chi-squared, small counts" and row.p == pytest.approx(math.exp(-row.statistic / 2))
+    empty = TB.cross_tab_p(small.filter("r = 'z'"), "r", "c").first()
+    assert empty.p is None and empty.test is None
+
+
 def test_chisq_with_empty_cell(spark):
     row = ST.chisq_test(expand(spark, {"a": (5, 0, 5), "b": (2, 8, 0)}), "r", "c").first()
     o, r, c, n = [[5, 0, 5], [2, 8, 0]], [10, 10], [7, 8, 5], 20
