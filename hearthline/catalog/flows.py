@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from hearthline.catalog import query, table
 from hearthline.catalog.scalars import BLOCK, line_block
 from hearthline.functions import recode as R
-from hearthline.operators import household as HH
+from hearthline.operators import household as HH, models as L
 from hearthline.operators.skew import hot_groups
 from hearthline.operators.tables import cross_tab
 from hearthline.session import stable
-from hearthline.plans import life_course, panel_a, panel_b
+from hearthline.plans import education, joint, life_course, panel_a, panel_b
 
 
 def study_a(spark, d, conditions, wealth, income):
@@ -119,3 +119,92 @@ def study_life_course(spark, d):
     people = stable(life_course.yearly_sequences(block.withColumns(states), "l_orderkey", points, 60, window=10))
     clusters = life_course.clustered_life_courses(people, "l_orderkey", 3)
     return life_course.cluster_profile(people, clusters, "l_orderkey")
+
+
+# --- reports --------------------------------------------------------------------------------
+
+
+def pupils(spark, d):
+    """Lines as people: half the quantity as years of schooling, three times the line number as those of the parent."""
+    return table(spark, d, "lineitem").select(
+        F.floor(F.col("l_quantity") / 2).cast("int").alias("years"), (F.col("l_linenumber") * 3).cast("int").alias("years_parent"),
+        F.col("l_extendedprice").alias("wealth"), F.col("l_returnflag").alias("job_parent"))
+
+
+_PUPILS = "SELECT CAST(floor(l_quantity / 2) AS INTEGER) AS years, CAST(l_linenumber * 3 AS INTEGER) AS years_parent, l_extendedprice AS wealth, l_returnflag AS job_parent FROM lineitem"
+
+
+@query(sql=f"""
+WITH p AS ({_PUPILS}), q AS (SELECT quantile_cont(wealth, 0.25) b1, quantile_cont(wealth, 0.5) b2, quantile_cont(wealth, 0.75) b3 FROM p),
+g AS (SELECT years, CASE WHEN years_parent BETWEEN 0 AND 5 THEN '1 < Primary' WHEN years_parent = 6 THEN '2 Primary' WHEN years_parent = 9 THEN '3 Junior High'
+      WHEN years_parent BETWEEN 12 AND 22 THEN '4 Senior High >' END AS diploma_parent,
+      CASE WHEN wealth <= b1 THEN '0-25%' WHEN wealth <= b2 THEN '25-50%' WHEN wealth <= b3 THEN '50-75%' ELSE '75-100%' END AS wealth_quant FROM p, q)
+SELECT diploma_parent, wealth_quant, count(*) AS n, round(avg(years), 8) AS mean FROM g WHERE diploma_parent IS NOT NULL GROUP BY 1, 2""")
+def education_curve(spark, d):
+    people = HH.quantile_bin(pupils(spark, d), "wealth", [0, 0.25, 0.5, 0.75, 1], ["0-25%", "25-50%", "50-75%", "75-100%"], out="wealth_quant")
+    out = education.schooling_curve(people, "years_parent", "wealth_quant", "years")
+    return out.select("diploma_parent", "wealth_quant", "n", F.round("mean", 8).alias("mean"))
+
+
+_LINEAR = """SELECT 'years' AS model, job_parent AS g, avg(years) AS b, count(*) AS n FROM p GROUP BY 2"""
+_STEP = """SELECT '{to}+' AS model, job_parent AS g, ln(count(*) FILTER (years >= {to}) / count(*) FILTER (years < {to})) AS b, count(*) AS n
+           FROM p WHERE years >= {low} GROUP BY 2"""
+
+
+@query(sql=f"WITH p AS ({_PUPILS}), m AS (" + " UNION ALL ".join([_LINEAR, *[_STEP.format(low=a, to=b) for a, b in ((12, 15), (9, 12), (6, 9))]]) + """),
+base AS (SELECT * FROM m WHERE g = 'A')
+SELECT model, '(Intercept)' AS term, round(b, 5) AS estimate FROM base
+UNION ALL SELECT m.model, 'job_parent' || m.g, round(m.b - base.b, 5) FROM m JOIN base USING (model) WHERE m.g <> 'A'""")
+def education_models(spark, d):
+    fits = education.schooling_models(pupils(spark, d), "years", ["job_parent"])
+    return L.tidy_all(spark, fits).select("model", "term", F.round("estimate", 5).alias("estimate"))
+
+
+def homes(spark, d):
+    families = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("tier"), F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice") / 2000).otherwise(0.0).alias("homevalue"),
+        (F.col("o_custkey") % 3).cast("string").alias("homes"), F.col("o_totalprice").alias("asset"))
+    couples = table(spark, d, "customer").select((F.col("c_acctbal") / 50).alias("homevalue"), (F.col("c_nationkey") % 3).cast("string").alias("homes"))
+    return families, couples
+
+
+_HOMES = """WITH f AS (SELECT o_orderpriority AS tier, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice / 2000 ELSE 0.0 END AS homevalue,
+                   CAST(o_custkey % 3 AS VARCHAR) AS homes, o_totalprice AS asset FROM orders),
+c AS (SELECT c_acctbal / 50 AS homevalue, CAST(c_nationkey % 3 AS VARCHAR) AS homes FROM customer),
+u AS (SELECT tier, homevalue, homes FROM f UNION ALL SELECT '0 capital', homevalue, homes FROM c) """
+
+
+@query(sql=_HOMES + """
+SELECT tier, count(*) AS n, round(avg(homevalue), 5) AS mean, round(stddev_samp(homevalue), 5) AS sd, round(quantile_cont(homevalue, 0.25), 8) AS q25,
+       round(median(homevalue), 8) AS q50, round(quantile_cont(homevalue, 0.75), 8) AS q75 FROM u WHERE homevalue > 0 GROUP BY 1""")
+def joint_home_values(spark, d):
+    families, couples = homes(spark, d)
+    out = joint.home_value_table(joint.joint_homes(families, couples, "0 capital", "tier", "homevalue", "homes"), "tier", "homevalue")
+    return out.select("tier", "n", *[F.round(c, 5).alias(c) for c in ("mean", "sd")], *[F.round(c, 8).alias(c) for c in ("q25", "q50", "q75")])
+
+
+@query(sql=_HOMES + """
+, r AS (SELECT tier, homes, homevalue::DOUBLE AS x FROM u WHERE homevalue > 0 AND homevalue <= 180),
+b AS (SELECT tier, homes, quantile_cont(x, 0.25) AS q25, median(x) AS q50, quantile_cont(x, 0.75) AS q75 FROM r GROUP BY 1, 2)
+SELECT tier, homes, round(q25, 8) AS q25, round(q50, 8) AS q50, round(q75, 8) AS q75, round(min(x) FILTER (x BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)), 8) AS low,
+       round(max(x) FILTER (x BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)), 8) AS high,
+       CAST(count(*) FILTER (NOT x BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)) AS BIGINT) AS n_outliers
+FROM r JOIN b USING (tier, homes) GROUP BY tier, homes, q25, q50, q75""")
+def joint_home_boxes(spark, d):
+    families, couples = homes(spark, d)
+    both = joint.joint_homes(families, couples, "0 capital", "tier", "homevalue", "homes")
+    out = joint.home_value_boxes(both, "tier", "homevalue", "homes")
+    return out.select("tier", "homes", *[F.round(c, 8).alias(c) for c in ("q25", "q50", "q75", "low", "high")], "n_outliers")
+
+
+@query(sql=_HOMES + """
+, t AS (SELECT CASE WHEN tier IN ('1-URGENT', '2-HIGH') THEN '1 large' WHEN tier IN ('3-MEDIUM', '4-NOT SPECIFIED') THEN '2 middle' ELSE tier END AS tier, homevalue, asset FROM f)
+SELECT tier, count(*) AS num, 'home' AS type, round(median(homevalue) * 10000, 4) AS metric FROM t GROUP BY 1
+UNION ALL SELECT tier, count(*), 'net', round(median(asset), 4) FROM t GROUP BY 1
+UNION ALL SELECT '0 capital', count(*), 'home', round(median(homevalue) * 16700, 4) FROM c UNION ALL SELECT '0 capital', count(*), 'net', NULL FROM c""")
+def joint_wealth_by_tier(spark, d):
+    families, couples = homes(spark, d)
+    tiers = {"1-URGENT": "1 large", "2-HIGH": "1 large", "3-MEDIUM": "2 middle", "4-NOT SPECIFIED": "2 middle"}
+    out = joint.wealth_by_tier(families, couples, "tier", tiers, "0 capital", {"home": ("homevalue", 10000.0), "net": ("asset", 1.0)},
+                               {"home": ("homevalue", 16700.0)})
+    return out.select("tier", "num", "type", F.round("metric", 4).alias("metric"))

@@ -1,7 +1,10 @@
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from hearthline.functions import codebook
-from hearthline.plans import panel_a, panel_b
+from hearthline.plans import education, joint, panel_a, panel_b
 
 
 def test_job_at_forty(spark):
@@ -60,3 +63,33 @@ def test_completed_samples(spark):
     couples = spark.createDataFrame(kinds, "pid long, key_high string, years double")
     got = {r.pid: r.key_high for r in panel_b.completed(couples, "pid", ["key_high", "years"], ["key_high"], maxit=1).collect()}
     assert all(got[i] == {"TRUE": True, "FALSE": False, "dropout": None}[k] for i, k, _ in kinds if k)
+
+
+def test_education_report(spark):
+    rows = [(y, f, g) for y in (0, 6, 9, 12, 15, 16, None) for f in (3, 6, 9, 10, 14) for g in ("r", "u")]
+    people = spark.createDataFrame(rows, "years int, father int, place string")
+    curve = {(r["diploma_parent"], r["place"]): r for r in education.schooling_curve(people, "father", "place", "years").collect()}
+    assert len(curve) == 8 and curve["4 Senior High >", "u"]["n"] == 7  # ten years stand for no diploma; unknown years count among n alone
+    assert curve["2 Primary", "r"]["mean"] == pytest.approx(58 / 6)
+    fits = education.schooling_models(people, "years", ["place"])
+    assert [f.name for f in fits] == ["years", "15+", "12+", "9+"] and [f.stats["n"] for f in fits] == [60, 30, 40, 50]
+    assert fits[1].estimate == pytest.approx([math.log(2), 0], abs=1e-6)  # of three that reach 12 years two go on
+    table = {r["term"]: r for r in education.education_report(people, "years", ["place"]).collect()}
+    assert table["n"]["12+"] == "40.000" and table["(Intercept)"]["15+"].startswith("0.693")
+
+
+def test_joint_report(spark):
+    families = spark.createDataFrame([("a", 10.0, "0", 5.0), ("b", 20.0, "1", 7.0), ("c", 0.0, "1", None), (None, 500.0, "1", 1.0)],
+                                     "tier string, value double, homes string, net double")
+    couples = spark.createDataFrame([(30.0, "0"), (50.0, None)], "value double, homes string")
+    both = joint.joint_homes(families, couples, "city", "tier", "value", "homes")
+    table = {r["tier"]: r for r in joint.home_value_table(both, "tier", "value").collect()}
+    assert both.count() == 6 and set(table) == {"a", "b", "city", None} and table["city"]["mean"] == 40
+    boxes = {(r["tier"], r["homes"]): r for r in joint.home_value_boxes(both, "tier", "value", "homes").collect()}
+    assert set(boxes) == {("a", "0"), ("b", "1"), ("city", "0"), ("city", None)}  # beyond the axis: dropped first
+    out = {(r["tier"], r["type"]): r for r in joint.wealth_by_tier(
+        families, couples, "tier", {"b": "bc", "c": "bc"}, "city", {"home": ("value", 2.0), "net": ("net", 1.0)}, {"home": ("value", 3.0)}).collect()}
+    assert out["bc", "home"]["metric"] == 20 and out["bc", "net"]["metric"] == 7 and out["bc", "net"]["num"] == 2
+    assert out["city", "home"]["metric"] == 120 and out["city", "net"]["metric"] is None and out[None, "home"]["metric"] == 1000
+    empty = joint.wealth_by_tier(families.filter("false"), couples.filter("false"), "tier", {"b": "bc"}, "city", {"home": ("value", 2.0)}, {"home": ("value", 3.0)}).collect()
+    assert [(r["tier"], r["num"], r["metric"]) for r in empty] == [("city", 0, None)]
