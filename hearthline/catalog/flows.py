@@ -63,6 +63,19 @@ def ownership_by_parental_wealth(spark, d):
     return cross_tab(binned, "bin", "owner").select("row", "col", "n", F.round("share", 8).alias("share"))
 
 
+@query()
+def study_parents_children_completed(spark, d):
+    """The sample of the report above with every answer: who does not own a home has no home value, what is missing is filled by
+    chained forests with their default rounds, and wealth is the sum of completed parts."""
+    sample = study_a(spark, d, [F.col("age").between(18, 22), F.col("sibling_rank") <= 3], [], [])
+    # the tables have no missing answers: every fifth household and every seventh child gives none
+    asked = stable(sample.select(
+        "childid", "owner", F.col("sibling_n").cast("double").alias("siblings"),
+        F.when(F.col("hhid") % 5 != 0, F.col("asset_parent")).alias("asset"), F.when(F.col("childid") % 7 != 0, F.col("homevalue")).alias("homevalue")))
+    full = panel_a.completed(asked, "childid", ["asset", "homevalue", "siblings"], {"homevalue": F.col("owner")}, {"wealth": ["asset", "homevalue"]})
+    return full.select("childid", "owner", "siblings", "asset", "homevalue", "wealth")
+
+
 @query(sql=BLOCK + """
 SELECT l_orderkey, 10000 * CAST(coalesce(CASE WHEN qty1 IS NOT NULL THEN CASE WHEN price1 / 64 >= 1000 THEN price1 / 64 / 10000 WHEN price1 / 64 > 500 THEN 500.0 ELSE price1 / 64 END ELSE qty6 END, 0)
    + coalesce(CASE WHEN qty2 IS NOT NULL THEN CASE WHEN price2 / 64 >= 1000 THEN price2 / 64 / 10000 WHEN price2 / 64 > 500 THEN 500.0 ELSE price2 / 64 END END, 0) AS DOUBLE) AS asset_home,

@@ -19,6 +19,22 @@ def study_life_course(spark, con, folder, df):
     assert (rows.groupby("pos")["n"].sum() == orders).all()
 
 
+def study_parents_children_completed(spark, con, folder, df):
+    con.register("completed", df.toPandas())
+    base = """WITH w AS (SELECT o_custkey AS wid, sum(l_extendedprice * l_discount) AS asset FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+    m AS (SELECT o_custkey AS hhid, o_orderkey AS id, 2018 - year(o_orderdate) AS age, o_orderstatus = 'F' AS owns, o_totalprice AS v, w.asset AS a FROM orders LEFT JOIN w ON wid = o_custkey),
+    r AS (SELECT *, row_number() OVER (PARTITION BY hhid ORDER BY age DESC, id) AS place FROM m),
+    s AS (SELECT *, hhid % 5 <> 0 AS told, id % 7 <> 0 AS told_v FROM r WHERE age BETWEEN 18 AND 22 AND place <= 3) """
+    n, both = con.sql(base + "SELECT count(*), count(c.childid) FROM s FULL JOIN completed c ON c.childid = s.id").fetchall()[0]
+    assert n == both > 0
+    changed = con.sql(base + """SELECT count(*) FROM s JOIN completed c ON c.childid = s.id WHERE (told AND abs(c.asset - a) > 1e-6 * abs(a))
+        OR (NOT owns AND c.homevalue <> 0) OR (owns AND told_v AND c.homevalue <> v) OR abs(c.wealth - c.asset - c.homevalue) > 1e-6 * c.wealth OR c.wealth IS NULL""").fetchall()[0][0]
+    assert changed == 0  # answers stay, nobody without a home has its value, nothing is missing
+    strange = con.sql(base + """SELECT count(*) FROM s JOIN completed c ON c.childid = s.id WHERE (NOT told AND round(c.asset, 4) NOT IN (SELECT round(a, 4) FROM s WHERE told AND a IS NOT NULL))
+        OR (owns AND NOT told_v AND c.homevalue NOT IN (SELECT CASE WHEN owns THEN v ELSE 0.0 END FROM s WHERE told_v OR NOT owns))""").fetchall()[0][0]
+    assert strange == 0  # filled values are those of a donor
+
+
 def strata_summary(spark, con, folder, df):
     rows = {(r["variable"], r["label"]): r for r in df.collect()}
     for stratum, where in (("overall", "true"), ("F", "o_orderstatus = 'F'"), ("O", "o_orderstatus = 'O'"), ("P", "o_orderstatus = 'P'")):
@@ -170,5 +186,5 @@ def cluster_stability(spark, con, folder, df):
     assert {r["cluster"] for r in rows} == {0, 1, 2} and all(0 < r["mean_jaccard"] <= 1 and r["dissolved"] + r["recovered"] <= 10 for r in rows)
 
 
-INVARIANTS = {f.__name__: f for f in (study_life_course, strata_summary, mcar, model_table, coef_interval, tobit, mimic, om_distance, om_distance_all, om_kmeans, choose_k, choose_k_all, cluster_stability)}
+INVARIANTS = {f.__name__: f for f in (study_life_course, study_parents_children_completed, strata_summary, mcar, model_table, coef_interval, tobit, mimic, om_distance, om_distance_all, om_kmeans, choose_k, choose_k_all, cluster_stability)}
 INVARIANTS |= {"impute_pmm": imputed_five, "impute_rf": imputed}
