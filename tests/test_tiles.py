@@ -144,3 +144,19 @@ def test_nothing_grows_with_the_sequences_but_tables(spark, costs, monkeypatch):
         monkeypatch.setattr(W, "summed", kept)
         seen[n] = {len(s) for s in sizes}
     assert seen[40] == seen[160] and max(seen[40]) <= 15
+
+
+def test_distances_in_place_are_those_of_the_plain_recursion():
+    r = np.random.default_rng(3)
+    cost = r.random((4, 4))
+    for la, lb in ((0, 3), (5, 0), (4, 6), (7, 7)):
+        a, b = r.integers(0, 4, (5, la)), r.integers(0, 4, (3, lb))
+        want = np.zeros((5, 3))
+        for x in range(5):
+            for y in range(3):
+                m = [[(i + j) * 0.7 for j in range(lb + 1)] for i in range(la + 1)]
+                for i in range(la):
+                    for j in range(lb):
+                        m[i + 1][j + 1] = min(m[i][j] + cost[a[x, i], b[y, j]], m[i][j + 1] + 0.7, m[i + 1][j] + 0.7)
+                want[x, y] = m[la][lb]
+        assert Q.optimal_matching(a, b, cost, 0.7) == pytest.approx(want)
