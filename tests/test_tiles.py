@@ -146,6 +146,21 @@ def test_nothing_grows_with_the_sequences_but_tables(spark, costs, monkeypatch):
     assert seen[40] == seen[160] and max(seen[40]) <= 15
 
 
+def test_runs_at_rest_leave_the_passes(tiled, monkeypatch):
+    """A run that has come to rest has no column in later products, and a round is two products without a pass for the centres' norms."""
+    kept, widths = W.product, []
+    monkeypatch.setattr(W, "product", lambda t, v, views, up: widths.append(max(x[2] for x in views)) or kept(t, v, views, up))
+    fits = [W.Fit(1, 1), W.Fit(3, 1), W.Fit(3, 2)]
+    base = W.prepared(tiled, ["n"], tiled.rows, 0)
+    state = W.lloyd(tiled, base, fits, 100)
+    assert all(f.settled for f in fits) and widths[0] == 7 and widths[-1] < 7 and widths == sorted(widths, reverse=True)
+    names, n, d = matrix(tiled)
+    found = {r.i: r for r in W.members(state, {"one": 0, "a": 1, "b": 2}).collect()}
+    for c, f in (("one", fits[0]), ("a", fits[1]), ("b", fits[2])):
+        want, cost = plain_lloyd(d * np.sqrt(n), n, f.k, f.seed)
+        assert [found[i][c] for i in range(len(n))] == want.tolist() and f.cost == pytest.approx(cost)
+
+
 def test_distances_in_place_are_those_of_the_plain_recursion():
     r = np.random.default_rng(3)
     cost = r.random((4, 4))
