@@ -93,3 +93,15 @@ def test_joint_report(spark):
     assert out["city", "home"]["metric"] == 120 and out["city", "net"]["metric"] is None and out[None, "home"]["metric"] == 1000
     empty = joint.wealth_by_tier(families.filter("false"), couples.filter("false"), "tier", {"b": "bc"}, "city", {"home": ("value", 2.0)}, {"home": ("value", 3.0)}).collect()
     assert [(r["tier"], r["num"], r["metric"]) for r in empty] == [("city", 0, None)]
+
+
+def test_profile_of_clusters_that_hold_their_sequences(spark):
+    """The same counts with and without a join by id; with the sequences there is no join of people in the plan."""
+    from hearthline.plans import life_course
+
+    people = spark.createDataFrame([(1, ["a", None]), (2, ["a", "b"]), (3, ["a", "b"]), (4, ["b", "b"]), (None, ["a", "a"])], "id int, seq array<string>")
+    clusters = people.withColumn("cluster", (F.col("seq")[0] == "b").cast("int"))
+    held, joined = life_course.cluster_profile(people, clusters, "id"), life_course.cluster_profile(people, clusters.drop("seq"), "id")
+    want = {(0, 0, "a", 3, 1.0), (0, 1, "*", 1, 1 / 3), (0, 1, "b", 2, 2 / 3), (1, 0, "b", 1, 1.0), (1, 1, "b", 1, 1.0)}
+    assert {(r.cluster, r.pos, r.state, r.n, r.share) for r in held.collect()} == want == {(r.cluster, r.pos, r.state, r.n, r.share) for r in joined.collect()}
+    assert held.columns == joined.columns
