@@ -175,3 +175,8 @@ def test_distances_in_place_are_those_of_the_plain_recursion():
                         m[i + 1][j + 1] = min(m[i][j] + cost[a[x, i], b[y, j]], m[i][j + 1] + 0.7, m[i + 1][j] + 0.7)
                 want[x, y] = m[la][lb]
         assert Q.optimal_matching(a, b, cost, 0.7) == pytest.approx(want)
+
+
+def test_of_equal_runs_the_first_is_taken():
+    fits = [W.Fit(3, i, cost=c) for i, c in enumerate((5.0, 3.0 + 1e-12, 3.0, 4.0))]
+    assert W._best(fits, range(4)) == 1 and W._best(fits, [0, 3]) == 3 and W._best([W.Fit(1, 1)], [0]) == 0
