@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ CELLS = 1 << 20  # of the table of word frequencies; its size doesn't grow with
 CHUNKS = 64
 PARTS = 64
 HOT = 1024  # words counted more often are looked up together with a second word
-KEEP = 24  # earlier candidates that an entry passes on, those of the nearest bit patterns; just one if that is close
+KEEP = 256  # earlier candidates that an entry passes on at most, those of the nearest bit patterns
+RISK = 0.1  # they end where it is less likely than this that none of them matches
 LONG = 192  # words from which a line's entries have a pattern of WIDE bits; 128 bits say little about longer lines
+PATTERN = 128
 WIDE = 1024
 PAIRS = 500_000  # pairs that a task holds before it drops those that no line passes on
 SENT = 400_000  # entries that a task gathers before it sends them
@@ -53,6 +56,13 @@ class Lines:
         """128 bits that name each line's set."""
         return self.sums(mix(self.token)), self.sums(mix(self.token + STRONG))
 
+    def pattern(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each line's set; those of two lines differ in no more bits than the sets in words."""
+        bit = (mix(self.token ^ STRONG) >> np.uint64(57)).astype(np.uint64)
+        shifted = np.uint64(1) << (bit & np.uint64(63))
+        low, high = (np.bitwise_xor.reduceat(np.where(bit < 64 if k == 0 else bit >= 64, shifted, np.uint64(0)), self.ptr[:-1]) for k in (0, 1))
+        return low, high
+
 
 def lines_of(texts: pa.Array, splitter: Splitter) -> Iterator[Lines]:
     data, offsets = buffers(texts)
@@ -105,6 +115,12 @@ def census(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, counts = Splitter(), np.zeros(CELLS, np.int64)
+        held: list[np.ndarray] = []
+
+        def add(least: int) -> None:
+            if sum(map(len, held)) > least:
+                counts[:] += np.bincount(np.concatenate(held), minlength=CELLS)
+                held.clear()
 
         def sent(**columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
@@ -114,10 +130,12 @@ def census(rows: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 for lines in lines_of(part.column("text"), splitter):
                     # a word counts once for each line that holds it
-                    counts += np.bincount((lines.token >> np.uint64(24)).astype(np.int64), minlength=CELLS)
+                    held.append((lines.token >> np.uint64(24)).astype(np.int64))
+                    add(CELLS)
                     first, second = lines.names()
                     own = pa.array(lines.row)
                     yield sent(name=pa.array(first.view(np.int64)), more=pa.array(second.view(np.int64)), doc_id=part.column("doc_id").take(own), text_hash=part.column("text_hash").take(own), number=pa.array(lines.number))
+        add(0)
         pieces = chunks_of(counts)
         yield sent(**dict(zip(pieces.schema.names, pieces.columns)))
 
@@ -148,13 +166,19 @@ def required(size: np.ndarray, threshold: float) -> np.ndarray:
 FIELDS = [("key", np.uint32), ("name", np.uint64), ("size", np.uint32), ("at", np.uint8), ("before", np.uint64), ("between", np.uint64), ("doc", np.int64), ("line", np.uint32), ("bits0", np.uint64), ("bits1", np.uint64)]
 
 
-def encoded(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+WIDTH = {"before": 5, "between": 5}  # bytes sent of a field, if not all
+
+
+def encoded(values: np.ndarray, width: int | None = None) -> bytes:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T[:width]).tobytes()
 
 
-def decoded(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+def decoded(data: bytes, kind, width: int | None = None) -> np.ndarray:
+    whole = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8).reshape(width or whole, -1)
+    out = np.zeros((planes.shape[1], whole), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view(kind).ravel()
 
 
 @dataclass
@@ -213,9 +237,7 @@ def entries(lines: Lines, doc: np.ndarray, counts: np.ndarray, threshold: float)
     """The index entries of lines, one for each key; `wide` has the patterns of the entries of LONG lines only."""
     first, _ = lines.names()
     size = np.diff(lines.ptr)
-    bit = (mix(lines.token ^ STRONG) >> np.uint64(57)).astype(np.uint64)
-    shifted = np.uint64(1) << (bit & np.uint64(63))
-    low, high = (np.bitwise_xor.reduceat(np.where(bit < 64 if k == 0 else bit >= 64, shifted, np.uint64(0)), lines.ptr[:-1]) for k in (0, 1))
+    low, high = lines.pattern()
     own = keys(lines, counts, threshold)
     i = own.line
     long = np.flatnonzero(size >= LONG)
@@ -231,6 +253,18 @@ def entries(lines: Lines, doc: np.ndarray, counts: np.ndarray, threshold: float)
     }
 
 
+def new_lines(lines: Lines, doc: np.ndarray, earliest: dict[int, tuple[int, int]]) -> np.ndarray:
+    """Which lines have no copy before them among these lines and the earlier ones of this task, whose places `earliest` has."""
+    out = []
+    for i, place in enumerate(zip(lines.names()[0].tolist(), doc[lines.row].tolist(), lines.number.tolist())):
+        name, at = place[0], place[1:]
+        if (old := earliest.get(name)) is None or at < old:
+            if old is not None or len(earliest) < 1_000_000:  # copies sent again are told apart later
+                earliest[name] = at
+            out.append(i)
+    return np.array(out, np.int64)
+
+
 def indexed(rows: DataFrame, counts: np.ndarray, threshold: float, buckets: int) -> DataFrame:
     """bucket and packed entries of all lines."""
     shared = rows.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
@@ -238,7 +272,7 @@ def indexed(rows: DataFrame, counts: np.ndarray, threshold: float, buckets: int)
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, table = Splitter(), shared.value.astype(np.int64)
         held: list[dict[str, np.ndarray]] = []
-        total = 0
+        total, earliest = 0, {}
 
         def send() -> pa.RecordBatch:
             whole = {k: np.concatenate([h[k] for h in held]) for k in [*(k for k, _ in FIELDS), "wide"]}
@@ -246,7 +280,7 @@ def indexed(rows: DataFrame, counts: np.ndarray, threshold: float, buckets: int)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(edge))
-            columns = {k: pa.array([encoded(whole[k][order[edge[b] : edge[b + 1]]]) for b in used], pa.binary()) for k, _ in FIELDS}
+            columns = {k: pa.array([encoded(whole[k][order[edge[b] : edge[b + 1]]], WIDTH.get(k)) for b in used], pa.binary()) for k, _ in FIELDS}
             long = whole["size"] >= LONG
             place = np.cumsum(long) - 1
             wide = []
@@ -260,6 +294,9 @@ def indexed(rows: DataFrame, counts: np.ndarray, threshold: float, buckets: int)
             for part in slices(batch, "text"):
                 doc = np.asarray(part.column("doc_id").fill_null(LAST))
                 for lines in lines_of(part.column("text"), splitter):
+                    lines = lines.only(new_lines(lines, doc, earliest))
+                    if not len(lines.row):
+                        continue
                     held.append(entries(lines, doc, table, threshold))
                     total += len(held[-1]["key"])
                     if total > SENT:
@@ -272,11 +309,12 @@ def indexed(rows: DataFrame, counts: np.ndarray, threshold: float, buckets: int)
 
 
 def candidates(index: DataFrame, threshold: float, keep: int) -> DataFrame:
-    """later, earlier (names of lines), apart (differing bits) and more (whether some were held back): pairs that pass the length and
-    positional filters and whose bit patterns allow the overlap, each under the first key that they share, at most `keep` for each entry."""
+    """later, earlier (names of lines), later_doc, earlier_doc (of the first occurrences) and more (whether some were held back): pairs that pass the length and
+    positional filters and whose bit patterns allow the overlap, each under the first key that they share, as many for each entry as RISK and `keep` ask for."""
+    chance = chances()
 
     def search(table: pa.Table) -> pa.Table:
-        x = {k: np.concatenate([decoded(v, kind) for v in table[k].to_pylist()]) for k, kind in FIELDS}
+        x = {k: np.concatenate([decoded(v, kind, WIDTH.get(k)) for v in table[k].to_pylist()]) for k, kind in FIELDS}
         wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(-1, WIDE // 64)
         long = np.cumsum(x["size"] >= LONG) - 1
         # of the entries of one line and key the earliest occurrence
@@ -328,56 +366,79 @@ def candidates(index: DataFrame, threshold: float, keep: int) -> DataFrame:
             held += len(found[-1][0])
             if held > room:
                 # one more than can be passed on is enough to know that some are held back
-                best, number = nearest_first(found)
-                found = [tuple(v[number <= keep] for v in best)]
+                best, number, passed = nearest_first(found, chance, size, keep)
+                first = number == 0
+                found = [tuple(v[passed | np.append(False, passed[:-1]) & ~first] for v in best)]
                 held = len(found[0][0])
                 room = max(PAIRS, 2 * held)
         if not found:
             return NONE
-        (late, early, d, most), number = nearest_first(found)
+        (late, early, _, _), number, sure = nearest_first(found, chance, size, keep)
         start = np.flatnonzero(number == 0)
-        count = np.diff(np.append(start, len(late)))
-        # half of the bits that may differ differ: next to certainly a match
-        close = np.repeat(2 * d[start] <= most[start], count)
-        limit = np.where(close, 1, keep)
-        sure, more = number < limit, np.repeat(count, count) > limit
-        return pa.table({"later": name[late[sure]].view(np.int64), "earlier": name[early[sure]].view(np.int64), "apart": d[sure].astype(np.int32), "more": more[sure]})
+        more = np.repeat(np.logical_or.reduceat(~sure, start), np.diff(np.append(start, len(late))))
+        late, early = late[sure], early[sure]
+        return pa.table({"later": name[late].view(np.int64), "earlier": name[early].view(np.int64), "later_doc": doc[late], "earlier_doc": doc[early], "more": more[sure]})
 
-    pairs = index.groupBy("bucket").applyInArrow(search, "later long, earlier long, apart int, more boolean")
-    return pairs.groupBy("later", "earlier").agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
+    pairs = index.groupBy("bucket").applyInArrow(search, "later long, earlier long, later_doc long, earlier_doc long, more boolean")
+    return pairs.groupBy("later", "earlier").agg(*[F.min(c).alias(c) for c in ("later_doc", "earlier_doc")], F.max("more").alias("more"))
 
 
-def nearest_first(found: list[tuple[np.ndarray, ...]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Pairs (later, earlier, apart, most) by later line, the nearest first, and each one's number among its line's, from 0."""
+@cache
+def chances() -> np.ndarray:
+    """For two patterns of 128 bits, by the bits that differ and the most words that may: how likely no more words differ,
+    if any number of them is as likely as any other."""
+    likely = np.zeros((2 * PATTERN + 1, PATTERN + 1))  # of so many differing bits, by differing words
+    likely[0, 0] = 1
+    bits = np.arange(PATTERN + 1)
+    for n in range(2 * PATTERN):
+        likely[n + 1, 1:] = likely[n, :-1] * (1 - bits[:-1] / PATTERN)
+        likely[n + 1, :-1] += likely[n, 1:] * (bits[1:] / PATTERN)
+    return (np.cumsum(likely, 0) / np.maximum(likely.sum(0), 1e-300)).T
+
+
+def nearest_first(found: list[tuple[np.ndarray, ...]], chance: np.ndarray, size: np.ndarray, keep: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Pairs (later, earlier, apart, most) by later line, the nearest first, each one's number among its line's, from 0, and whether it is passed on."""
     late, early, apart, most = (np.concatenate(v) for v in zip(*found))
-    order = np.lexsort((early, apart, late))
+    # in wide patterns, half of the bits that may differ differ: next to certainly a match
+    wide = np.minimum(size[late], size[early]) >= LONG
+    match = np.where(wide, 2 * apart <= most, chance[np.minimum(apart, PATTERN), np.minimum(most, 2 * PATTERN)])
+    order = np.lexsort((early, -match, late))
     late = late[order]
     start = np.flatnonzero(np.append(True, late[1:] != late[:-1])) if len(late) else np.zeros(0, np.int64)
-    number = np.arange(len(late)) - np.repeat(start, np.diff(np.append(start, len(late))))
-    return [late, early[order], apart[order], most[order]], number
+    count = np.diff(np.append(start, len(late)))
+    number = np.arange(len(late)) - np.repeat(start, count)
+    none = np.append(0, np.cumsum(np.log1p(-np.minimum(match[order], 1 - 1e-6))))[:-1]  # of those before it matches
+    passed = (none - np.repeat(none[start], count) > np.log(RISK)) & (number < keep)
+    return [late, early[order], apart[order], most[order]], number, passed
 
 
-NONE = pa.table({"later": pa.array([], pa.int64()), "earlier": pa.array([], pa.int64()), "apart": pa.array([], pa.int32()), "more": pa.array([], pa.bool_())})
+NONE = pa.table({c: pa.array([], pa.int64()) for c in ("later", "earlier", "later_doc", "earlier_doc")} | {"more": pa.array([], pa.bool_())})
 
 
-def sets_of(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """name and packed words of the lines so named, once each, read from the texts again. Others may come along."""
-    shared = rows.sparkSession.sparkContext.broadcast(name_table(names) > 0)
+def sets_of(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """name and packed words of the lines so named, once each, read again from the texts with the given id (`name`, `doc`). Others may come along."""
+    shared = rows.sparkSession.sparkContext.broadcast((name_table(named.select("doc")) > 0, name_table(named.select("name")) > 0))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, seen = Splitter(), set()
+        docs, names = shared.value
+
+        def wanted(cells: np.ndarray, values: np.ndarray) -> np.ndarray:
+            return np.flatnonzero(cells[(mix(values.view(np.uint64)) >> np.uint64(44)).astype(np.int64)])
+
         for batch in batches:
+            batch = batch.take(pa.array(wanted(docs, np.asarray(batch.column("doc_id").fill_null(LAST)))))
             for part in slices(batch, "text"):
                 for lines in lines_of(part.column("text"), splitter):
                     first, _ = lines.names()
-                    own = np.flatnonzero(shared.value[(mix(first) >> np.uint64(44)).astype(np.int64)])
+                    own = wanted(names, first)
                     _, once = np.unique(first[own], return_index=True)
                     own = [i for i in own[once] if first[i] not in seen]
                     if len(seen) < 1_000_000:
                         seen.update(first[own])
                     yield pa.RecordBatch.from_pydict({"name": first[own].view(np.int64), "words": pa.array([lines.token[lines.ptr[i] : lines.ptr[i + 1]].tobytes() for i in own], pa.binary())})
 
-    return rows.select("text").mapInArrow(gather, "name long, words binary").groupBy("name").agg(F.first("words").alias("words"))
+    return rows.select("doc_id", "text").mapInArrow(gather, "name long, words binary").groupBy("name").agg(F.first("words").alias("words"))
 
 
 def verified(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -395,14 +456,8 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("later", "earlier", "a", "b").mapInArrow(verify, "later long, earlier long")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose Jaccard similarity reaches the threshold."""
-    both = pairs.join(sets.select(F.col("name").alias("earlier"), F.col("words").alias("a")), "earlier").join(sets.select(F.col("name").alias("later"), F.col("words").alias("b")), "later")
-    return verified(both, threshold)
-
-
 def keyed(rows: DataFrame, counts: np.ndarray, threshold: float, wanted: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """key, name, size, words, before and between of the entries of lines, given by their texts (`text`) or by their `words`;
+    """key, name, size, words, before, between and bit pattern of the entries of lines, given by their texts (`text`) or by their `words`;
     `wanted` are tables in which the cells of the wanted lines' keys and words are not 0."""
     by = rows.columns[0]
     shared = rows.sparkSession.sparkContext.broadcast((np.minimum(counts, (1 << 32) - 1).astype(np.uint32), None if wanted is None else [x > 0 for x in wanted]))
@@ -421,24 +476,25 @@ def keyed(rows: DataFrame, counts: np.ndarray, threshold: float, wanted: tuple[n
                         continue
                     own = keys(lines, table, threshold)
                     names, size = lines.names()[0].view(np.int64), np.diff(lines.ptr)
+                    low, high = (x.view(np.int64) for x in lines.pattern())
                     for j in np.flatnonzero(cells[0][own.key >> np.uint32(12)]) if cells is not None else range(len(own.key)):
                         i, key = own.line[j], int(own.key[j])
                         if (key, int(names[i])) in seen:
                             continue
                         if len(seen) < 1_000_000:  # others are found alike later
                             seen.add((key, int(names[i])))
-                        sent.append((key, int(names[i]), int(size[i]), lines.token[lines.ptr[i] : lines.ptr[i + 1]].tobytes(), int(own.before[j].view(np.int64)), int(own.between[j].view(np.int64))))
+                        sent.append((key, int(names[i]), int(size[i]), lines.token[lines.ptr[i] : lines.ptr[i + 1]].tobytes(), int(own.before[j].view(np.int64)), int(own.between[j].view(np.int64)), int(low[i]), int(high[i])))
                         if len(sent) >= SENT_WORDS:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*sent), ARROW_KEYED)], schema=ARROW_KEYED)
                             sent.clear()
         if sent:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*sent), ARROW_KEYED)], schema=ARROW_KEYED)
 
-    return rows.select(by).mapInArrow(index, "key long, name long, size int, words binary, before long, between long")
+    return rows.select(by).mapInArrow(index, "key long, name long, size int, words binary, before long, between long, bits0 long, bits1 long")
 
 
 SENT_WORDS = 4096
-ARROW_KEYED = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("size", pa.int32()), ("words", pa.binary()), ("before", pa.int64()), ("between", pa.int64())])
+ARROW_KEYED = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("size", pa.int32()), ("words", pa.binary()), ("before", pa.int64()), ("between", pa.int64()), ("bits0", pa.int64()), ("bits1", pa.int64())])
 
 
 def sets_in(words: pa.Array) -> Iterator[Lines]:
@@ -470,18 +526,23 @@ def wanted_cells(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def earlier_matches(rows: DataFrame, lines: DataFrame, first: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
     """Of the given lines (name, words) those that an earlier line matches: all lines that share a key with one of them come with
-    their words, and each pair is verified where it is joined."""
-    place = [F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), F.col("number"), F.col("name").bitwiseXOR(F.lit(-(1 << 63))).alias("tie")]
-    at = first.select("name", F.struct(*place).alias("at"))
-    own = kept(keyed(lines.select("words"), counts, threshold).join(at, "name"), "open-keys")
-    others = keyed(rows.select("text"), counts, threshold, wanted_cells(own)).dropDuplicates(["key", "name"]).join(at, "name")
-    a, b = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "size", "words", "before", "between", "at")]) for x, s in ((others, "a"), (own, "b")))
-    fits = (F.col("at_a") < F.col("at_b")) & (F.col("name_a") != F.col("name_b"))
+    their words, each pair is verified where it is joined, and of those that match the earlier line is told by its first place."""
+    own = kept(keyed(lines.select("words"), counts, threshold), "open-keys")
+    others = keyed(rows.select("text"), counts, threshold, wanted_cells(own)).dropDuplicates(["key", "name"])
+    a, b = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "size", "words", "before", "between", "bits0", "bits1")]) for x, s in ((others, "a"), (own, "b")))
+    fits = F.col("name_a") != F.col("name_b")
     fits &= (F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - 1e-9)
     for c in ("before", "between"):
         fits &= (F.col(f"{c}_a") != F.col(f"{c}_b")) | (F.col(f"{c}_b") == 0)
+    both = F.col("size_a") + F.col("size_b")
+    most = both - 2 * F.ceil(both * F.lit(threshold / (1 + threshold)) - 1e-9)
+    fits &= F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))) + F.bit_count(F.col("bits1_a").bitwiseXOR(F.col("bits1_b"))) <= most
     pairs = a.join(b, "key").where(fits).select(F.col("name_b").alias("later"), F.col("name_a").alias("earlier"), F.col("words_a").alias("a"), F.col("words_b").alias("b"))
-    return verified(pairs, threshold).select("later").distinct()
+    pairs = kept(verified(pairs, threshold).distinct(), "open-pairs")
+    place = F.struct(F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), F.col("number"), F.col("name").bitwiseXOR(F.lit(-(1 << 63))).alias("tie"))
+    for c in ("later", "earlier"):
+        pairs = pairs.join(first.select(F.col("name").alias(c), place.alias(f"{c}_at")), c)
+    return pairs.where("earlier_at < later_at").select("later").distinct()
 
 
 def repeated_lines(rows: DataFrame, first: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
@@ -489,18 +550,15 @@ def repeated_lines(rows: DataFrame, first: DataFrame, counts: np.ndarray, thresh
     spark = rows.sparkSession
     index = indexed(rows, counts, threshold, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = kept(candidates(index, threshold, KEEP), "line-candidates")
-    named = pairs.select("later").unionByName(pairs.select(F.col("earlier").alias("later"))).distinct()
-    sets = kept(sets_of(rows, named), "line-sets")
-    # nearly always the nearest candidate settles it
-    nearest = pairs.groupBy("later").agg(F.min_by("earlier", F.struct("apart", "earlier")).alias("earlier"))
-    done = kept(similar(nearest, sets, threshold).select("later"), "line-matches")
-    rest = pairs.join(done, "later", "left_anti").join(nearest.select("later", F.col("earlier").alias("tried")), "later")
-    more = kept(similar(rest.where("earlier <> tried").select("later", "earlier"), sets, threshold).select("later").distinct(), "line-matches")
-    done = done.unionByName(more)
+    named = pairs.select(F.col("later").alias("name"), F.col("later_doc").alias("doc")).unionByName(pairs.select(F.col("earlier").alias("name"), F.col("earlier_doc").alias("doc")))
+    sets = sets_of(rows, named)
+    both = pairs.join(sets.select(F.col("name").alias("earlier"), F.col("words").alias("a")), "earlier").join(sets.select(F.col("name").alias("later"), F.col("words").alias("b")), "later")
+    done = kept(verified(both, threshold).select("later").distinct(), "line-matches")
     # lines of which candidates were held back, while none of those passed on matches
-    open_ = pairs.where("more").select("later").distinct().join(done, "later", "left_anti").withColumnRenamed("later", "name")
-    open_ = kept(open_.join(sets, "name").select("name", "words"), "open-lines")
+    open_ = pairs.where("more").select(F.col("later").alias("name"), F.col("later_doc").alias("doc")).join(done, F.col("name") == F.col("later"), "left_anti").distinct()
+    open_ = kept(open_, "open-names")
     if not open_.isEmpty():
+        open_ = kept(sets_of(rows, open_).join(open_, "name", "left_semi"), "open-lines")
         done = done.unionByName(kept(earlier_matches(rows, open_, first, counts, threshold), "line-matches"))
     return done.select(F.col("later").alias("name"))
 
@@ -529,7 +587,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     Equal sets are one line from the start. Words are ordered by rarity (counts over the whole corpus in a table of fixed size; any order gives
     exact results), each line enters the index under the words of its prefix, and length and positional filters and a
     128-bit pattern of the sets leave the candidates. Index buckets are hash ranges, hot words are split by a second word, and an entry hands
-    on only its nearest earlier candidates, in most cases enough; the few lines that these leave open are joined with all that share a key with them.
+    on its nearest earlier candidates until one next to certainly matches; the few lines that these leave open are joined with all that share a key with them.
 
     A column of `docs` named hl_lines or hl_removed, in whatever case, gives way to the new one; any other name may stand in `docs`.
     """

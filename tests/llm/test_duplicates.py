@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,34 @@ def test_pair_met_under_few_keys():
     shared = at[0].keys() & at[1].keys()
     first = [k for k in shared if all(x != y or not y for x, y in zip(at[0][k], at[1][k]))]
     assert len(shared) > 500 and 1 <= len(first) <= 16
+
+
+def test_candidates_of_many_near_copies(spark):
+    """Of a large group of near copies each line hands on few of the earlier ones, not two dozen under each key."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, edited(rng, base, rng.choice([1, 2, 3]))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = np.full(line_dedup.CELLS, 500, np.int64)
+    pairs = line_dedup.candidates(line_dedup.indexed(df, counts, 0.8, 4), 0.8, line_dedup.KEEP)
+    assert pairs.count() < 10 * len(rows)
+    assert cut(line_dedup.dedup_lines(df)) == without_repeats(rows)
+
+
+def test_chances():
+    """The chance that no more words differ, by patterns of random sets."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(1, 33, 200_000)
+    odd = np.array([np.count_nonzero(np.bincount(rng.integers(0, line_dedup.PATTERN, n), minlength=line_dedup.PATTERN) & 1) for n in words[:60_000]])
+    for apart, most in ((6, 8), (10, 12), (12, 12)):
+        own = words[:60_000][odd == apart]
+        assert abs((own <= most).mean() - line_dedup.chances()[apart, most]) < 0.05
+
+
+def test_lines_of_one_task_enter_once(spark):
+    """Copies met again in a task are not sent, unless they stand earlier."""
+    earliest = {}
+    first = next(line_dedup.lines_of(pa.array(["a b c\nd e f\nA b c"]), line_dedup.Splitter()))
+    assert line_dedup.new_lines(first, np.array([7]), earliest).tolist() == [0, 1]
+    again = next(line_dedup.lines_of(pa.array(["a b c", "x y z\nd e f"]), line_dedup.Splitter()))
+    assert line_dedup.new_lines(again, np.array([8, 3]), earliest).tolist() == [1, 2]
