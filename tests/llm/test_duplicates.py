@@ -218,3 +218,23 @@ def test_lines_of_one_task_enter_once(spark):
     assert line_dedup.new_lines(first, np.array([7]), earliest).tolist() == [0, 1]
     again = next(line_dedup.lines_of(pa.array(["a b c", "x y z\nd e f"]), line_dedup.Splitter()))
     assert line_dedup.new_lines(again, np.array([8, 3]), earliest).tolist() == [1, 2]
+
+
+def test_open_lines_by_candidates_kept(spark, monkeypatch):
+    """Lines that their first candidate leaves open are settled by the further ones kept, without a pass over all lines."""
+    unfolded, seen = line_dedup.unfolded, []
+
+    def counted(held):
+        seen.append(held.count())
+        return unfolded(held)
+
+    monkeypatch.setattr(line_dedup, "KEEP", 1)
+    monkeypatch.setattr(line_dedup, "SURE", 1e-300)
+    monkeypatch.setattr(line_dedup, "unfolded", counted)
+    monkeypatch.setattr(line_dedup, "earlier_matches", None)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, edited(rng, base, rng.choice([2, 4, 5]))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert cut(line_dedup.dedup_lines(df)) == without_repeats(rows)
+    assert seen and seen[0] > 0

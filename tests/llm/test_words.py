@@ -39,3 +39,14 @@ def test_packed_and_back():
     values = np.arange(7, dtype=np.uint64)
     back, at = unpacked(packed(values, [0, 2, 2, 7]), np.uint64)
     assert back.tolist() == values.tolist() and at.tolist() == [0, 2, 2, 7]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abAé0123456789\x00\n .", max_size=90).map(lambda x: x + x.replace(" ", "")), min_size=1, max_size=4))
+def test_hashes_by_eights(texts):
+    """The same words as the other way; hashes are equal where words are."""
+    data, offsets = buffers(pa.array(texts, pa.string()))
+    hashes, ptr = Splitter().hashes(data, offsets)
+    words = [w for t in texts for w in plain(t)]
+    assert np.diff(ptr).tolist() == [len(plain(t)) for t in texts]
+    assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
