@@ -105,3 +105,18 @@ def test_profile_of_clusters_that_hold_their_sequences(spark):
     want = {(0, 0, "a", 3, 1.0), (0, 1, "*", 1, 1 / 3), (0, 1, "b", 2, 2 / 3), (1, 0, "b", 1, 1.0), (1, 1, "b", 1, 1.0)}
     assert {(r.cluster, r.pos, r.state, r.n, r.share) for r in held.collect()} == want == {(r.cluster, r.pos, r.state, r.n, r.share) for r in joined.collect()}
     assert held.columns == joined.columns
+
+
+def test_life_courses_are_compared_over_forty_years(spark, tmp_path):
+    """Of yearly states to year 60 the last forty count, with the start and all six changes."""
+    from hearthline.catalog import flows
+
+    early = [(i, k, q, 0.0, d) for i in (1, 2, 3) for k, q, d in ((1, 10.0, 0.0), (2, 40.0, 0.06))]  # thirty years in agriculture, the last twenty out of it
+    late = [(4, k, 5.0 * k, 0.0, 0.06 if k == 7 else 0.0) for k in range(1, 8)]  # out by the seventh line alone, for the last 25 years
+    steady = [(i, 1, 10.0, 0.0, 0.03) for i in (5, 6)]
+    rows = spark.createDataFrame(early + late + steady, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = flows.study_life_course(spark, str(tmp_path)).groupBy("pos", "state").agg(F.sum("n").alias("n")).collect()
+    want = {(p, "in"): 2 for p in range(40)} | {(p, "AG"): 4 if p < 15 else 3 for p in range(20)}
+    want |= {(p, "out"): 1 if p < 20 else 4 for p in range(15, 40)}
+    assert {(r.pos, r.state): r.n for r in got} == want
