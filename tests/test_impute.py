@@ -62,6 +62,20 @@ def test_donors_are_the_nearest(spark, parts, n, step):
             assert 0 <= donor <= n and abs(hats[k, donor] - hat) <= gaps[min(4, len(gaps) - 1)] + 1e-12
 
 
+def test_ranges_are_cut_by_few_predictions(spark, monkeypatch):
+    """Where ranges are cut is read off a part of the rows, and the donors are the same wherever that is."""
+    rng = np.random.default_rng(4)
+    rows = [(k, i, None if i % 3 == 0 else float(1000 * k + i), float(np.round(rng.normal(), 1))) for k in (1, 2) for i in range(900)]
+    df = spark.createDataFrame(rows, "__copy int, id long, v double, __hat double").selectExpr(
+        "*", "xxhash64(id, 5) AS __tie", "pmod(xxhash64(id, 6), 1 << 20) AS __turn", "true AS __own", "v IS NOT NULL AS __known")
+    more = df.where("__copy = 1 AND __known").selectExpr("array(__hat, __hat + 1) AS __hats", "array(__tie, __tie) AS __ties", "v + 5000 AS v")
+    seen, bounds = [], I._bounds
+    monkeypatch.setattr(I, "_bounds", lambda hats, parts: seen.append(hats.count()) or bounds(hats, parts))
+    got = [sorted((r["__copy"], r.id, r.v) for r in I.nearest_match(df, "v", 5, 6, more, every).collect()) for every in (1, 8)]
+    assert got[0] == got[1] and len(got[0]) == 1800
+    assert seen[0] == 3000 and 200 < seen[1] < 600
+
+
 def test_all_near_donors_are_drawn(spark):
     """Of five equally far donors and many takers each is taken about as often."""
     rows = [(1, i, None if i >= 5 else float(i), 0.0) for i in range(1005)]
