@@ -126,6 +126,26 @@ def test_terms_that_reveal(spark):
     assert wanted(docs.collect()) == got(pii.sanitise(docs, ["doc_id"]))
 
 
+def test_a_term_goes_wherever_it_stands_in_the_text(spark):
+    """Also further from the entity than the terms that are looked at, but not in texts without the entity."""
+    far = "Zoltan met " + "many people by the sea " * 4 + "and kept zk@mail.example with Zoltan, " + "some more of it and then " * 3 + "zoltan left"
+    texts = [far, "ask Zoltan, zk@mail.example", "Zoltan without"] + [f"nothing of note, people by the sea and some more of it then met {i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.sanitise(docs, ["doc_id"], with_text=True).collect()}
+    assert [far[s.start : s.stop] for s in out[0].hl_spans if s.kind == pii.TERM and far[s.start : s.stop].lower() == "zoltan"] == ["Zoltan", "Zoltan", "zoltan"]
+    assert "zoltan" not in out[0].hl_text.lower() and out[0].hl_text.count("[EMAIL]") == 1 and "many people by the sea" in out[0].hl_text
+    assert out[2].hl_text is None and not out[2].hl_spans
+
+
+def test_a_term_goes_beside_an_entity_that_it_does_not_reveal(spark):
+    """Zoltan reveals the address, which the texts with the number do not all have; in a text with both he goes beside either."""
+    both = "Zoltan at zk@mail.example" + ", and so on" * 8 + ", says Zoltan on +36 1 555 0100"
+    texts = [both, "ask Zoltan, zk@mail.example"] + [f"line {i} is +36 1 555 0100 here" for i in range(20)] + [f"nothing of note and so on {i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = pii.sanitise(docs, ["doc_id"]).where("doc_id = 0").first().hl_spans
+    assert [both[s.start : s.stop] for s in spans if s.kind == pii.TERM and both[s.start : s.stop] == "Zoltan"] == ["Zoltan", "Zoltan"]
+
+
 def test_a_common_beginning_discloses_less(spark):
     rows = [(i, f"{w} ann@x.org") for i, w in enumerate(["kerekes one", "kerekes two"])]
     rows += [(10 + i, f"the kere{w} story") for i, w in enumerate("bcdfghjklm" * 3)]
